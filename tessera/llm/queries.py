@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import suffixes, textstats, tokens
+from tessera.llm import names, suffixes, survivors, textstats, tokens
 from tessera.session import table
 
 
@@ -14,6 +14,29 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return suffixes.known_pages(table(spark, d, "batch_input_rows"), table(spark, d, "source_pages"))
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    return names.institution_names(table(spark, d, "candidate_records"), table(spark, d, "batch_input_rows"), table(spark, d, "discovery_seeds"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.survivors(table(spark, d, "candidate_records"), _names(spark, d)).select("candidate_id", "field_name").distinct()
+
+
+def p1_records(spark: SparkSession, d: str) -> DataFrame:
+    """One surviving record a group."""
+    values = survivors.survivors(table(spark, d, "candidate_records"), _names(spark, d))
+    return values.groupBy("group_id").pivot("field_name", survivors.FIELDS).agg(F.first("value"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_pairs(names.link_names(_names(spark, d)))
+
+
+def p7_entities(spark: SparkSession, d: str) -> DataFrame:
+    """name and entity of every spelling."""
+    return names.link_names(_names(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -27,7 +50,7 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p8_ids, p10_found, p10_stats)}
+    return {f.__name__: f for f in (p1_found, p1_records, p5_found, p7_found, p7_entities, p8_ids, p10_found, p10_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
