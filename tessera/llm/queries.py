@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import names, suffixes, survivors, textstats, tokens
+from tessera.llm import mainbody, names, suffixes, survivors, textstats, tokens
 from tessera.session import table
 
 
@@ -14,6 +14,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return suffixes.known_pages(table(spark, d, "batch_input_rows"), table(spark, d, "source_pages"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return mainbody.boilerplate(table(spark, d, "cached_pages"), table(spark, d, "evidence_records"), table(spark, d, "source_pages"))
+
+
+def p2_main(spark: SparkSession, d: str) -> DataFrame:
+    """The main body of each page, one text a page."""
+    lines = mainbody.page_lines(table(spark, d, "cached_pages")).filter("main")
+    return lines.groupBy("cached_file_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("main_text"))
+
+
 def _names(spark: SparkSession, d: str) -> DataFrame:
     return names.institution_names(table(spark, d, "candidate_records"), table(spark, d, "batch_input_rows"), table(spark, d, "discovery_seeds"))
 
@@ -50,7 +60,7 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_records, p5_found, p7_found, p7_entities, p8_ids, p10_found, p10_stats)}
+    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_main, p5_found, p7_found, p7_entities, p8_ids, p10_found, p10_stats)}
 
 
 def oracle_sql() -> dict[str, str]:

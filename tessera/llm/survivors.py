@@ -96,7 +96,7 @@ def programme_groups(values: DataFrame, linked: DataFrame) -> DataFrame:
     ).filter("name is not null and degree is not null and size(words) > 0")
     base = cut(base)
     in_titles = base.select(F.explode("words").alias("token"), F.array_join("words", " ").alias("title"))
-    spellings = in_titles.groupBy("token").agg(F.approx_count_distinct("title").alias("uses")).filter("length(token) >= 5").select(
+    spellings = in_titles.groupBy("token").agg(F.approx_count_distinct("title").alias("uses")).filter("length(token) >= 2").select(
         F.lit("word").alias("field"), "token", F.lit(False).alias("is_cut"), "uses", (F.col("uses") >= 3).alias("known")
     )
     meant = spelling_clusters(spellings).filter("cluster <> 'word|' || token").select("token", "cluster")

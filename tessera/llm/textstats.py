@@ -93,6 +93,12 @@ def _cells(line: str) -> tuple[str, int]:
     return "", 1
 
 
+def _variety(words: list[str], window: int = 50) -> float:
+    """Mean share of different words in windows, so that long texts are not taken for monotonous ones."""
+    parts = [words[i : i + window] for i in range(0, max(1, len(words) - window // 2), window)]
+    return sum(max(0.0, len(set(p)) - 1) / len(p) for p in parts) / len(parts)
+
+
 def _common(words: list[str]) -> float:
     return sum(w in COMMON for w in words) / len(words) if words else 0.0
 
@@ -134,7 +140,7 @@ def _line_kind(line: str) -> str:
     common = _common(words)
     if code and common < 0.25:
         return "junk"
-    if len(words) >= 8 and len(set(words)) <= max(2, len(words) // 5):
+    if len(words) >= 8 and _variety(words) <= 0.2:
         return "junk"
     if mark and n >= 2 and len(words) <= 5 * n and (common < 0.3 or len(words) <= 4):
         return "table" if n >= 3 or mark in "\t|\";," else "cells2"

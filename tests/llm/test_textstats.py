@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tessera.llm.textstats import measure, not_prose, text_statistics
@@ -29,6 +31,11 @@ CASES = {
 }
 
 
+_draw = random.Random(4)
+_words = ["".join(_draw.choice(["ba", "re", "ti", "lo", "mu", "sen", "kor", "dal"]) for _ in range(_draw.randrange(1, 4))) for _ in range(600)]
+LONG = " ".join(" ".join(_draw.choice(["the", "of", "and", "is", "for"]) if k % 3 == 0 else _draw.choice(_words) for k in range(14)) + "." for _ in range(30_000))
+
+
 @pytest.mark.parametrize("text,kind", list(CASES.items()))
 def test_kinds(text, kind):
     assert measure(text)["kind"] == kind
@@ -45,7 +52,7 @@ def test_repetition_statistics():
 
 
 def test_frames(spark):
-    rows = [(i, t, "x") for i, t in enumerate(CASES)] + [(99, " ".join(f"The {i % 97}th and the {i % 89}th of the {i % 83} students are from region {i % 79}." for i in range(30_000)), "x")]
+    rows = [(i, t, "x") for i, t in enumerate(CASES)] + [(99, LONG, "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, kind string")
     assert {(r.doc_id, r.kind) for r in not_prose(docs).collect()} == {(i, k) for i, (t, k) in enumerate(CASES.items()) if k}
     assert text_statistics(docs).count() == len(rows)
