@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 HEAVY_SHARE = 256
 
 
-def heavy_keys(df: DataFrame, key: str, floor: int = 2000) -> list:
-    """Keys owning more than max(floor, rows/256) rows: 256 at most."""
-    counts = df.groupBy(key).count()
-    total = df.count()
-    least = max(floor, total // HEAVY_SHARE)
-    return [r[0] for r in counts.filter((F.col("count") > least) & F.col(key).isNotNull()).collect()]
+def heavy_keys(df: DataFrame, key: str, floor: int = 2000, count: str | None = None) -> list:
+    """Keys owning more than max(floor, rows/256) rows: 256 at most.  ``count``: a column of counts to add up instead of rows."""
+    counts = df.groupBy(key).count() if count is None else df.groupBy(key).agg(F.sum(count).alias("count"))
+    # at most 256 keys can pass, so the largest 256 are all that can matter
+    top = counts.filter((F.col("count") > floor) & F.col(key).isNotNull()).orderBy(F.desc("count")).limit(HEAVY_SHARE).collect()
+    if not top:
+        return []
+    total = df.count() if count is None else df.agg(F.sum(count)).collect()[0][0]
+    return [r[0] for r in top if r[1] > total // HEAVY_SHARE]
 
 
 def salted_join(
