@@ -16,7 +16,8 @@ from html import unescape
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tessera.operators.orphans import clean_key
-from tessera.operators.skew import salted_join
+from tessera.operators.skew import heavy_keys, salted_join
+from tessera.session import cut, stored
 
 # ---------------------------------------------------------------- rendering of markup
 
@@ -340,7 +341,8 @@ def is_main(lines: list[str], often: frozenset[str] = frozenset()) -> list[bool]
 
 # ---------------------------------------------------------------- over tables
 
-FLAGGED = T.StructType([T.StructField("cached_file_path", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType()), T.StructField("main", T.BooleanType())])
+LINE = T.StructType([T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType()), T.StructField("main", T.BooleanType())])
+FLAGGED = T.StructType([T.StructField("cached_file_path", T.StringType()), T.StructField("lines", T.ArrayType(LINE))])
 
 
 def site_of(path):
@@ -365,27 +367,23 @@ def frequent_lines(pages: DataFrame, least_pages: int = 5, share: float = 0.6) -
     return lines.filter(F.col("on") >= least_pages * share).join(sizes, "site").filter((F.col("pages") >= least_pages) & (F.col("on") >= share * F.col("pages"))).select("site", "line")
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """cached_file_path, line_no (from 1, over all lines), line, main of every non-blank line.
+def flagged_pages(pages: DataFrame) -> DataFrame:
+    """cached_file_path and its non-blank lines (line_no from 1 over all lines, line, main).
 
-    Null and empty pages have no lines.  A page without title or text of its own has no main
-    body.  Further columns are ignored.
+    Null pages have no row, empty ones no lines.  A page without title or text of its own has
+    no main body.  Further columns are ignored.
     """
 
     def flagged(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            out = {"cached_file_path": [], "line_no": [], "line": [], "main": []}
-            for path, page, often in zip(batch["cached_file_path"], batch["page_text"], batch["often"]):
+            out = []
+            for page, often in zip(batch["page_text"], batch["often"]):
                 lines = _text(page).split("\n")
-                for no, (line, main) in enumerate(zip(lines, is_main(lines, frozenset(often if often is not None else ()))), 1):
-                    if line.strip():
-                        out["cached_file_path"].append(path)
-                        out["line_no"].append(no)
-                        out["line"].append(line)
-                        out["main"].append(main)
-            yield pd.DataFrame(out)
+                flags = is_main(lines, frozenset(often if often is not None else ()))
+                out.append([{"line_no": no, "line": line, "main": main} for no, (line, main) in enumerate(zip(lines, flags), 1) if line.strip()])
+            yield pd.DataFrame({"cached_file_path": batch["cached_file_path"], "lines": out})
 
     pages = pages.select("cached_file_path", "page_text").filter("page_text is not null")
     often = frequent_lines(pages).groupBy("site").agg(F.collect_list("line").alias("often"))  # bounded by the lines of one page over the share
@@ -393,6 +391,17 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return salted_join(with_site, often, "site", F.col("cached_file_path"), "left").select("cached_file_path", "page_text", "often").mapInPandas(flagged, FLAGGED)
 
 
+def page_lines(pages: DataFrame) -> DataFrame:
+    """cached_file_path, line_no, line, main of every non-blank line."""
+    return flagged_pages(pages).select("cached_file_path", F.explode("lines").alias("x")).select("cached_file_path", "x.*")
+
+
+def _pairs(text):
+    """Every two neighbouring words of a text."""
+    words = F.split(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), " ")
+    return F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def quotes_site(snippet: str, lines: list[str], main: list[bool]) -> bool:
     """The snippet holds a line of the site, or a long part of one, that the main body does not hold."""
     text = folded(snippet)
@@ -443,28 +452,36 @@ def boilerplate(pages: DataFrame, evidence: DataFrame, source_pages: DataFrame)
     Evidence without snippet, page, or kept text of its page is no case.  Keys compare
     without letter case and white space; repeated rows count once.
     """
-    lines = page_lines(pages)
-    around = lines.filter("not main").select(F.lit("cached_pages").alias("record_table"), F.col("cached_file_path").alias("record_id"), "line_no")
-    # one row a page: its lines and flags
-    kept = lines.groupBy("cached_file_path").agg(F.sort_array(F.collect_set(F.struct("line_no", "line", "main"))).alias("lines"))
-    kept = kept.filter(F.exists("lines", lambda x: ~x["main"]))
-    where = source_pages.select(clean_key("id").alias("page"), "cached_file_path").filter("page is not null and cached_file_path is not null").distinct()
-    asked = evidence.select("id", clean_key("source_page_id").alias("page"), F.col("short_evidence_text").alias("snippet")).filter("page is not null and snippet is not null and trim(snippet) <> ''").distinct()
-    placed = salted_join(asked, where, "page", F.col("id"))
-    # equal snippets of a page are judged once
-    distinct = placed.groupBy("cached_file_path", "snippet").agg(F.count(F.lit(1)).alias("times"))
-    judged = salted_join(distinct, kept, "cached_file_path", F.col("snippet"))
+    flagged = stored(flagged_pages(pages))
+    around = (
+        flagged.select("cached_file_path", F.explode(F.filter("lines", lambda x: ~x["main"])).alias("x"))
+        .select(F.lit("cached_pages").alias("record_table"), F.col("cached_file_path").alias("record_id"), "x.line_no")
+        .distinct()
+    )
+    # 16 bytes stand for a path from here on
+    path_key = F.struct(F.xxhash64("cached_file_path").alias("a"), F.xxhash64(F.reverse("cached_file_path")).alias("b"))
+    kept = (
+        flagged.filter(F.exists("lines", lambda x: ~x["main"]))
+        .select(path_key.alias("path"), "lines")
+        .withColumn("around", F.array_distinct(_pairs(F.array_join(F.transform(F.filter("lines", lambda x: ~x["main"]), lambda x: x["line"]), " "))))
+    )
+    where = source_pages.select(clean_key("id").alias("page"), path_key.alias("path"), "cached_file_path").filter("page is not null and cached_file_path is not null").select("page", "path").distinct()
+    asked = evidence.select("id", clean_key("source_page_id").alias("page"), F.col("short_evidence_text").alias("snippet")).filter(
+        "page is not null and snippet is not null and instr(trim(snippet), ' ') > 0"  # one word is no quotation
+    )
+    counts = cut(asked.groupBy("page").count())
+    placed = salted_join(asked, where, "page", F.col("id"), heavy=heavy_keys(counts, "page", count="count")).drop("page")
+    heavy_paths = heavy_keys(counts.join(where, "page").withColumn("a", F.col("path.a")), "a", count="count")
+    joined = salted_join(placed.withColumn("a", F.col("path.a")), kept.withColumn("a", F.col("path.a")).withColumnRenamed("path", "kept_path"), "a", F.col("id"), heavy=heavy_paths)
+    # only snippets that share two neighbouring words with the lines around go to Python
+    likely = joined.filter((F.col("path") == F.col("kept_path")) & F.arrays_overlap(_pairs(F.col("snippet")), F.col("around"))).select("id", "snippet", "lines")
 
     def judge(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
             keep = [quotes_site(s, [x["line"] for x in ls], [x["main"] for x in ls]) for s, ls in zip(batch["snippet"], batch["lines"])]
-            yield pd.DataFrame({"cached_file_path": batch["cached_file_path"], "snippet": batch["snippet"]})[keep]
-
-    tainted = judged.select("cached_file_path", "snippet", "lines").mapInPandas(judge, "cached_file_path string, snippet string")
-    key = lambda: F.xxhash64("cached_file_path", "snippet")
-    hit = salted_join(placed.withColumn("k", key()), tainted.withColumn("k", key()).withColumnRenamed("cached_file_path", "p").withColumnRenamed("snippet", "s"), "k", F.col("id"))
-    hit = hit.filter("cached_file_path = p and snippet = s")
-    quoting = hit.select(F.lit("evidence_records").alias("record_table"), F.col("id").alias("record_id"), F.lit(0).cast("bigint").alias("line_no"))
-    return around.unionByName(quoting).distinct()
+            yield pd.DataFrame({"record_id": batch["id"][keep]})
+
+    quoting = likely.mapInPandas(judge, "record_id string").distinct()
+    return around.unionByName(quoting.select(F.lit("evidence_records").alias("record_table"), "record_id", F.lit(0).cast("bigint").alias("line_no")))
