@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import mainbody, names, suffixes, survivors, textstats, tokens
+from tessera.llm import mainbody, mixing, names, suffixes, survivors, textstats, tokens
 from tessera.session import table
 
 
@@ -51,6 +51,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+def p9_draw(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of each document in each mix."""
+    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Targets and shares reached."""
+    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return textstats.not_prose(table(spark, d, "documents"))
 
@@ -60,7 +70,7 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_main, p5_found, p7_found, p7_entities, p8_ids, p10_found, p10_stats)}
+    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_main, p5_found, p7_found, p7_entities, p8_ids, p9_draw, p9_shares, p10_found, p10_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
