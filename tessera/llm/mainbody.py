@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -235,6 +236,7 @@ def _plain_title(text: str) -> str:
     return re.sub(r"[\W_]+", " ", t.replace("&", " and ")).strip()
 
 
+@lru_cache(maxsize=200_000)  # lines of the site stand on many pages
 def line_kind(line: str) -> str:
     text = folded(line)
     low = text.casefold()
