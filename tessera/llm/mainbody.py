@@ -12,181 +12,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from html import unescape
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tessera.functions.markup import render
 from tessera.operators.orphans import clean_key
 from tessera.operators.skew import heavy_keys, salted_join
 from tessera.session import cut, stored
 
-# ---------------------------------------------------------------- rendering of markup
-
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-UNSEEN = frozenset("head script style noscript template svg canvas iframe object math datalist".split())
-#: Start tags that end an open element, up to the elements that bound the search.
-IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
-    "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
-    "option": ({"option"}, {"select"}),
-}
-CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "option", "title", "body", "html"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
-
-
-class Node:
-    __slots__ = ("tag", "attrs", "children")
-
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
-
-
-def build_tree(html: str) -> Node:
-    """The element tree; end tags may be missing, wrongly nested or too many."""
-    root = Node("html", {})
-    stack = [root]
-    at = 0
-
-    def text(upto: int) -> None:
-        if upto > at:
-            stack[-1].children.append(html[at:upto])
-
-    while True:
-        m = TOKEN.search(html, at)
-        if not m:
-            text(len(html))
-            return root
-        text(m.start())
-        tag, at = m.group(), m.end()
-        if tag[1] in "!?":
-            continue
-        if tag[1] == "/":
-            name = tag[2:-1].strip().lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
-                    break
-            continue
-        name = re.match(r"<([^\s/>]+)", tag).group(1).lower()
-        attrs = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(tag[1 + len(name) : -1])}
-        ends, bound = IMPLIED.get(name, (set(), set()))
-        outermost = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if not ends or stack[i].tag in bound:
-                break
-            if stack[i].tag in ends:
-                outermost = i
-        if outermost:
-            del stack[outermost:]
-        if name in CLOSES_P and any(n.tag == "p" for n in stack):
-            i = max(i for i, n in enumerate(stack) if n.tag == "p")
-            if not any(n.tag in ("table", "button", "td") for n in stack[i + 1 :]):
-                del stack[i:]
-        node = Node(name, attrs)
-        stack[-1].children.append(node)
-        if name in ("script", "style"):
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-        elif name not in VOID and not tag.endswith("/>"):
-            stack.append(node)
-
-
-def hidden(node: Node) -> bool:
-    style = re.sub(r"\s", "", node.attrs.get("style", "").lower())
-    return node.tag in UNSEEN or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style or (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden")
-
-
-def render(html: str) -> str:
-    """All visible text: blocks on lines of their own, paragraphs apart, list marks, table cells aligned."""
-    lines: list[str] = [""]
-
-    def fresh(blank: bool = False) -> None:
-        if lines[-1].strip():
-            lines.append("")
-        if blank and len(lines) > 1 and lines[-2].strip():
-            lines.insert(-1, "")
-
-    def table(node: Node) -> None:
-        rows: list[list[str]] = []
-        todo = list(reversed(node.children))
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str) or hidden(x):
-                continue
-            if x.tag == "tr":
-                cells = [re.sub(r"\s+", " ", render_nodes([c])).strip() for c in x.children if isinstance(c, Node) and c.tag in ("td", "th") and not hidden(c)]
-                if any(cells):
-                    rows.append(cells)
-            elif x.tag in ("tbody", "thead", "tfoot"):
-                todo.extend(reversed(x.children))
-            elif x.tag == "caption":
-                fresh()
-                lines[-1] = re.sub(r"\s+", " ", render_nodes([x])).strip()
-        widths = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-        for r in rows:
-            fresh()
-            lines[-1] = "  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip()
-        fresh()
-
-    # an explicit stack: pages may nest thousands of elements
-    todo: list = [(c, False) for c in reversed(build_tree(html).children)]
-    lists: list[list] = []
-    while todo:
-        x, leaving = todo.pop()
-        if leaving:
-            if x.tag in ("ul", "ol", "menu") and lists:
-                lists.pop()
-            fresh(x.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "section", "article"))
-            continue
-        if isinstance(x, str):
-            shown = re.sub(r"\s+", " ", unescape(x))
-            lines[-1] += shown.lstrip() if not lines[-1].strip() and not lines[-1] else shown
-            continue
-        if hidden(x):
-            continue
-        if x.tag == "br":
-            lines.append("")
-        elif x.tag == "table":
-            fresh(True)
-            table(x)
-        elif x.tag in BLOCK:
-            fresh(x.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"))
-            if x.tag in ("ul", "ol", "menu"):
-                lists.append([x.tag, 0])
-            elif x.tag == "li":
-                mark = "- "
-                if lists and lists[-1][0] == "ol":
-                    lists[-1][1] += 1
-                    mark = f"{lists[-1][1]}. "
-                lines[-1] = "  " * max(0, len(lists) - 1) + mark
-            todo.append((x, True))
-            todo.extend((c, False) for c in reversed(x.children))
-        else:
-            todo.extend((c, False) for c in reversed(x.children))
-    return "\n".join(s.rstrip() for s in lines).strip("\n")
-
-
-def render_nodes(nodes: list) -> str:
-    """Visible text of a few nodes on one line."""
-    out, todo = [], list(reversed(nodes))
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(unescape(x))
-        elif not hidden(x):
-            out.append(" " if x.tag in BLOCK or x.tag == "br" else "")
-            todo.extend(reversed(x.children))
-    return "".join(out)
-
-
 # ---------------------------------------------------------------- lines of the site and of the programme
 
 # Lines of navigation, notices, boxes and footers, and what marks them in longer ones.
@@ -207,6 +40,12 @@ SITE_MARKS = re.compile(
     r"(?:last|zuletzt) (?:changed|modified|updated|geändert|aktualisiert)|report an error|fehler (?:auf|melden)|accept all|alle akzeptieren|allow once|always allow|immer erlauben|back to top|javascript",
     re.I,
 )
+#: Parts of words without one of which ``SITE_MARKS`` cannot match; much cheaper to look for.
+SITE_HINTS = tuple(
+    "cookie;privacy;datenschutz;newsletter;reserved;vorbehalten;©;(c) ;on your device;speichern;partner;portrait;porträt;public institution;öffentliche;central administration;zentrale verwaltung;sitzungsdateien;third-party;optional;"
+    "subscribe;abonnieren;follow us;folgen sie;also interesting;new this term;auch interessant;semester;see also;siehe auch;opens for guests;prägt;zustimmen;changed;modified;updated;geändert;aktualisiert;error;fehler;accept all;akzeptieren;"
+    "allow;erlauben;back to top;javascript".split(";")
+)
 LABELS = re.compile(
     r"(?:programme(?: name)?|program(?: name)?|studiengang|course(?: name)?|title|titel|name|university|provider|hochschule|institution|universität|anbieter|country|land|location|campus|city|standort|ort|studienort|"
     r"qualification|degree(?: awarded)?|abschluss|field of study|subject area|fachrichtung|fachgebiet|studienfeld|language of instruction|teaching language|unterrichtssprache|sprache|study mode|type of study|studienform|studienmodus|"
@@ -246,7 +85,7 @@ def line_kind(line: str) -> str:
     if low in SITE_LINES:
         return "site"
     long = words >= 8 and re.search(r"[.!?…]['\")]?$", text)
-    if SITE_MARKS.search(text) and not (LABELS.match(text) and words < 8):
+    if any(h in low for h in SITE_HINTS) and SITE_MARKS.search(text) and not (LABELS.match(text) and words < 8):
         return "site"
     marks = len(TRAIL.findall(text)) + text.count("·")
     if (marks >= 2 or len(re.findall(r"(?<=\S) {2,}(?=\S)", line.strip())) >= 2) and not re.search(r"[.!?]$", text) and not re.match(r"[^:]{3,30}:\s", text):
@@ -465,7 +304,7 @@ def boilerplate(pages: DataFrame, evidence: DataFrame, source_pages: DataFrame)
     kept = (
         flagged.filter(F.exists("lines", lambda x: ~x["main"]))
         .select(path_key.alias("path"), "lines")
-        .withColumn("around", F.array_distinct(_pairs(F.array_join(F.transform(F.filter("lines", lambda x: ~x["main"]), lambda x: x["line"]), " "))))
+        .withColumn("around", F.array_distinct(F.transform(_pairs(F.array_join(F.transform(F.filter("lines", lambda x: ~x["main"]), lambda x: x["line"]), " ")), lambda x: F.hash(x))))
     )
     where = source_pages.select(clean_key("id").alias("page"), path_key.alias("path"), "cached_file_path").filter("page is not null and cached_file_path is not null").select("page", "path").distinct()
     asked = evidence.select("id", clean_key("source_page_id").alias("page"), F.col("short_evidence_text").alias("snippet")).filter(
@@ -476,7 +315,7 @@ def boilerplate(pages: DataFrame, evidence: DataFrame, source_pages: DataFrame)
     heavy_paths = heavy_keys(counts.join(where, "page").withColumn("a", F.col("path.a")), "a", count="count")
     joined = salted_join(placed.withColumn("a", F.col("path.a")), kept.withColumn("a", F.col("path.a")).withColumnRenamed("path", "kept_path"), "a", F.col("id"), heavy=heavy_paths)
     # only snippets that share two neighbouring words with the lines around go to Python
-    likely = joined.filter((F.col("path") == F.col("kept_path")) & F.arrays_overlap(_pairs(F.col("snippet")), F.col("around"))).select("id", "snippet", "lines")
+    likely = joined.filter((F.col("path") == F.col("kept_path")) & F.arrays_overlap(F.transform(_pairs(F.col("snippet")), lambda x: F.hash(x)), F.col("around"))).select("id", "snippet", "lines")
 
     def judge(batches: Iterator) -> Iterator:
         import pandas as pd

@@ -2,6 +2,7 @@ from datetime import datetime as dt
 
 import pytest
 
+from tessera.functions import markup
 from tessera.llm import mainbody as m
 
 PAGE = """Research · Study · Login · Library
@@ -61,9 +62,9 @@ def test_quotations(snippet, want):
 def test_rendering():
     html = """<html><head><title>T</title><script>if (a<b) x()</script></head><body><!-- c --><p>One<p>Two <b>bold</b> &amp; more<ul><li>a<li>b<ul><li>c</ul></ul>
     <div style="display: none">gone</div><ol><li>x</li><li>y</ol><table><tr><td>Fee<td>Day<tr><td>500<td>3</table><dl><dt>K<dd>V</dl><span hidden>no</span>end<br>line</body>"""
-    assert [x for x in m.render(html).split("\n") if x] == ["One", "Two bold & more", "- a", "- b", "  - c", "1. x", "2. y", "Fee  Day", "500  3", "K", "V", "end", "line"]
-    assert m.render("<div>" * 20_000 + "deep") == "deep"
-    assert m.render("") == "" and m.render("</p></p>a<") == "a<"
+    assert [x for x in markup.render(html).split("\n") if x] == ["One", "Two bold & more", "- a", "- b", "  - c", "1. x", "2. y", "Fee  Day", "500  3", "K", "V", "end", "line"]
+    assert markup.render("<div>" * 20_000 + "deep") == "deep"
+    assert markup.render("") == "" and markup.render("</p></p>a<") == "a<"
 
 
 def test_tables(spark):
