@@ -77,6 +77,7 @@ def build_tree(html: str) -> Node:
         stack[-1].children.append(node)
         if name in ("script", "style"):
             end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            node.children.append(html[at : end.start() if end else len(html)])
             at = end.end() if end else len(html)
         elif name not in VOID and not tag.endswith("/>"):
             stack.append(node)

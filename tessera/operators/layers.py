@@ -32,7 +32,7 @@ def effective_values(*layers: DataFrame) -> DataFrame:
 
 def provenance_counts(effective: DataFrame) -> DataFrame:
     """layer, fields: non-blank effective values by the layer they come from."""
-    return effective.filter("value is not null and trim(value) <> ''").groupBy("layer").agg(F.count(F.lit(1)).alias("fields"))
+    return effective.filter(F.length(F.regexp_replace("value", r"(?U)\s+", "")) > 0).groupBy("layer").agg(F.count(F.lit(1)).alias("fields"))
 
 
 def context_contradictions(context: DataFrame, evidence: DataFrame) -> DataFrame:

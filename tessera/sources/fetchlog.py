@@ -20,7 +20,8 @@ def is_transient(http_status: Column, error: Column) -> Column:
 
 def bounded_wait(retry_after: Column) -> Column:
     """Seconds to wait by a numeric Retry-After, 0 to 30; null for anything else."""
-    return F.least(F.lit(float(MOST_WAIT)), F.greatest(F.lit(0.0), F.trim(retry_after).try_cast("double")))
+    seconds = F.trim(retry_after).try_cast("double")
+    return F.when(seconds.isNotNull(), F.least(F.lit(float(MOST_WAIT)), F.greatest(F.lit(0.0), seconds)))
 
 
 def outcome(http_status: Column, content_type: Column, size: Column, error: Column) -> Column:
