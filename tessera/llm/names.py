@@ -46,7 +46,7 @@ def fold(text: str) -> str:
     return re.sub(r"([a-z])\1+", r"\1", t)
 
 
-FOLDED = {fold(w): k for w, k in LOOKUP.items()}
+FOLDED = {fold(w): k for w, k in LOOKUP.items()} | LOOKUP
 
 
 def edits(a: str, b: str) -> int:
@@ -166,15 +166,18 @@ def parse(name: str | None) -> dict | None:
             items.append((tok, "mark", False))
             continue
         cut_off = tok.endswith(".")
-        bare = fold(re.sub(r"[^\w]", "", tok))
+        letters = re.sub(r"[^\w]", "", tok)
+        bare = fold(letters)
         if not bare:
             continue
-        kind = word_kind(bare) or short_kind(bare)
+        kind = word_kind(bare) or word_kind(letters.casefold()) or short_kind(bare)
         if cut_off and kind is None and any(len(w) >= 4 and w.startswith(bare) and len(bare) >= 3 for w in FOLDED):
             kind = next(FOLDED[w] for w in FOLDED if len(w) >= 4 and w.startswith(bare))
         if kind is None and bare in COUNTRIES and items:
             continue
-        if kind is None and len(bare) == 2 and not cut_off:
+        if bare == "u" and not cut_off:
+            kind = "techuni" if raw[i - 1 : i] == ["("] else "univ"
+        if kind is None and len(bare) <= 2 and not cut_off and not bare.endswith("u"):
             kind = "link"
         items.append((bare, kind or "proper", cut_off))
     kinds = [k for _, k, _ in items]
@@ -182,8 +185,11 @@ def parse(name: str | None) -> dict | None:
     # a place said twice: "Tech. Univ. X / X"
     seen: list[tuple[int, str, bool]] = []
     for i, t, c in proper:
-        if not any(t == s or (len(t) > 4 and edits(t, s) <= 1) for _, s, _ in seen):
+        same = next((k for k, (_, s, sc) in enumerate(seen) if t == s or (len(t) > 4 and edits(t, s) <= 1) or (sc and len(s) >= 3 and edits(s, t[: len(s)]) <= 1)), None)
+        if same is None:
             seen.append((i, t, c))
+        elif seen[same][2]:  # the whole word instead of the cut-off one
+            seen[same] = (seen[same][0], t, c)
     proper = seen
     out = {"kind": None, "place": None, "patron": None, "given": None, "initials": None, "place_cut": False, "patron_cut": False}
     if "arts" in kinds:
@@ -201,7 +207,7 @@ def parse(name: str | None) -> dict | None:
         out["place"] = "".join(t for _, t, _ in long)
         out["place_cut"] = long[-1][2]
         return out
-    acronym = [p for p in proper if len(p[1]) <= 4 and (p[1].endswith("u") or len(p[1]) == 3)]
+    acronym = [p for p in proper if len(p[1]) <= 4 and (p[1].endswith("u") or len(p[1]) == 3) and not p[2]]
     if out["kind"] is None:
         rest = [p for p in proper if p not in acronym]
         if acronym and rest:
@@ -256,31 +262,34 @@ def same_given(a: str | None, b: str | None) -> bool:
     return a[0] == b[0] or a[:3] == b[:3] or jaro_winkler(a, b) >= 0.85
 
 
-def alike(a: str, b: str, cut_a: bool, cut_b: bool, known_a: bool, known_b: bool) -> float:
-    """How sure two spellings are one word, 0 for not: Jaro-Winkler with a bound on the edits.
+def alike(a: str, b: str, cut_a: bool, cut_b: bool, uses_a: int, uses_b: int) -> float:
+    """How sure spelling ``a`` is meant for ``b``, 0 for not: Jaro-Winkler with a bound on the edits.
 
-    Two well-known spellings (both stand in several names) are two words.
+    Two spellings that both stand in several names are two words, unless one is far more
+    common; a spelling in two or three names must be one edit away.
     """
     if a == b:
         return 1.0
     if cut_a or cut_b:
         short, long = (a, b) if (cut_a and len(a) <= len(b)) or not cut_b else (b, a)
-        if len(short) < 4 or len(long) < len(short):
+        if len(short) < 4 or len(long) < len(short) - 1:
             return 0.0
         if long.startswith(short):
             return 0.99
         d = min(edits(short, long[:k]) for k in range(len(short) - 1, min(len(long), len(short) + 1) + 1))
         return 0.95 - 0.05 * d if d <= 1 or (d == 2 and len(short) >= 7 and short[0] == long[0]) else 0.0
-    if known_a and known_b:
+    if uses_a >= 4 and uses_b < 4 * uses_a:
         return 0.0
     d, n = edits(a, b), min(len(a), len(b))
     if n < 5:  # function words of titles: "fro" for "for"
-        return 0.85 if d == 1 and known_b and len(b) >= 3 and len(a) >= 2 else 0.0
+        return 0.85 if d == 1 and uses_b >= 3 and uses_a < 3 and len(b) >= 3 and len(a) >= 2 else 0.0
     score = jaro_winkler(a, b)
     # swapped first letters cost Jaro-Winkler its prefix
     if d == 1:
         return max(score, 0.9)
-    if d == 2 and n >= 7 and score >= 0.86:
+    if uses_a >= 2 and uses_b < 5 * uses_a:
+        return 0.0
+    if d == 2 and n >= 7 and score >= 0.82:
         return score - 0.05
     if d == 3 and n >= 8 and score >= 0.92:
         return score - 0.12
@@ -362,19 +371,19 @@ def spelling_clusters(spellings: DataFrame) -> DataFrame:
         return pd.Series([block_codes(t, bool(c)) for t, c in zip(tokens, cuts)])
 
     @F.pandas_udf(T.DoubleType())
-    def score(a, b, ca, cb, ka, kb):
+    def score(a, b, ca, cb, ua, ub):
         import pandas as pd
 
-        return pd.Series([alike(*x) for x in zip(a, b, ca, cb, ka, kb)], dtype="float64")
+        return pd.Series([alike(*x) for x in zip(a, b, ca, cb, ua, ub)], dtype="float64")
 
     coded = spellings.select("*", F.explode(codes("token", "is_cut")).alias("code"))
     weak = coded.select("field", "code", *[F.col(c).alias(c + "_a") for c in ("token", "is_cut", "known", "uses")])
     other = coded.select("field", "code", *[F.col(c).alias(c + "_b") for c in ("token", "is_cut", "known", "uses")])
-    # a spelling that is not well known, or ten times rarer, looks for the word it is meant for
-    pairs = weak.join(other, ["field", "code"]).filter("token_a <> token_b and (not known_a or uses_b >= 10 * uses_a)").drop("code").distinct()
-    scored = pairs.withColumn("score", score("token_a", "token_b", "is_cut_a", "is_cut_b", F.col("known_a") & (F.col("uses_b") < 10 * F.col("uses_a")), "known_b")).filter("score > 0")
+    # a rarer spelling looks for the word it is meant for
+    pairs = weak.join(other, ["field", "code"]).filter("token_a <> token_b and (is_cut_a or uses_a < 4 or uses_b >= 4 * uses_a)").drop("code").distinct()
+    scored = pairs.withColumn("score", score("token_a", "token_b", "is_cut_a", "is_cut_b", "uses_a", "uses_b")).filter("score > 0")
     # well-known partners first; cut-off spellings link only to whole ones
-    rank = F.struct(F.col("known_b"), F.col("score"), F.col("uses_b"), F.col("token_b"))
+    rank = F.struct(F.col("uses_b") >= F.greatest("uses_a", F.lit(2)), F.col("score"), F.col("uses_b"), F.col("token_b"))
     best = scored.filter("not (is_cut_b and not is_cut_a)").groupBy("field", "token_a").agg(F.max(rank).alias("best"))
     links = best.select("field", F.col("token_a").alias("x"), F.col("best.token_b").alias("y"))
     key = lambda c: F.concat_ws("|", "field", c)
