@@ -47,7 +47,7 @@ SITE_HINTS = tuple(
     "allow;erlauben;back to top;javascript".split(";")
 )
 LABELS = re.compile(
-    r"(?:programme(?: name)?|program(?: name)?|studiengang|course(?: name)?|title|titel|name|university|provider|hochschule|institution|universität|anbieter|country|land|location|campus|city|standort|ort|studienort|"
+    r"(?:programme(?: name)?|program(?: name)?|studiengang|course(?: name)?|title|titel|name|university|provider|hochschule|institution|universität|anbieter|country|land|location|campus(?!\s+life\b)|city|standort|ort|studienort|"
     r"qualification|degree(?: awarded)?|abschluss|field of study|subject area|fachrichtung|fachgebiet|studienfeld|language of instruction|teaching language|unterrichtssprache|sprache|study mode|type of study|studienform|studienmodus|"
     r"intake|start semester|start|studienbeginn|beginn|application|apply|bewerbung|bewerbungslink|duration|standard period of study|dauer|regelstudienzeit|studiendauer|tuition(?: fees?)?|fees?|gebühren|studiengebühren|credits|ects|"
     r"admission|zulassung|deadline|bewerbungsfrist|places|plätze|studienplätze)(?:\s*[:–—-]\s*|\s+)\S",
@@ -88,6 +88,8 @@ def line_kind(line: str) -> str:
     if any(h in low for h in SITE_HINTS) and SITE_MARKS.search(text) and not (LABELS.match(text) and words < 8):
         return "site"
     marks = len(TRAIL.findall(text)) + text.count("·")
+    if marks and all(p.strip() in SITE_LINES for p in re.split(r"\s[/>»›→|·]\s", low)):
+        return "site"
     if (marks >= 2 or len(re.findall(r"(?<=\S) {2,}(?=\S)", line.strip())) >= 2) and not re.search(r"[.!?]$", text) and not re.match(r"[^:]{3,30}:\s", text):
         return "trail"
     if NEWS.match(text):

@@ -231,7 +231,10 @@ def measure(text: str | None) -> dict:
             j += 1
         after = kinds[j] if j < len(kinds) else None
         before = kinds[i - 1] if i else None
-        if j - i >= 4 or (j - i == 3 and after != "prose"):
+        run = [w.lower() for x in lines[i:j] for w in WORD.findall(x)]
+        if j - i >= 2 and len(run) >= 4.5 * (j - i) and _common(run) >= 0.2:  # prose in narrow lines
+            kinds[i:j] = ["prose"] * (j - i)
+        elif j - i >= 4 or (j - i == 3 and after != "prose"):
             numeric = sum(any(c.isdigit() for c in x) for x in lines[i:j]) / (j - i)
             kinds[i:j] = ["table" if numeric >= 0.5 else "list"] * (j - i)
         elif after in KINDS and after != "junk":
