@@ -282,7 +282,7 @@ def alike(a: str, b: str, cut_a: bool, cut_b: bool, uses_a: int, uses_b: int) ->
         return 0.0
     d, n = edits(a, b), min(len(a), len(b))
     if n < 5:  # function words of titles: "fro" for "for"
-        return 0.85 if d == 1 and uses_b >= 3 and uses_a < 3 and len(b) >= 3 and len(a) >= 2 else 0.0
+        return 0.85 if d == 1 and uses_b >= max(3, 20 * uses_a) and n >= 2 else 0.0
     score = jaro_winkler(a, b)
     # swapped first letters cost Jaro-Winkler its prefix
     if d == 1:
