@@ -11,9 +11,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, types as T
 
+from tessera.session import spread
+
 # Common words of English, German, French and Spanish.
 COMMON = frozenset(
     (
@@ -63,12 +66,14 @@ GAPS = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
 #: Marks of letters lost in decoding.  More than one for each two words leaves nothing to read.
 DEBRIS = re.compile(r"\ufffd|ï¿½|â€[\u0080-\u00bf\u2018-\u203a™œ]?|Ã[\u0080-\u00bf\u0152-\u0178\u2018-\u203a€™]|Â(?=[\W\u0080-\u00bf]|[a-z])")
 DAMAGED = 0.5
-ODD = frozenset("{}[]<>~^\\§$%&+*#=_@")
+ODD = re.compile(r"[{}\[\]<>~^\\§$%&+*#=_@]")
+NOT_ALNUM, NOT_DIGIT = re.compile(r"[\W_]+"), re.compile(r"\D+")
 #: A word that nobody can say: no vowel, or four consonants in a row.
 UNSAYABLE = re.compile(r"^[^aeiouyäöüáéíóúàèìòùâêîôûãõåæøœıěėęąůőű]+$|[bcdfghjklmnpqrstvwxzß]{4}", re.I)
 RULE = re.compile(r"[\s|+:=-]*[-=]{2,}[\s|+:=-]*$")
 
 
+@lru_cache(maxsize=4096)  # asked twice for each line
 def _cells(line: str) -> tuple[str, int]:
     """How the line is laid out in cells: the separator and the number of cells; ("", 1) for none."""
     text = line.strip()
@@ -121,16 +126,15 @@ def _inline_items(text: str) -> int:
 def _line_kind(line: str) -> str:
     """prose, list, table, junk, short (a few words, no sentence) or rule, of one line by itself."""
     text = line.strip()
-    dense = [c for c in text if not c.isspace()]
-    alnum = sum(c.isalnum() for c in dense)
+    dense, alnum = len("".join(text.split())), len(NOT_ALNUM.sub("", text))
     words = [w.lower() for w in WORD.findall(text)]
     if RULE.match(text) and "|" in text:
         return "rule"
-    if alnum < 0.35 * len(dense) or sum(c in ODD for c in dense) > 0.25 * len(dense):
+    if alnum < 0.35 * dense or len(ODD.findall(text)) > 0.25 * dense:
         return "junk"
     if ADDRESS.match(text):
         return "list"
-    code = bool(CODE.search(text))
+    code = (any(c in text for c in "{}<>;&\\$=(") or text.startswith(("at ", "File ", "import", "#")) or "SELECT" in text or "INSERT" in text) and bool(CODE.search(text))
     mark, n = _cells(line)
     if mark and n >= 3 and not code and len(words) <= 3.5 * n:
         return "table"
@@ -188,11 +192,10 @@ def measure(text: str | None) -> dict:
     lines = [x for x in re.split(r"[\n\r\x0b\x0c\x85\u2028\u2029]", text) if x.strip()]
     words = WORD.findall(text)
     lower = [w.lower() for w in words]
-    dense = sum(not c.isspace() for c in text)
-    digits, letters = sum(c.isdigit() for c in text), sum(c.isalpha() for c in text)
+    dense, alnum, digits = len("".join(text.split())), len(NOT_ALNUM.sub("", text)), len(NOT_DIGIT.sub("", text))
     out["n_words"], out["n_lines"] = len(words), len(lines)
     out["mean_word_length"] = sum(map(len, words)) / len(words) if words else 0.0
-    out["symbol_ratio"], out["digit_ratio"] = (dense - digits - letters) / dense, digits / dense
+    out["symbol_ratio"], out["digit_ratio"] = (dense - alnum) / dense, digits / dense
     out["punctuated_line_share"] = sum(bool(ENDS.search(x.strip())) for x in lines) / len(lines)
     out["bulleted_line_share"] = sum(bool(BULLET.match(x)) for x in lines) / len(lines)
     out["common_word_share"] = _common(lower)
@@ -278,7 +281,7 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     Null, empty and white-space texts give zeros and a null kind.  Repeated rows stay
     repeated; columns but doc_id and text are ignored; whole texts are read.
     """
-    return documents.select("doc_id", "text").mapInPandas(_measure, STATS)
+    return spread(documents.select("doc_id", "text")).mapInPandas(_measure, STATS)
 
 
 def not_prose(documents: DataFrame) -> DataFrame:

@@ -10,13 +10,15 @@ exactly, because the splitting pattern looks only forward.
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tessera.operators.skew import salted_join
+from tessera.operators.skew import heavy_keys, salted_join
+from tessera.session import spread, stored
 
 TOKENIZERS = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
@@ -183,7 +185,9 @@ def _encode_exactly(part: str, following: str, encode) -> list[int]:
 CHUNKED = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("text_key", T.LongType()),
         T.StructField("pos", T.IntegerType()),
+        T.StructField("chars", T.IntegerType()),
         T.StructField("hash", T.BinaryType()),
         T.StructField("chunk", T.StringType()),
     ]
@@ -196,13 +200,15 @@ def _chunked(batches: Iterator) -> Iterator:
     import pandas as pd
 
     for batch in batches:
-        out = {"doc_id": [], "pos": [], "hash": [], "chunk": []}
-        for doc, text in zip(batch["doc_id"], batch["text"]):
+        out = {f.name: [] for f in CHUNKED.fields}
+        for doc, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"]):
             begin = 0
             for pos, end in enumerate(cuts(text)):
                 chunk = text[begin:end]
                 out["doc_id"].append(doc)
+                out["text_key"].append(key)
                 out["pos"].append(pos)
+                out["chars"].append(end - begin)
                 out["hash"].append(hashlib.blake2b(chunk.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 out["chunk"].append(chunk)
                 begin = end
@@ -220,7 +226,7 @@ def encode_corpus(documents: DataFrame, folder: str = TOKENIZERS, name: str = NA
         import pandas as pd
 
         for batch in batches:
-            yield pd.DataFrame({"hash": batch["hash"], "ids": encode_whole(list(batch["chunk"]), folder, name)})
+            yield pd.DataFrame({"hash": batch["hash"], "uses": batch["uses"], "ids": encode_whole(list(batch["chunk"]), folder, name)})
 
     def joined(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -229,18 +235,19 @@ def encode_corpus(documents: DataFrame, folder: str = TOKENIZERS, name: str = NA
         for batch in batches:
             out = []
             for text, parts in zip(batch["text"], batch["parts"]):
-                parts = sorted(parts, key=lambda p: p["pos"]) if parts is not None else []
-                out.append(join_chunks(text, cuts(text), [list(p["ids"]) for p in parts], encode) if text else [])
+                parts = sorted(parts, key=lambda p: p["pos"])
+                ends = list(itertools.accumulate(p["chars"] for p in parts))
+                out.append(join_chunks(text, ends, [list(p["ids"]) for p in parts], encode))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": out})
 
-    full = documents.filter("text is not null and text <> ''").select("doc_id", "text")
+    full = spread(documents.filter("text is not null and text <> ''").select("doc_id", F.xxhash64("text").alias("text_key"), "text"))
     chunks = full.mapInPandas(_chunked, CHUNKED)
     # equal chunks meet in the partial aggregation first; only distinct ones are shuffled and encoded
-    distinct = chunks.groupBy("hash").agg(F.first("chunk").alias("chunk"))
-    ids = distinct.mapInPandas(encoded, "hash binary, ids array<int>")
-    placed = salted_join(chunks.drop("chunk"), ids, "hash", F.xxhash64("doc_id", "pos"))
-    parts = placed.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "ids")).alias("parts"))
-    done = full.join(parts, "doc_id").mapInPandas(joined, "doc_id bigint, ids array<int>")
+    distinct = chunks.groupBy("hash").agg(F.first("chunk").alias("chunk"), F.count(F.lit(1)).alias("uses"))
+    ids = stored(distinct.mapInPandas(encoded, "hash binary, uses bigint, ids array<int>"))
+    placed = salted_join(chunks.drop("chunk"), ids.drop("uses"), "hash", F.xxhash64("doc_id", "pos"), heavy=heavy_keys(ids, "hash", count="uses"))
+    parts = placed.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "chars", "ids")).alias("parts"))
+    done = full.join(parts, [full["doc_id"].eqNullSafe(parts["doc_id"]), full["text_key"] == parts["text_key"]]).select(full["doc_id"], "text", "parts").mapInPandas(joined, "doc_id bigint, ids array<int>")
     empty = documents.filter("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids"))
     return done.unionByName(empty)
 
@@ -255,4 +262,4 @@ def count_tokens(documents: DataFrame, keep: list[str], folder: str = TOKENIZERS
             out["n_tokens"] = [len(i) for i in encode_whole([t or "" for t in batch["text"]], folder, name)]
             yield out
 
-    return documents.select(*dict.fromkeys([*keep, "text"])).mapInPandas(counted, schema)
+    return spread(documents.select(*dict.fromkeys([*keep, "text"]))).mapInPandas(counted, schema)

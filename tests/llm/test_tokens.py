@@ -54,3 +54,9 @@ def test_corpus(spark):
     counts = {r.doc_id: r.n_tokens for r in tokens.count_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), ["doc_id"]).collect()}
     assert counts == {k: len(v) for k, v in got.items()}
     assert tokens.encode_corpus(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_one_id_with_two_texts(spark):
+    rows = [(1, "first text " * 50), (1, "another one " * 70), (None, "no id " * 40), (2, "twice"), (2, "twice")]
+    got = sorted((str(r.doc_id), r.ids) for r in tokens.encode_corpus(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == sorted((str(k), tokens.encode_whole([t])[0]) for k, t in rows)
