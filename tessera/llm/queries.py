@@ -73,5 +73,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_main, p5_found, p7_found, p7_entities, p8_ids, p9_draw, p9_shares, p10_found, p10_stats)}
 
 
+CARRIED = "^(utm_.*|mtm_.*|pk_.*|fbclid|gclid|gclsrc|dclid|msclkid|ref|referrer|referer|sessionid|session_id|sid|jsessionid|phpsessid)$"
+
+
+def _address_sql(table_name: str, columns: str, url: str) -> str:
+    return rf"""(select {columns}, regexp_replace(regexp_replace(rtrim(regexp_replace(lower(split_part(a, '@', -1)), ':(80|443)$', ''), '.'), '^www\d?\.', ''), '\.:', ':')
+  || coalesce(nullif(regexp_replace('/' || array_to_string(list_filter(string_split(url_decode(trim(p)), '/'), lambda x: x not in ('', '.')), '/'), '/(index|default|home)\.(html?|php\d?|aspx?|jsp|cgi)$', '', 'i'), ''), '/')
+  || coalesce('?' || nullif(array_to_string(list_sort(list_distinct(list_filter(string_split(q, '&'), lambda x: split_part(x, '=', 1) <> '' and not regexp_matches(lower(split_part(x, '=', 1)), '{CARRIED}')))), '&'), ''), '') as k
+  from (select *, regexp_extract({url}, '(?i)^\s*https?://+([^/?#\s]+)', 1) as a, regexp_extract({url}, '(?i)^\s*https?://+[^/?#\s]+([^?#]*)', 1) as p, regexp_extract({url}, '\?([^#]*)', 1) as q
+        from {table_name} where regexp_matches({url}, '(?i)^\s*https?://+[^/?#\s]')))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    batch, pages = _address_sql("batch_input_rows", "batch_row_id, submitted_at", "canonical_url"), _address_sql("source_pages", "id, created_at", "normalized_url")
+    return {"p5_found": f"select distinct batch_row_id, id as source_page_id from {batch} b join {pages} s using (k) where s.created_at < b.submitted_at"}

@@ -11,7 +11,7 @@ better layer is filled from the next layer that has a value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.llm.names import PLACEHOLDERS, link_names, spelling_clusters
 from tessera.operators.skew import salted_join
@@ -65,21 +65,28 @@ def title_words(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(t, r"(?U)[^\p{L}\d]+", " ")), " "), lambda w: F.length(w) > 0)
 
 
-def _json(c: str, key: str) -> Column:
-    return F.get_json_object(c, f"$.{key}")
-
-
 def candidate_values(candidates: DataFrame) -> DataFrame:
-    """One row a candidate id: its values (``d_*``) and override values (``o_*``), placeholders as null.
+    """id, updated_at, entries: one row a candidate id with its values (trust 0) and override values (trust 1).
 
-    Of several rows of an id the last updated one counts.  Broken JSON has no values.
+    Placeholders are no entries.  Of several rows of an id the last updated one counts.  Broken
+    JSON has no values; of equal keys in one object the first counts.
     """
-    valid = lambda c: F.when(F.expr(f"try_parse_json({c}) is not null"), F.col(c))
-    rows = candidates.select("id", "updated_at", valid("normalized_data").alias("normalized_data"), valid("reviewer_overrides").alias("reviewer_overrides")).filter("id is not null")
-    last = rows.groupBy("id").agg(F.max_by(F.struct("normalized_data", "reviewer_overrides"), F.struct(F.coalesce("updated_at", F.lit("1900-01-01").cast("timestamp_ntz")), F.coalesce("normalized_data", F.lit("")))).alias("r"), F.max("updated_at").alias("updated_at"))
-    flat = last.select("id", "updated_at", "r.*")
-    keep = lambda c, k: F.when(is_value(_json(c, k)), _json(c, k))
-    return flat.select("id", "updated_at", *[keep("normalized_data", f).alias(f"d_{f}") for f in FIELDS], *[keep("reviewer_overrides", f).alias(f"o_{f}") for f in FIELDS])
+    told = lambda c: F.from_json(F.when(F.expr(f"try_parse_json({c}) is not null"), F.col(c)), T.StructType([T.StructField(f, T.StringType()) for f in FIELDS]))
+    rows = candidates.select("id", "updated_at", "normalized_data", "reviewer_overrides").filter("id is not null")
+    early = F.lit("1900-01-01").cast("timestamp_ntz")
+    last = rows.groupBy("id").agg(
+        F.max_by(F.struct("normalized_data", "reviewer_overrides"), F.struct(F.coalesce("updated_at", early), F.coalesce("normalized_data", F.lit("")))).alias("r"), F.max("updated_at").alias("updated_at")
+    )
+    # the one-element explode keeps each JSON text from being parsed once a field
+    read = last.select("id", "updated_at", "r.*").select("id", "updated_at", F.explode(F.array(F.struct(told("normalized_data").alias("d"), told("reviewer_overrides").alias("o")))).alias("x"))
+    entry = lambda f, trust: F.struct(F.lit(f).alias("field_name"), F.lit(trust).alias("trust"), F.col(f"x.{'o' if trust else 'd'}.{f}").alias("value"))
+    every = F.array(*[entry(f, t) for t in (0, 1) for f in FIELDS])
+    return read.select("id", "updated_at", F.filter(every, lambda e: is_value(e["value"])).alias("entries"))
+
+
+def stated(field: str) -> Column:
+    """The value of a field in ``entries``, overrides aside."""
+    return F.try_element_at(F.filter("entries", lambda e: (e["trust"] == 0) & (e["field_name"] == field)), F.lit(1))["value"]
 
 
 def programme_groups(values: DataFrame, linked: DataFrame) -> DataFrame:
@@ -90,10 +97,11 @@ def programme_groups(values: DataFrame, linked: DataFrame) -> DataFrame:
     """
     base = values.select(
         "id",
-        F.col("d_university_name").alias("name"),
-        F.coalesce(degree_of(F.col("d_degree_level")), degree_in_title(F.col("d_program_name"))).alias("degree"),
-        title_words(F.col("d_program_name")).alias("words"),
-    ).filter("name is not null and degree is not null and size(words) > 0")
+        stated("university_name").alias("name"),
+        stated("program_name").alias("program"),
+        stated("degree_level").alias("level"),
+    ).filter("name is not null and program is not null")
+    base = cut(base).select("id", "name", F.coalesce(degree_of(F.col("level")), degree_in_title(F.col("program"))).alias("degree"), title_words(F.col("program")).alias("words")).filter("name is not null and degree is not null and size(words) > 0")
     base = cut(base)
     in_titles = base.select(F.explode("words").alias("token"), F.array_join("words", " ").alias("title"))
     spellings = in_titles.groupBy("token").agg(F.approx_count_distinct("title").alias("uses")).filter("length(token) >= 2").select(
@@ -123,13 +131,12 @@ def surviving_values(values: DataFrame, groups: DataFrame) -> DataFrame:
     No row for a field without a value in the group.  Equal trust and time go to the more
     complete record, then to the smaller id.
     """
-    completeness = sum((F.coalesce(F.col(f"o_{f}"), F.col(f"d_{f}")).isNotNull().cast("int") for f in FIELDS), F.lit(0))
-    entry = lambda f, trust: F.struct(F.lit(f).alias("field_name"), F.lit(trust).alias("trust"), F.col(("o_" if trust else "d_") + f).alias("value"))
+    completeness = F.size(F.array_distinct(F.transform("entries", lambda e: e["field_name"])))
     entries = (
-        salted_join(values.withColumn("completeness", completeness), groups, "id", F.col("id"), heavy=[])
-        .select("id", "group_id", "updated_at", "completeness", F.explode(F.array(*[entry(f, t) for f in FIELDS for t in (1, 0)])).alias("e"))
+        values.withColumn("completeness", completeness)
+        .join(groups, "id")
+        .select("id", "group_id", "updated_at", "completeness", F.explode("entries").alias("e"))
         .select("group_id", "id", "completeness", F.coalesce("updated_at", F.lit("1900-01-01").cast("timestamp_ntz")).alias("at"), "e.*")
-        .filter("value is not null")
     )
     # the smaller id counts among equals: compare ids by their complement in order
     cells = entries.groupBy("group_id", "field_name", "trust", "completeness").agg(
