@@ -75,10 +75,27 @@ left join (select distinct {clean('record_id')} as k from record_deletions where
 where c.k is not null"""
 
 
+def _edges(table_name: str, column: str, parent: str) -> str:
+    clean = lambda c: rf"nullif(regexp_replace(lower({c}), '^[\s\x{{00A0}}]+|[\s\x{{00A0}}]+$', '', 'g'), '')"
+    return f"""
+select '{table_name}' as record_table, {clean('c.id')} as node, '{parent}' as parent, {clean('c.' + column)} as key, strftime(c.created_at, '%Y-%m') as report_month,
+  p.k is null or d.k is not null as broken
+from {table_name} c left join (select distinct {clean('id')} as k from {parent}) p on p.k = {clean('c.' + column)}
+left join (select distinct {clean('record_id')} as k from record_deletions where lower(trim(record_table)) = '{parent}' and restored_at is null) d on d.k = {clean('c.' + column)}
+where {clean('c.' + column)} is not null and {clean('c.id')} is not null"""
+
+
 def oracle_sql() -> dict[str, str]:
     union = "\nunion all\n".join(_reference(k.child, k.column, k.parent) for k in orphans.REPORTED)
     found = f"select distinct * from ({union}) where kind is not null"
+    edges = "\nunion all\n".join(_edges(k.child, k.column, k.parent) for k in orphans.GRAPH)
+    cascade = f"""with recursive e as materialized (select distinct * from ({edges})),
+w as (select record_table, node, 0 as depth from e where broken union select e.record_table, e.node, w.depth + 1 from e join w on e.parent = w.record_table and e.key = w.node where w.depth < 20),
+least_depth as (select record_table, node, min(depth) as depth from w group by 1, 2),
+months as (select record_table, node, min(report_month) as report_month from e group by 1, 2)
+select record_table, report_month, case depth when 0 then 'direct' else 'inherited' end as orphanhood, depth::int as depth, count(*) as "rows" from least_depth join months using (record_table, node) group by all"""
     return {
+        "p6_cascade": cascade,
         "p6_found": found,
         "p6_report": f"select record_table, record_column, kind, report_month, count(*) as broken from ({found}) group by all",
     }
