@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.operators.skew import salted_join
+
 
 def latest(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key; ``order`` must end in a unique column."""
@@ -29,7 +31,7 @@ def fold_overrides(log: DataFrame, order: list[str]) -> DataFrame:
 def emission_status(rows: DataFrame, key: str, known: Column, order: list[str]) -> DataFrame:
     """``rows`` with status: already_existing, candidate (first of its key) or duplicate."""
     firsts = first_occurrences(rows.filter(~known & F.col(key).isNotNull()).select(key, *order), [key], order).select(key, F.struct(*order).alias("_first"))
-    out = rows.join(firsts, key, "left")
+    out = salted_join(rows, firsts, key, F.xxhash64(*order), "left")
     return out.withColumn("status", F.when(known, "already_existing").when(F.struct(*order) == F.col("_first"), "candidate").otherwise("duplicate")).drop("_first")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tessera.operators.skew import heavy_keys, salted_join
+
 EVIDENCE_KEY = ["candidate_id", "source_page_id", "field_name", "extracted_value", "evidence_locator"]
 
 
@@ -19,8 +21,9 @@ def merge_by_key(existing: DataFrame, incoming: DataFrame, key: list[str], scope
     old, new = existing.withColumn("_k", F.xxhash64(k)).withColumn("_t", F.to_json(k, {"ignoreNullFields": "false"})), incoming.withColumn("_k", F.xxhash64(k)).withColumn("_t", F.to_json(k, {"ignoreNullFields": "false"}))
     scopes = incoming.select(F.to_json(s, {"ignoreNullFields": "false"}).alias("_s")).distinct()
     old = old.withColumn("_s", F.to_json(s, {"ignoreNullFields": "false"}))
-    outside = old.join(scopes, "_s", "left_anti").drop("_s")
-    inside = old.join(scopes, "_s", "left_semi").drop("_s").join(new.select("_k", "_t").distinct(), ["_k", "_t"], "left_semi")
+    heavy = heavy_keys(old, "_s")
+    outside = salted_join(old, scopes, "_s", F.col("_k"), "left_anti", heavy=heavy).drop("_s")
+    inside = salted_join(old, scopes, "_s", F.col("_k"), "left_semi", heavy=heavy).drop("_s").join(new.select("_k", "_t").distinct(), ["_k", "_t"], "left_semi")
     added = new.join(old.select("_k", "_t").distinct(), ["_k", "_t"], "left_anti")
     order = [c for c in ("created_at", "id") if c in incoming.columns] or key
     added = added.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_t").orderBy(*order))).filter("_n = 1").drop("_n")

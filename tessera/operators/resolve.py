@@ -58,12 +58,12 @@ def resolve(ranked: DataFrame) -> DataFrame:
         F.count_distinct("folded").alias("values"),
         F.count_distinct("source_page_id").alias("pages"),
     )
-    # the strongest rows by distinct value: first row of each value, at most as many as values differ
+    # one row a distinct value and rank before the join, so a hot candidate is no skewed key
     strongest = (
-        ranked.join(best, ["candidate_id", "field_name"])
-        .filter("rank = best")
-        .groupBy("candidate_id", "field_name", "folded", "best", "values", "pages")
+        ranked.groupBy("candidate_id", "field_name", "rank", "folded")
         .agg(F.min("ord").alias("ord"), F.min_by(F.struct("id", "value"), "ord").alias("e"))
+        .join(best, ["candidate_id", "field_name"])
+        .filter("rank = best")
     )
     two = strongest.groupBy("candidate_id", "field_name", "best", "values", "pages").agg(
         F.count(F.lit(1)).alias("top_values"), F.min_by("e", "ord").alias("first"), F.min("ord").alias("o1"), F.slice(F.array_sort(F.collect_list(F.struct("ord", "e"))), 2, 1).alias("next")
