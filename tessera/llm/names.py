@@ -100,12 +100,16 @@ def sounds(token: str) -> str:
 
 
 def block_codes(token: str, cut_off: bool) -> list[str]:
-    """Phonetic codes of which two spellings of one token share at least one."""
+    """Codes of which two spellings of one token share at least one.
+
+    Phonetic: the sounds of the token, and its first and last four, each sorted, so that swapped
+    letters do not matter; and its head and tail with one letter left out, for a lost or wrong one.
+    """
     s = sounds(token)
-    head = token[:5]
-    out = {"b" + "".join(sorted(s[:3])), "w" + token[:3], "d" + head, *("d" + head[:i] + head[i + 1 :] for i in range(len(head)))}
+    head, tail = token[:5], token[-5:]
+    out = {"b" + "".join(sorted(s[:4])), "d" + head, *("d" + head[:i] + head[i + 1 :] for i in range(len(head)))}
     if not cut_off:
-        out |= {"e" + "".join(sorted(s[-3:])), "s" + "".join(sorted(set(s))), "t" + token[-4:]}
+        out |= {"e" + "".join(sorted(s[-4:])), "s" + "".join(sorted(set(s))), "t" + tail, *("t" + tail[:i] + tail[i + 1 :] for i in range(len(tail)))}
     return sorted(out)
 
 
