@@ -137,11 +137,13 @@ def find_title(lines: list[str], kinds: list[str]) -> int:
 def is_main(lines: list[str], often: frozenset[str] = frozenset()) -> list[bool]:
     """For every line whether it is main body.  ``often``: lines that stand on most pages of the site."""
     kinds = [line_kind(x) for x in lines]
+    title = find_title(lines, kinds)
     for i, x in enumerate(lines):
-        if kinds[i] in ("short", "trail", "sentence") and folded(x).casefold() in often:
+        text = folded(x)
+        # a site with few programmes repeats their titles, and headings of sections stand everywhere
+        if i != title and kinds[i] in ("short", "trail", "sentence") and text.casefold() in often and not any(h.fullmatch(text) for h in (MODULES, DATES, QUESTIONS)):
             kinds[i] = "site"
     out = [False] * len(lines)
-    title = find_title(lines, kinds)
     body = title if title >= 0 else next((i for i, k in enumerate(kinds) if k in ("prose", "fact")), len(lines))
     if title >= 0:
         out[title] = True
@@ -198,7 +200,7 @@ def _text(page: str | None) -> str:
     return page or ""
 
 
-def frequent_lines(pages: DataFrame, least_pages: int = 5, share: float = 0.6) -> DataFrame:
+def frequent_lines(pages: DataFrame, least_pages: int = 10, share: float = 0.6) -> DataFrame:
     """site, line of the short lines that stand on at least ``share`` of the pages of a site of ``least_pages`` or more."""
     lines = (
         pages.select(site_of(F.col("cached_file_path")).alias("site"), "cached_file_path", F.explode(F.array_distinct(F.transform(F.split("page_text", "\n"), lambda x: F.lower(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))))).alias("line"))
