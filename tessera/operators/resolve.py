@@ -27,7 +27,7 @@ def priority(confidence: str | Column) -> Column:
 def ranked_evidence(evidence: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """Supported evidence with value (normalised, else as extracted; '' counts as absent), folded value, rank and order.
 
-    Exact duplicate rows count once.  With ``candidates`` (id, source_page_id), evidence for
+    Exact duplicate rows stay; no operator on the result counts rows.  With ``candidates`` (id, source_page_id), evidence for
     source_url from the candidate's own page makes that from other pages void.
     """
     v = F.coalesce(F.nullif(F.col("normalized_value"), F.lit("")), F.nullif(F.col("extracted_value"), F.lit("")))
@@ -35,7 +35,6 @@ def ranked_evidence(evidence: DataFrame, candidates: DataFrame | None = None) ->
         evidence.filter(F.col("field_name").isin(SUPPORTED))
         .select("id", "candidate_id", "field_name", "source_page_id", v.alias("value"), F.lower(v).alias("folded"), rank("confidence").alias("rank"), F.struct("created_at", "id").alias("ord"))
         .filter("value is not null and candidate_id is not null")
-        .distinct()
     )
     if candidates is None:
         return rows
