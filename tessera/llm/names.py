@@ -23,8 +23,8 @@ PLACEHOLDERS = re.compile(
     r"todo|xxx+|pending|undefined|blank|empty|leer|leave blank|value missing|no value given|à préciser|non (?:communiqué|renseigné|précisé)e?|sin (?:datos|información|especificar)|no disponible)",
     re.I,
 )
-# Given names and their short forms in common use; any prefix of three letters also counts.
-NICKNAMES = {"bill": "william", "bob": "robert", "dick": "richard", "jack": "john", "peggy": "margaret", "liz": "elizabeth", "beth": "elizabeth", "tony": "anthony", "ted": "edward", "fritz": "friedrich", "hans": "johannes", "sepp": "josef", "paco": "francisco", "pepe": "jose", "mavi": "marvina"}
+# Short forms in common use that begin otherwise than their name, or need not.
+NICKNAMES = {"bill": "william", "bob": "robert", "dick": "richard", "jack": "john", "peggy": "margaret", "liz": "elizabeth", "beth": "elizabeth", "tony": "anthony", "ted": "edward", "fritz": "friedrich", "hans": "johannes", "sepp": "josef", "paco": "francisco", "pepe": "jose", "mavi": "marvina", "peg": "margaret", "ned": "edward", "nell": "helen", "polly": "mary", "sally": "sarah", "hank": "henry", "harry": "henry", "chuck": "charles", "lena": "magdalena", "toni": "anton"}
 
 WORDS = {
     "univ": ["university", "universitaet", "universitat", "universite", "universidad", "universita", "univ", "uni", "universities"],
@@ -258,12 +258,9 @@ def parse(name: str | None) -> dict | None:
     return out
 
 
-def same_given(a: str | None, b: str | None) -> bool:
-    """One given name, a nickname or an initial of the other; absent ones go with any."""
-    if not a or not b:
-        return True
-    a, b = NICKNAMES.get(a, a), NICKNAMES.get(b, b)
-    return a[0] == b[0] or a[:3] == b[:3] or jaro_winkler(a, b) >= 0.85
+def given_initial(given: str | None) -> str | None:
+    """First letter of a given name; a nickname counts as the name it stands for."""
+    return NICKNAMES.get(given, given)[0] if given else None
 
 
 def alike(a: str, b: str, cut_a: bool, cut_b: bool, uses_a: int, uses_b: int) -> float:
@@ -328,7 +325,7 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
 
 def read_names(names: DataFrame) -> DataFrame:
     """name and its parts for every distinct name that is no placeholder."""
-    schema = T.StructType([T.StructField("name", T.StringType()), *PARSED.fields])
+    schema = T.StructType([T.StructField("name", T.StringType()), *PARSED.fields, T.StructField("initial", T.StringType())])
 
     def read(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -338,7 +335,7 @@ def read_names(names: DataFrame) -> DataFrame:
             for name in batch["name"]:
                 got = parse(name)
                 if got:
-                    rows.append({"name": name} | got)
+                    rows.append({"name": name} | got | {"initial": given_initial(got["given"])})
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
     return names.filter("name is not null").select("name").distinct().repartition("name").mapInPandas(read, schema)
@@ -416,25 +413,34 @@ def link_names(names: DataFrame) -> DataFrame:
         .join(place, ["pf", "place"], "left")
         .join(patron, "patron", "left")
     )
-    got = cut(got.select("name", "kind", "place", "place_id", "patron_id", "given", "initials"))
+    got = cut(got.select("name", "kind", "place_id", "patron_id", "initials", "initial", F.substring("patron", 1, 1).alias("patron_initial")))
     # what stands under a patron in full
     named = got.filter("kind = 'named' and patron_id is not null").select("patron_id").distinct().withColumn("has_patron", F.lit(True))
     plain = got.filter("kind = 'univ'").select("place_id").distinct().withColumn("has_place", F.lit(True))
-    # a patron's places; one patron of one place only
+    # the place of a patron, for names without one: of the same given name or initial first
     seats = got.filter("kind = 'named' and patron_id is not null and place_id is not null").groupBy("patron_id", "place_id").agg(F.count(F.lit(1)).alias("n"))
-    seat = seats.groupBy("patron_id").agg(F.max(F.struct("n", "place_id")).alias("s"), F.count(F.lit(1)).alias("places")).select("patron_id", F.col("s.place_id").alias("seat"))
+    seat = seats.groupBy("patron_id").agg(F.max(F.struct("n", "place_id")).alias("s")).select("patron_id", F.col("s.place_id").alias("seat"))
+    placed = got.filter("kind = 'named' and patron_id is not null and place_id is not null")
+    own = placed.filter("initial is not null").groupBy("patron_id", "initial", "place_id").agg(F.count(F.lit(1)).alias("n"))
+    seat_by_given = own.groupBy("patron_id", "initial").agg(F.max(F.struct("n", "place_id")).alias("s")).select("patron_id", "initial", F.col("s.place_id").alias("seat_by_given"))
+    # the patron of a place, for initials: one whose name begins with the letter before the u first
     holders = seats.groupBy("place_id").agg(F.max(F.struct("n", "patron_id")).alias("h")).select("place_id", F.col("h.patron_id").alias("holder"))
+    by_letter = placed.groupBy("place_id", "patron_initial", "patron_id").agg(F.count(F.lit(1)).alias("n"))
+    by_letter = by_letter.groupBy("place_id", "patron_initial").agg(F.max(F.struct("n", "patron_id")).alias("h")).select("place_id", F.col("patron_initial").alias("letter"), F.col("h.patron_id").alias("holder_by_letter"))
     full = (
         got.join(named, "patron_id", "left")
         .join(plain, "place_id", "left")
         .join(seat, "patron_id", "left")
         .join(holders, "place_id", "left")
+        .join(seat_by_given, ["patron_id", "initial"], "left")
+        .withColumn("letter", F.substring("initials", -2, 1))
+        .join(by_letter, ["place_id", "letter"], "left")
     )
     by_patron = F.col("patron_id").isNotNull() & ((F.col("kind") == "named") | ((F.col("kind") == "lone") & F.col("has_patron") & F.col("has_place").isNull()))
     own_seat = F.when(F.col("kind") == "named", F.col("place_id"))
     entity = (
-        F.when(F.col("initials").isNotNull(), F.concat_ws("|", F.lit("named"), F.coalesce("holder", F.concat(F.lit("?"), "initials")), "place_id"))
-        .when(by_patron, F.concat_ws("|", F.lit("named"), "patron_id", F.coalesce(own_seat, "seat", F.lit("?"))))
+        F.when(F.col("initials").isNotNull(), F.concat_ws("|", F.lit("named"), F.coalesce("holder_by_letter", "holder", F.concat(F.lit("?"), "initials")), "place_id"))
+        .when(by_patron, F.concat_ws("|", F.lit("named"), "patron_id", F.coalesce(own_seat, "seat_by_given", "seat", F.lit("?"))))
         .otherwise(F.col("place_id"))
     )
     return full.select("name", entity.alias("entity"))

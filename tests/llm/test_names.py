@@ -60,5 +60,13 @@ def test_linking(spark):
     assert n.link_names(spark.createDataFrame([], "name string")).count() == 0
 
 
+def test_nicknames_and_initials_choose_between_namesakes(spark):
+    rows = ["William Holtkamp University of Bergtal", "Holtkamp University Bergtal", "Anna Holtkamp University of Wendlau", "Bill Holtkamp Univ.", "A. Holtkamp Univ.", "WHU Bergtal", "Karl Drossen University of Bergtal", "KDU Bergtal"]
+    got = {r.name: r.entity for r in n.link_names(spark.createDataFrame([(x,) for x in rows], "name string")).collect()}
+    assert got["Bill Holtkamp Univ."] == got["William Holtkamp University of Bergtal"] == got["WHU Bergtal"] == got["Holtkamp University Bergtal"]
+    assert got["A. Holtkamp Univ."] == got["Anna Holtkamp University of Wendlau"] != got["WHU Bergtal"]
+    assert got["KDU Bergtal"] == got["Karl Drossen University of Bergtal"] != got["WHU Bergtal"]
+
+
 def test_distances():
     assert n.edits("abcd", "abdc") == 1 and n.edits("", "ab") == 2 and n.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-3) and n.jaro_winkler("a", "") == 0
