@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -49,9 +50,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _remove(context, path: str) -> None:
+    """Take a table away when the driver ends; a session that is gone already leaves it to the folder's owner."""
+    try:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a compressed table in the shared folder: like ``cut``, for wide rows that are read more than once."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    atexit.register(_remove, df.sparkSession.sparkContext, path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
