@@ -39,7 +39,10 @@ def tokenizer(folder: str, name: str):
 
 
 def encode_whole(texts: list[str], folder: str = TOKENIZERS, name: str = NAME) -> list[list[int]]:
-    return [e.ids for e in tokenizer(folder, name).encode_batch(texts, add_special_tokens=False)]
+    one = tokenizer(folder, name)
+    if len(texts) == 1:  # without the cost of a batch
+        return [one.encode(texts[0], add_special_tokens=False).ids]
+    return [e.ids for e in one.encode_batch(texts, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=1)
@@ -51,24 +54,62 @@ def _pattern():
 
 def cuts(text: str) -> list[int]:
     """Ends of the content-defined chunks of a text, the last one its length."""
+    return cuts_of([text])[0]
+
+
+def cuts_of(texts: list[str], at_once: int = 1 << 20) -> list[list[int]]:
+    """``cuts`` of many texts: the rolling hash runs over about ``at_once`` characters of them together."""
+    out: list[list[int]] = []
+    group: list[str] = []
+    size = 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= at_once:
+            out.extend(_cuts_of(group))
+            group, size = [], 0
+    return out + (_cuts_of(group) if group else [])
+
+
+def _cuts_of(texts: list[str]) -> list[list[int]]:
     import numpy as np
 
-    n = len(text)
-    if n <= LEAST:
-        return [n] if n else []
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    long = [t for t in texts if len(t) > LEAST]
+    # zeros of a window's length between the texts: what stands before a text adds nothing to its hashes
+    gap = "\0" * WINDOW
+    codes = np.frombuffer(gap.join(long).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    n = len(codes)
+    starts, at = [], 0
+    for t in long:
+        starts.append(at)
+        at += len(t) + WINDOW
+    for s in starts[1:]:
+        codes[s - WINDOW : s] = 0
     rolled = np.zeros(n, dtype=np.uint64)
-    base = np.uint64(0x9E3779B97F4A7C15)
-    power = np.uint64(1)
+    base, power = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
     with np.errstate(over="ignore"):
         for k in range(min(WINDOW, n)):
-            rolled[k:] += (codes[: n - k] + np.uint64(1)) * power
+            rolled[k:] += codes[: n - k] * power
             power = power * base
         rolled ^= rolled >> np.uint64(29)
         rolled *= np.uint64(0xBF58476D1CE4E5B9)
     places = np.nonzero((rolled >> np.uint64(64 - MASK_BITS)) == 0)[0] + 1
+    bounds = np.searchsorted(places, [x for s, t in zip(starts, long) for x in (s + 1, s + len(t))]).tolist()
+    out, at = [], 0
+    for text in texts:
+        if len(text) <= LEAST:
+            out.append([len(text)] if text else [])
+            continue
+        start = starts[at]
+        out.append(_spaced([p - start for p in places[bounds[2 * at] : bounds[2 * at + 1]].tolist()], len(text)))
+        at += 1
+    return out
+
+
+def _spaced(places: list[int], n: int) -> list[int]:
+    """The places that are far enough apart, with further ones where they are too far, and the end."""
     out, last = [], 0
-    for p in map(int, places):
+    for p in places:
         while p - last > MOST:
             last += MOST
             out.append(last)
@@ -201,9 +242,9 @@ def _chunked(batches: Iterator) -> Iterator:
 
     for batch in batches:
         out = {f.name: [] for f in CHUNKED.fields}
-        for doc, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"]):
+        for doc, key, text, ends in zip(batch["doc_id"], batch["text_key"], batch["text"], cuts_of(list(batch["text"]))):
             begin = 0
-            for pos, end in enumerate(cuts(text)):
+            for pos, end in enumerate(ends):
                 chunk = text[begin:end]
                 out["doc_id"].append(doc)
                 out["text_key"].append(key)
