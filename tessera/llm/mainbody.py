@@ -241,12 +241,34 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return flagged_pages(pages).select("cached_file_path", F.explode("lines").alias("x")).select("cached_file_path", "x.*")
 
 
+def _folded(text):
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
 def _pairs(text):
     """Every two neighbouring words of a text."""
-    words = F.split(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), " ")
+    words = F.split(_folded(text), " ")
     return F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
 
 
+def _quotes_one_word(text: str, words: list[str], shown: list[list[str]], main: list[bool]) -> bool:
+    """A line of the site of one word stands alone, or before or behind a line or fact of the main body.
+
+    The same word within a fact ("Study mode: full_time") is no quotation.
+    """
+    of_main = {" ".join(ws) for ws, m in zip(shown, main) if m}
+    singles = {ws[0] for ws, m in zip(shown, main) if not m and len(ws) == 1} - of_main
+    if text in singles:
+        return True
+    if len(words) < 2:
+        return False
+    rest = " ".join(words[1:])
+    if words[0] in singles and not LABELS.match(text) and (rest in of_main or LABELS.match(rest)):
+        return True
+    rest = " ".join(words[:-1])
+    return words[-1] in singles and (rest in of_main or (words[-1].casefold() in SITE_LINES and bool(LABELS.match(rest))))
+
+
 def quotes_site(snippet: str, lines: list[str], main: list[bool]) -> bool:
     """The snippet holds a line of the site, or a long part of one, that the main body does not hold."""
     text = folded(snippet)
@@ -254,6 +276,8 @@ def quotes_site(snippet: str, lines: list[str], main: list[bool]) -> bool:
         return False
     words = text.split(" ")
     shown = [folded(x).split(" ") for x in lines]
+    if _quotes_one_word(text, words, shown, main):
+        return True
     starts: dict[str, list[tuple[int, int]]] = {}
     for r, ws in enumerate(shown):
         for c, w in enumerate(ws):
@@ -294,7 +318,8 @@ def quotes_site(snippet: str, lines: list[str], main: list[bool]) -> bool:
 def boilerplate(pages: DataFrame, evidence: DataFrame, source_pages: DataFrame) -> DataFrame:
     """record_table, record_id, line_no of lines that are no main body, and of evidence that quotes such.
 
-    Evidence without snippet, page, or kept text of its page is no case.  Keys compare
+    Evidence without snippet, page, or kept text of its page is no case, nor is a snippet that is the
+    extracted value and nothing else.  Keys compare
     without letter case and white space; repeated rows count once.
     """
     flagged = stored(flagged_pages(pages))
@@ -308,18 +333,22 @@ def boilerplate(pages: DataFrame, evidence: DataFrame, source_pages: DataFrame)
     kept = (
         flagged.filter(F.exists("lines", lambda x: ~x["main"]))
         .select(path_key.alias("path"), "lines")
+        .withColumn("singles", F.array_distinct(F.transform(F.filter(F.transform(F.filter("lines", lambda x: ~x["main"]), lambda x: _folded(x["line"])), lambda x: ~x.contains(" ")), lambda x: F.hash(x))))
         .withColumn("around", F.array_distinct(F.transform(_pairs(F.array_join(F.transform(F.filter("lines", lambda x: ~x["main"]), lambda x: x["line"]), " ")), lambda x: F.hash(x))))
     )
     where = source_pages.select(clean_key("id").alias("page"), path_key.alias("path"), "cached_file_path").filter("page is not null and cached_file_path is not null").select("page", "path").distinct()
-    asked = evidence.select("id", clean_key("source_page_id").alias("page"), F.col("short_evidence_text").alias("snippet")).filter(
-        "page is not null and snippet is not null and instr(trim(snippet), ' ') > 0"  # one word is no quotation
-    )
+    asked = evidence.select("id", clean_key("source_page_id").alias("page"), F.col("short_evidence_text").alias("snippet"), F.col("extracted_value").alias("short_value")).filter(
+        F.col("page").isNotNull() & (_folded(F.col("snippet")) != "") & ~_folded(F.col("snippet")).eqNullSafe(_folded(F.col("short_value")))  # the bare value quotes nothing
+    ).drop("short_value")
     counts = cut(asked.groupBy("page").count())
     placed = salted_join(asked, where, "page", F.col("id"), heavy=heavy_keys(counts, "page", count="count")).drop("page")
     heavy_paths = heavy_keys(counts.join(where, "page").withColumn("a", F.col("path.a")), "a", count="count")
     joined = salted_join(placed.withColumn("a", F.col("path.a")), kept.withColumn("a", F.col("path.a")).withColumnRenamed("path", "kept_path"), "a", F.col("id"), heavy=heavy_paths)
-    # only snippets that share two neighbouring words with the lines around go to Python
-    likely = joined.filter((F.col("path") == F.col("kept_path")) & F.arrays_overlap(F.transform(_pairs(F.col("snippet")), lambda x: F.hash(x)), F.col("around"))).select("id", "snippet", "lines")
+    # only snippets that share two neighbouring words with the lines around, or begin or end with a line of one word, go to Python
+    words = F.split(_folded(F.col("snippet")), " ")
+    ends = F.array(F.hash(F.element_at(words, 1)), F.hash(F.element_at(words, -1)))
+    shared = F.arrays_overlap(F.transform(_pairs(F.col("snippet")), lambda x: F.hash(x)), F.col("around")) | F.arrays_overlap(ends, F.col("singles"))
+    likely = joined.filter((F.col("path") == F.col("kept_path")) & shared).select("id", "snippet", "lines")
 
     def judge(batches: Iterator) -> Iterator:
         import pandas as pd

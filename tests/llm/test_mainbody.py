@@ -27,6 +27,7 @@ Do I need a laptop?
 No.
 Quick links
 Marketing
+Alumni
 © 2024 Some University. All rights reserved.
 Imprint | Privacy | Accessibility"""
 MAIN = {5, 6, 8, 9, 10, 11, 14, 15, 16, 17, 19, 20}
@@ -51,7 +52,7 @@ def test_often_lines_are_of_the_site():
     "snippet,want",
     [
         ("Country: DE", False), ("Imprint | Privacy | Accessibility", True), ("Country: DE  Share this page", True), ("Research", False), ("Study", False), ("Rail Systems", False),
-        ("Study mode: full_time", False), ("Quick links", True), ("Study > Programmes > Rail", True), ("Some University", False), ("", False), ("nothing of the page", False), ("Library extends", False),
+        ("Study mode: full_time", False), ("Quick links", True), ("Study > Programmes > Rail", True), ("Some University", False), ("", False), ("nothing of the page", False), ("Library extends", False), ("Alumni", True), ("Alumni Country: DE", True), ("Degree – M.Sc. Alumni", True), ("Alumni University: Some", True), ("Programme: Art Marketing", False), ("Country: DE Marketing", True), ("Marketing of trains", False),
     ],
 )
 def test_quotations(snippet, want):
@@ -71,7 +72,7 @@ def test_tables(spark):
     day = dt(2025, 1, 1)
     pages = spark.createDataFrame([("pages/s/1", PAGE, "z"), ("pages/s/2", None, "z"), ("pages/s/3", "", "z")], "cached_file_path string, page_text string, id string")
     sources = spark.createDataFrame([("P1", "pages/s/1", day), ("p1 ", "pages/s/1", day), ("p2", "pages/lost", day), ("p3", None, day)], "id string, cached_file_path string, created_at timestamp_ntz")
-    evidence = spark.createDataFrame([("e1", " p1", "Quick links"), ("e1", " p1", "Quick links"), ("e2", "p1", "Country: DE"), ("e3", "p2", "Quick links"), ("e4", None, "Quick links"), ("e5", "p1", None), ("e6", "p1", " ")], "id string, source_page_id string, short_evidence_text string")
+    evidence = spark.createDataFrame([("e1", " p1", "Quick links"), ("e1", " p1", "Quick links"), ("e2", "p1", "Country: DE"), ("e3", "p2", "Quick links"), ("e4", None, "Quick links"), ("e5", "p1", None), ("e6", "p1", " ")], "id string, source_page_id string, short_evidence_text string").selectExpr("*", "'x' as extracted_value")
     got = {tuple(r) for r in m.boilerplate(pages, evidence, sources).collect()}
     lines = PAGE.split("\n")
     assert got == {("cached_pages", "pages/s/1", i) for i, x in enumerate(lines, 1) if x.strip() and i not in MAIN} | {("evidence_records", "e1", 0)}
