@@ -75,8 +75,17 @@ def _plain_title(text: str) -> str:
     return re.sub(r"[\W_]+", " ", t.replace("&", " and ")).strip()
 
 
-@lru_cache(maxsize=200_000)  # lines of the site stand on many pages
 def line_kind(line: str) -> str:
+    """blank, site, fact, date, item, prose, question, trail, sentence or short."""
+    return _kind_of_short(line) if len(line) <= 120 else _kind(line)
+
+
+@lru_cache(maxsize=50_000)  # lines of the site stand on many pages
+def _kind_of_short(line: str) -> str:
+    return _kind(line)
+
+
+def _kind(line: str) -> str:
     text = folded(line)
     low = text.casefold()
     words = len(text.split())
