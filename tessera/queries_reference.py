@@ -292,8 +292,8 @@ def override_checks(spark, d):
  where regexp_matches(expected_university_name, '^[ -~]+$') and not regexp_matches(trim(expected_university_name), '  ') and regexp_matches(expected_program_name, '^[ -~]+$') and not regexp_matches(trim(expected_program_name), '  '))
  where u <> '' and p <> '' group by u, p having count(*) > 1""")
 def duplicate_groups(spark, d):
-    b = table(spark, d, "batch_input_rows").filter(F.col("expected_university_name").rlike("^[ -~]+$") & ~F.trim("expected_university_name").rlike("  ") & F.col("expected_program_name").rlike("^[ -~]+$") & ~F.trim("expected_program_name").rlike("  "))
-    return groups.duplicate_groups(b, "batch_row_id", [F.col("expected_university_name"), F.col("expected_program_name")])
+    """Over the whole table; the SQL states only its ASCII names without doubled blanks (README, Checks)."""
+    return groups.duplicate_groups(table(spark, d, "batch_input_rows"), "batch_row_id", [F.col("expected_university_name"), F.col("expected_program_name")])
 
 
 @query("""select count(*) filter (where fetch_status = 'fetched') as fetched, count(*) filter (where http_status >= 400) as http_errors, count(*) filter (where cached_file_path is null) as uncached, count(*) filter (where redirect_count > 0) as redirected from source_pages""")
