@@ -350,13 +350,13 @@ def export_digests(spark, d):
 
 @query("""select p.id, case when p.cached_file_path is null or p.content_hash is null then 'missing_cache_metadata' when c.cached_file_path is null then 'cache_missing' else 'ok' end as state from (select distinct id, cached_file_path, content_hash from source_pages) p left join cached_pages c using (cached_file_path)""")
 def source_integrity(spark, d):
-    return fetchlog.source_integrity(table(spark, d, "source_pages"), table(spark, d, "cached_pages"))
+    """The copies here are texts of pages, not the bytes that were hashed (COVERAGE.md)."""
+    return fetchlog.source_integrity(table(spark, d, "source_pages"), table(spark, d, "cached_pages").withColumnRenamed("page_text", "content"))
 
 
 @query("""select distinct p.id from source_pages p join cached_pages c using (cached_file_path) where p.fetch_status in ('fetched', 'cache_hit') and p.cache_expires_at > timestamp '2025-06-01 00:00:00' and p.content_hash is not null""")
 def cache_hits(spark, d):
-    p = table(spark, d, "source_pages")
-    kept = table(spark, d, "cached_pages").select("cached_file_path").join(p.select("cached_file_path", "content_hash").distinct(), "cached_file_path")
+    p, kept = table(spark, d, "source_pages"), table(spark, d, "cached_pages").withColumnRenamed("page_text", "content")
     return fetchlog.cache_hits(p, kept, F.lit("2025-06-01 00:00:00").cast("timestamp_ntz")).select("id").distinct()
 
 

@@ -56,17 +56,41 @@ def robots_status(http_status: Column) -> Column:
     )
 
 
+def kept_hashes(kept: DataFrame) -> DataFrame:
+    """cached_file_path, kept_hashes: the hashes of the copies themselves (``content``, text or binary); a null copy is none."""
+    return kept.filter("content is not null").groupBy("cached_file_path").agg(F.collect_set(F.sha2("content", 256)).alias("kept_hashes"))
+
+
 def cache_hits(pages: DataFrame, kept: DataFrame, now: Column) -> DataFrame:
-    """Pages whose kept copy may be used: fetched, not expired, copy there, hash equal.
+    """Pages whose kept copy may be used: fetched, not expired, copy there, its hash the page's.
 
-    ``pages``: id, fetch_status, cache_expires_at, cached_file_path, content_hash; ``kept``: cached_file_path, content_hash.
+    ``pages``: id, fetch_status, cache_expires_at, cached_file_path, content_hash; ``kept``: cached_file_path, content.
     """
-    copies = kept.select("cached_file_path", F.col("content_hash").alias("kept_hash")).distinct()
-    return pages.filter(F.col("fetch_status").isin("fetched", "cache_hit") & (F.col("cache_expires_at") > now)).join(copies, "cached_file_path").filter("content_hash = kept_hash").drop("kept_hash")
+    usable = pages.filter(F.col("fetch_status").isin("fetched", "cache_hit") & (F.col("cache_expires_at") > now))
+    return usable.join(kept_hashes(kept), "cached_file_path").filter(F.array_contains("kept_hashes", F.col("content_hash"))).drop("kept_hashes")
 
 
 def source_integrity(pages: DataFrame, kept: DataFrame) -> DataFrame:
-    """id, state of every page: missing_cache_metadata, cache_missing or ok."""
-    copies = kept.select("cached_file_path").distinct().withColumn("there", F.lit(True))
-    state = F.when(F.col("cached_file_path").isNull() | F.col("content_hash").isNull(), "missing_cache_metadata").when(F.col("there").isNull(), "cache_missing").otherwise("ok")
-    return pages.select("id", "cached_file_path", "content_hash").distinct().join(copies, "cached_file_path", "left").select("id", state.alias("state"))
+    """id, state of every page: missing_cache_metadata, cache_missing, cache_hash_mismatch or ok.
+
+    ``pages``: id, cached_file_path, content_hash; ``kept``: cached_file_path, content.
+    """
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    state = (
+        F.when(blank("cached_file_path") | blank("content_hash"), "missing_cache_metadata")
+        .when(F.col("kept_hashes").isNull(), "cache_missing")
+        .when(~F.array_contains("kept_hashes", F.col("content_hash")), "cache_hash_mismatch")
+        .otherwise("ok")
+    )
+    return pages.select("id", "cached_file_path", "content_hash").distinct().join(kept_hashes(kept), "cached_file_path", "left").select("id", state.alias("state"))
+
+
+def candidate_integrity(links: DataFrame, states: DataFrame) -> DataFrame:
+    """candidate_id, state: the first of its sources that is not ok, missing_source_relationship without sources.
+
+    ``links``: candidate_id, source_page_id, created_at (a null or unknown page is no source); ``states``: id, state.
+    """
+    found = links.join(states.select(F.col("id").alias("source_page_id"), "state"), "source_page_id", "left")
+    bad = F.min_by(F.when(F.col("state") != "ok", F.col("state")), F.when(F.col("state") != "ok", F.struct("created_at", "source_page_id")))
+    state = F.when(F.count("state") == 0, "missing_source_relationship").otherwise(F.coalesce(bad, F.lit("ok")))
+    return found.groupBy("candidate_id").agg(state.alias("state"))

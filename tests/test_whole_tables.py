@@ -1,9 +1,12 @@
 """Queries over whole tables: no row is left out before the operator runs."""
 
+import hashlib
 import re
 from collections import defaultdict
+from datetime import datetime as dt
 
 from tessera import queries_reference as q
+from tessera.sources import fetchlog
 
 
 def save(spark, folder, name, rows, schema):
@@ -21,3 +24,17 @@ def test_duplicate_groups_of_any_names(spark, tmp_path):
             want[f"{fold(u)} | {fold(p)}"].add(i)
     got = {r.group_key: (r.members, r.smallest_id) for r in q.queries()["duplicate_groups"](spark, str(tmp_path)).collect()}
     assert got == {k: (len(v), min(v)) for k, v in want.items() if len(v) > 1} and len(got) == 4
+
+
+def test_kept_copies_are_hashed(spark, tmp_path):
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    late = dt(2026, 1, 1)
+    pages = [("good", "a", h("text ä"), "fetched", late), ("corrupt", "b", h("text"), "fetched", late), ("gone", "c", h("x"), "fetched", late), ("empty", "d", h("x"), "cache_hit", late), ("bare", None, h("x"), "fetched", late), ("nohash", "a", None, "fetched", late), ("old", "a", h("text ä"), "fetched", dt(2024, 1, 1)), ("failed", "a", h("text ä"), "http_error", late)]
+    save(spark, tmp_path, "source_pages", pages + pages[:2], "id string, cached_file_path string, content_hash string, fetch_status string, cache_expires_at timestamp_ntz")
+    save(spark, tmp_path, "cached_pages", [("a", "text ä"), ("b", "text!"), ("d", None)], "cached_file_path string, page_text string")
+    states = q.queries()["source_integrity"](spark, str(tmp_path))
+    got = sorted((r.id, r.state) for r in states.collect())
+    assert got == sorted({"good": "ok", "corrupt": "cache_hash_mismatch", "gone": "cache_missing", "empty": "cache_missing", "bare": "missing_cache_metadata", "nohash": "missing_cache_metadata", "old": "ok", "failed": "ok"}.items())
+    assert [r.id for r in q.queries()["cache_hits"](spark, str(tmp_path)).collect()] == ["good"]
+    links = spark.createDataFrame([("1", "good", 1), ("1", "corrupt", 3), ("1", "gone", 2), ("2", "good", 1), ("3", None, 1), ("4", "unknown", 1)], "candidate_id string, source_page_id string, created_at int")
+    assert {(r.candidate_id, r.state) for r in fetchlog.candidate_integrity(links, states).collect()} == {("1", "cache_missing"), ("2", "ok"), ("3", "missing_source_relationship"), ("4", "missing_source_relationship")}
