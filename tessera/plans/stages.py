@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tessera.functions.urls import EMIT_SCORE, canonical_url, host, is_trap, link_score, safe_canonical
+from tessera.functions.urls import EMIT_SCORE, canonical_url, host, is_trap, link_score, safe_canonical, within_domain
 from tessera.operators import crawl, history, layers, merge, resolve
-from tessera.session import table
-from tessera.sources import facts
+from tessera.session import cut as shortened, table
+from tessera.sources import facts, sitemaps
 
 TABLES = ["collection_jobs", "source_pages", "candidate_records", "evidence_records", "conflict_records", "batch_input_rows", "discovery_seeds", "documents", "cached_pages", "raw_input_records", "record_deletions", "mix_targets"]
 
@@ -18,20 +18,47 @@ def register(spark: SparkSession, sf_dir: str, names: list[str] = TABLES) -> Non
         table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
-def discover(links: DataFrame, seeds: DataFrame, known: DataFrame, depth: int, target: int) -> DataFrame:
-    """Links found from the seeds' catalogues, scored, with status, up to ``target`` new candidates.
+# Sitemaps read of a domain, steps from a sitemap index to its sitemaps.
+MOST_SITEMAPS, SITEMAP_DEPTH = 25, 2
 
-    ``links``: page_url, ord, target, text; ``seeds``: official_domain, catalogue_url; ``known``: normalized_url.
+
+def sitemap_links(files: DataFrame, seeds: DataFrame) -> DataFrame:
+    """root, depth, src, ord, dst of the addresses in the sitemaps of each domain, indexes expanded.
+
+    ``files``: sitemap_url, content (binary); ``seeds``: official_domain and, if there, sitemap_url (one that
+    robots.txt declares is a further row).  The conventional places are tried besides.
+    """
+    root = F.lower("official_domain")
+    places = [F.concat(F.lit("https://"), root, F.lit("/sitemap.xml")), F.concat(F.lit("https://"), root, F.lit("/sitemap_index.xml"))]
+    if "sitemap_url" in seeds.columns:
+        places.append(F.col("sitemap_url"))
+    starts = seeds.filter("official_domain is not null").select(root.alias("root"), F.explode(F.array(*places)).alias("at"))
+    roots = starts.select("root", canonical_url("at").alias("node"), F.lit(False).alias("catalogue")).filter(F.col("node").isNotNull() & within_domain(host("node"), F.col("root")))
+    found = sitemaps.sitemap_locations(files).select(canonical_url("sitemap_url").alias("src"), "ord", canonical_url("loc").alias("dst"), "is_index")
+    found = shortened(found.filter("src is not null and dst is not null"))
+    reached = crawl.walk(roots, found.filter("is_index"), SITEMAP_DEPTH).filter(within_domain(host("node"), F.col("root")))
+    first = reached.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("depth", "node"))).filter(F.col("n") <= MOST_SITEMAPS)
+    return first.select("root", "depth", F.col("node").alias("src")).join(found.filter("not is_index"), "src").select("root", "depth", "src", "ord", "dst")
+
+
+def discover(links: DataFrame, seeds: DataFrame, known: DataFrame, depth: int, target: int, files: DataFrame | None = None) -> DataFrame:
+    """Links found in the seeds' sitemaps, then from their catalogues, scored, with status, up to ``target`` new candidates.
+
+    ``links``: page_url, ord, target, text; ``seeds``: official_domain, catalogue_url, sitemap_url (may be absent);
+    ``known``: normalized_url; ``files``: the sitemaps, as ``sitemap_links`` takes them.
     """
     roots = seeds.filter("catalogue_url is not null and official_domain is not null").select(F.lower("official_domain").alias("root"), canonical_url("catalogue_url").alias("node"), F.lit(True).alias("catalogue")).filter("node is not null")
     edges = links.select(canonical_url("page_url").alias("src"), canonical_url("target").alias("dst"), "text", "ord").filter("src is not null and dst is not null")
     inside = edges.filter(~is_trap("dst"))
     pages = crawl.walk(roots, inside, depth)
-    reached = pages.withColumnRenamed("node", "src").join(inside, "src")
+    reached = pages.withColumnRenamed("node", "src").join(inside, "src").withColumn("source", F.lit(1))
+    if files is not None:
+        listed = sitemap_links(files, seeds).withColumns({"text": F.lit(""), "catalogue": F.lit(False), "source": F.lit(0)})
+        reached = reached.unionByName(listed)
     within = reached.filter((host("dst") == F.col("root")) | host("dst").endswith(F.concat(F.lit("."), "root")))
     scored = within.withColumn("s", link_score("dst", "text", "catalogue")).filter(F.col("s.score") >= EMIT_SCORE)
     flagged = crawl.known_addresses(scored.withColumn("key", F.col("dst")), "key", known.select(canonical_url("normalized_url").alias("u")), ["u"])
-    order = ["root", "depth", "src", "ord", "dst"]
+    order = ["root", "source", "depth", "src", "ord", "dst"]
     status = history.emission_status(flagged, "key", F.col("known"), order)
     cut = history.cut_at_target(status, F.col("status") == "candidate", order, target)
     return cut.select("root", "depth", safe_canonical("dst").alias("discovered_url"), F.col("s.score").alias("score"), F.array_join("s.signals", ";").alias("signals"), "status")

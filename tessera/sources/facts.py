@@ -34,6 +34,8 @@ LABEL_FIELDS = {
     "start semester": "intake", "intake": "intake", "field of study": "field_category", "subject area": "field_category",
     "application": "application_url", "application url": "application_url", "apply": "application_url",
 }
+CARD = re.compile("card|spec|box|flex__")
+INSTITUTION = ("university", "universität", "universitaet")
 FACTS = "page_url string, ord int, kind string, name string, value string, locator string"
 
 
@@ -103,6 +105,9 @@ def page_facts(url: str, html: str | None) -> list[tuple[str, str, str, str]]:
                 out.append(("link", "canonical", joined.split("?")[0], "link:canonical"))
         elif n.tag == "title" and _line(n):
             out.append(("title", "title", _line(n), "title"))
+    institution = _institution(out)
+    if institution:
+        out.append(("meta", "institution", *institution))
     labels = 0
     for n in _walk(root, True):
         if n.tag == "h1" and _line(n):
@@ -124,6 +129,16 @@ def page_facts(url: str, html: str | None) -> list[tuple[str, str, str, str]]:
                     pairs.append((" ".join(label.split()), " ".join(value.split()), "labelled-lines"))
         elif n.tag == "p" and kids and kids[0].tag in ("strong", "b") and not "".join(c for c in n.children[: n.children.index(kids[0])] if isinstance(c, str)).strip():
             pairs.append((_line(kids[0]), _line(n)[len(_line(kids[0])) :].strip(" :"), "inline-strong"))
+        shown = [c for c in kids if c.tag not in NOISE and not hidden(c)]
+        if CARD.search(n.attrs.get("class") or ""):
+            value = " ".join(" ".join(_line(c) for c in shown if c.tag != "strong").split())
+            # the value of a card with a heading begins with the heading, as in the reference
+            pairs.extend((_line(c), value, "labelled-card") for c in shown if c.tag in ("strong", "h2", "h3", "h4", "h5", "h6") and value != _line(c))
+        for a, b in zip(shown, shown[1:]):
+            if a.tag == "p":
+                strong = [c for c in a.children if isinstance(c, Node) and c.tag == "strong"]
+                if strong and _line(a).strip(" :") == _line(strong[-1]).strip(" :"):  # no value of its own: it stands in the next element
+                    pairs.append((_line(strong[-1]), _line(b), "labelled-paragraph"))
         for label, value, where in pairs:
             if label and value and labels < MOST_LABELS:
                 labels += 1
@@ -131,6 +146,17 @@ def page_facts(url: str, html: str | None) -> list[tuple[str, str, str, str]]:
     return out
 
 
+def _institution(found: list[tuple[str, str, str, str]]) -> tuple[str, str] | None:
+    """(value, locator) of the first that names a university: author, segments of the title from its end, publisher."""
+    first: dict[str, str] = {}
+    for _, name, value, _ in (x for x in found if x[0] in ("meta", "title")):
+        first.setdefault(name, " ".join(value.split()))
+    tried = [(first.get("author", ""), "meta:author")]
+    tried += [(x.strip(), "title:institution-segment") for x in reversed((first.get("og:title") or first.get("title", "")).split("|"))]
+    tried.append((first.get("publisher", ""), "meta:publisher"))
+    return next(((v, where) for v, where in tried if any(x in v.casefold() for x in INSTITUTION)), None)
+
+
 def _value(cell: Node) -> str:
     """The text of a cell; where it speaks of applying, the address it links to."""
     text = _line(cell)
@@ -184,24 +210,26 @@ def suggestions(facts: DataFrame) -> DataFrame:
     """
     fields = F.create_map(*[F.lit(x) for kv in LABEL_FIELDS.items() for x in kv])
     label = F.regexp_replace(F.lower(clean_text("name")), ":+$", "")
+    og_title = (F.col("kind") == "meta") & (F.col("name") == "og:title")
+    titled = og_title | (F.col("kind") == "title")
     f = (
         F.when(F.col("kind") == "jsonld", F.col("name"))
         .when(F.col("kind") == "label", F.try_element_at(fields, label))
         .when(F.col("kind") == "heading", "program_name")
-        .when((F.col("kind") == "meta") & (F.col("name") == "og:site_name"), "university_name")
-        .when((F.col("kind") == "meta") & (F.col("name") == "og:title"), "program_name")
+        .when((F.col("kind") == "meta") & (F.col("name").isin("og:site_name", "institution")), "university_name")
+        .when(titled, "program_name")
         .when((F.col("kind") == "link") & (F.col("name") == "canonical"), "source_url")
     )
     named = facts.withColumn("field_name", f).filter("field_name is not null")
     first_h1 = facts.filter("kind = 'heading'").groupBy("page_url").agg(F.min_by("value", "ord").alias("h1"))
     is_programme = (
-        named.groupBy("page_url").agg(F.bool_or((F.col("kind") == "label") | ((F.col("kind") == "jsonld") & F.col("field_name").isin("program_name", "duration", "teaching_language"))).alias("known"))
+        named.groupBy("page_url").agg(F.bool_or((F.col("kind") == "label") | ((F.col("kind") == "jsonld") & F.col("field_name").isin("program_name", "duration", "teaching_language"))).alias("known"), F.bool_or(og_title).alias("has_og"))
         .join(first_h1, "page_url", "left")
         .filter(F.col("known") | values.degree("h1").isNotNull())
-        .select("page_url", F.col("h1").isNotNull().alias("has_h1"))
+        .select("page_url", F.col("h1").isNotNull().alias("has_h1"), "has_og")
     )
-    rows = named.join(is_programme, "page_url").filter("not (kind = 'meta' and name = 'og:title' and has_h1)")
-    raw = clean_text(F.when((F.col("kind") == "meta") & (F.col("name") == "og:title"), values.metadata_title("value")).otherwise(F.col("value")))
+    rows = named.join(is_programme, "page_url").filter(~(titled & F.col("has_h1")) & ~((F.col("kind") == "title") & F.col("has_og")))
+    raw = clean_text(F.when(titled, values.metadata_title("value")).otherwise(F.col("value")))
     rows = rows.withColumn("extracted_value", raw).filter("extracted_value <> ''")
     norm = (
         F.when(F.col("field_name") == "degree_level", values.degree("extracted_value"))
@@ -212,7 +240,7 @@ def suggestions(facts: DataFrame) -> DataFrame:
         .when(F.col("field_name") == "duration", values.duration("extracted_value")["semesters"].cast("string"))
         .otherwise(F.col("extracted_value"))
     )
-    confidence = F.when(F.col("kind") == "meta", "medium").otherwise("high")
+    confidence = F.when(F.col("kind").isin("meta", "title"), "medium").otherwise("high")
     rows = rows.select("page_url", "ord", "field_name", "extracted_value", norm.alias("normalized_value"), "locator", excerpt("name", "extracted_value").alias("excerpt"), confidence.alias("confidence"))
     key = ["page_url", "field_name", "folded", "locator"]
     rows = rows.withColumn("folded", F.lower(F.coalesce("normalized_value", "extracted_value")))
