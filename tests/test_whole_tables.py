@@ -38,3 +38,10 @@ def test_kept_copies_are_hashed(spark, tmp_path):
     assert [r.id for r in q.queries()["cache_hits"](spark, str(tmp_path)).collect()] == ["good"]
     links = spark.createDataFrame([("1", "good", 1), ("1", "corrupt", 3), ("1", "gone", 2), ("2", "good", 1), ("3", None, 1), ("4", "unknown", 1)], "candidate_id string, source_page_id string, created_at int")
     assert {(r.candidate_id, r.state) for r in fetchlog.candidate_integrity(links, states).collect()} == {("1", "cache_missing"), ("2", "ok"), ("3", "missing_source_relationship"), ("4", "missing_source_relationship")}
+
+
+def test_degree_words_of_all_values(spark, tmp_path):
+    forms = {"bachelor": ["bachelor", "Bachelor of Science", "B.Sc.", "BSc", "b. sc", "Bachelor and Master"], "master": ["master", "M.Sc.", "MSc", "Master of Science (M.Sc.)"], "phd": ["phd", "Ph.D.", "Doctorate", "Dr.-Ing."], None: ["mastery", "Diplom", "", None]}
+    rows = [(f"{level}{i}", "degree_level", v, level) for level, values in forms.items() for i, v in enumerate(values)]
+    save(spark, tmp_path, "evidence_records", [*[r[:3] for r in rows], rows[0][:3], ("other", "city", "master")], "id string, field_name string, extracted_value string")
+    assert sorted(map(str, q.queries()["degree_words"](spark, str(tmp_path)).collect())) == sorted(f"Row(id={r[0]!r}, level={r[3]!r})" for r in rows)
