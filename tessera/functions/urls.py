@@ -75,7 +75,7 @@ def address_problem(c: str | Column, most: int = 4096) -> Column:
     u = _c(c)
     authority = _part(u, 2)
     port = F.regexp_extract(authority, r":(\d*)$", 1)
-    number = F.expr("try_cast('0' as int)") if False else port.try_cast("int")
+    number = port.try_cast("int")
     h = host(u)
     private = r"^(?:127\.|10\.|0\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|22[4-9]\.|23\d\.|2[45]\d\.|100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.)"
     return (

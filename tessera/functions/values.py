@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tessera.functions.text import clean_text
+
 # Fixed values.
 DEGREE_FORMS = {
     "bachelor": r"(?iU)\b(?:b\.?\s*sc\.?|bachelor(?: of science)?)(?!\w)",
@@ -12,7 +14,9 @@ DEGREE_FORMS = {
 }
 COUNTRIES = {"germany": "DE", "deutschland": "DE", "netherlands": "NL", "france": "FR", "italy": "IT", "spain": "ES", "united kingdom": "GB", "austria": "AT", "switzerland": "CH"}
 NUMBERS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6}
-DEGREE_TOKEN = r"(?:master|bachelor|ph\.?d\.?|m\.?\s*sc\.?|b\.?\s*sc\.?|doctorate)(?: of science)?"
+#: Degrees that a programme's name may begin or end with: abbreviations by their parts, and words with what may follow.
+NAMED_DEGREES = [("b", "sc"), ("m", "sc"), ("ph", "d"), ("bachelor",), ("master",)]
+JOINTS = "-–—,:"
 
 
 def _c(c: str | Column) -> Column:
@@ -27,23 +31,37 @@ def degree(c: str | Column) -> Column:
     return out
 
 
+def _degree_wording() -> str:
+    """One expression for all ``NAMED_DEGREES``: parts may be dotted and, for the sciences, spaced."""
+    spelled = []
+    for parts in NAMED_DEGREES:
+        if len(parts) == 1:
+            spelled.append(parts[0] + "(?: of science)?")
+        else:
+            spelled.append(parts[0] + r"\.?" + (r"\s*" if parts[1] == "sc" else "") + parts[1] + r"\.?")
+    return "(?:" + "|".join(spelled) + ")"
+
+
 def program_name(c: str | Column) -> Column:
-    """Without one degree before and one behind; the whole name if nothing else is left."""
-    t = F.trim(_c(c))
-    bare = F.regexp_replace(t, rf"(?i)^{DEGREE_TOKEN}\s*(?:in\b)?[\s:,|–—-]*", "")
-    bare = F.trim(F.regexp_replace(bare, rf"(?i)[\s:,|–—(-]*\b{DEGREE_TOKEN}\)?$", ""))
+    """Without one degree before and one behind, with at most one joint; the whole name if nothing else is left."""
+    t = F.when(_c(c).isNotNull(), clean_text(_c(c)))
+    joint = rf"\s*[{JOINTS}]?\s*"
+    bare = F.regexp_replace(t, rf"(?iU)^{_degree_wording()}{joint}", "")
+    bare = clean_text(F.regexp_replace(bare, rf"(?iU){joint}{_degree_wording()}$", ""))
     return F.coalesce(F.nullif(bare, F.lit("")), t)
 
 
 def teaching_language(c: str | Column) -> Column:
-    low = F.lower(_c(c))
+    """English, German, both, or ``bilingual`` where it says so and names not both."""
+    low = F.lower(clean_text(_c(c)))
     english = low.contains("english") | low.contains("englisch")
     german = low.contains("german") | low.contains("deutsch")
-    return F.when((english & german) | low.contains("bilingual"), "English and German").when(english, "English").when(german, "German")
+    return F.when(english & german, "English and German").when(low.contains("bilingual"), "bilingual").when(english, "English").when(german, "German")
 
 
 def study_mode(c: str | Column) -> Column:
-    low = F.replace(F.replace(F.lower(_c(c)), F.lit("-"), F.lit(" ")), F.lit("_"), F.lit(" "))
+    """By words with blanks or hyphens between them; other joints (``full_time``) are unknown."""
+    low = F.when(_c(c).isNotNull(), F.replace(F.lower(clean_text(_c(c))), F.lit("-"), F.lit(" ")))
     return (
         F.when(low.contains("hybrid") | low.contains("blended"), "hybrid")
         .when(low.contains("online") | low.contains("distance"), "online")
@@ -56,8 +74,8 @@ def study_mode(c: str | Column) -> Column:
 def duration(c: str | Column) -> Column:
     """struct(value, unit, semesters) of ISO years and months, else of the first number before a unit; null for none."""
     t = F.lower(_c(c))
-    iso_n, iso_u = F.regexp_extract(t, r"^\s*p(\d{1,4})([ym])\s*$", 1), F.regexp_extract(t, r"^\s*p(\d{1,4})([ym])\s*$", 2)
-    word = r"\b(\d{1,4}|" + "|".join(NUMBERS) + r")[\s-]+(semester|year|month)s?\b"
+    iso_n, iso_u = F.regexp_extract(t, r"^\s*p(\d{1,9})([ym])\s*$", 1), F.regexp_extract(t, r"^\s*p(\d{1,9})([ym])\s*$", 2)
+    word = r"(?U)\b(\d{1,9}|" + "|".join(NUMBERS) + r")\s+(semester|year|month)s?\b"
     raw, unit = F.regexp_extract(t, word, 1), F.regexp_extract(t, word, 2)
     words = F.create_map(*[F.lit(x) for kv in NUMBERS.items() for x in kv])
     n = F.coalesce(raw.try_cast("int"), F.try_element_at(words, raw))

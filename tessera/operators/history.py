@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.skew import salted_join
+from tessera.session import stored
 
 
 def latest(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -38,12 +39,13 @@ def emission_status(rows: DataFrame, key: str, known: Column, order: list[str])
 def cut_at_target(rows: DataFrame, is_hit: Column, order: list[str], target: int, partitions: int | None = None) -> DataFrame:
     """Rows up to and including the ``target``-th hit in the given order.
 
-    Two passes without a global sort in one task: rows are range-partitioned, hits are counted by
-    partition, and only partitions before or at the cut keep rows.
+    Two passes without a global sort in one task: rows are range-partitioned and written with the
+    number of their range, hits are counted by range, and only ranges before or at the cut keep
+    rows.  The range bounds come from a sample, so the ranges are stored before they are counted.
     """
     spark = rows.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = rows.withColumn("_hit", F.coalesce(is_hit, F.lit(False)).cast("int")).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    parted = stored(rows.withColumn("_hit", F.coalesce(is_hit, F.lit(False)).cast("int")).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
     per = {r["_p"]: r["h"] for r in parted.groupBy("_p").agg(F.sum("_hit").alias("h")).collect()}  # one number a partition
     before, total = {}, 0
     for p in sorted(per):

@@ -41,10 +41,10 @@ def merge_conflicts(existing: DataFrame, derived: DataFrame) -> DataFrame:
     """Conflicts after a new derivation: the same field and unordered pair keeps its resolution, others reopen or go.
 
     Both: candidate_id, field_name, first_evidence_id, second_evidence_id; existing also
-    resolution_status and resolved_value.
+    resolution_status and resolved_value.  Of several resolutions of one pair the last by text counts.
     """
     pair = F.array_sort(F.array("first_evidence_id", "second_evidence_id")).alias("pair")
-    kept = existing.select("candidate_id", "field_name", pair, "resolution_status", "resolved_value").groupBy("candidate_id", "field_name", "pair").agg(F.max_by(F.struct("resolution_status", "resolved_value"), F.col("resolution_status") != "unresolved").alias("r"))
+    kept = existing.select("candidate_id", "field_name", pair, "resolution_status", "resolved_value").groupBy("candidate_id", "field_name", "pair").agg(F.max_by(F.struct("resolution_status", "resolved_value"), F.struct(F.col("resolution_status") != "unresolved", F.coalesce("resolution_status", F.lit("")), F.coalesce("resolved_value", F.lit("")))).alias("r"))
     now = derived.select("candidate_id", "field_name", pair).distinct()
     return now.join(kept, ["candidate_id", "field_name", "pair"], "left").select(
         "candidate_id", "field_name", F.col("pair")[0].alias("evidence_a"), F.col("pair")[1].alias("evidence_b"), F.coalesce("r.resolution_status", F.lit("unresolved")).alias("resolution_status"), F.col("r.resolved_value").alias("resolved_value")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.operators.skew import salted_join
-from tessera.session import cut
+from tessera.operators.skew import heavy_keys, salted_join
+from tessera.session import cut, stored
 
 
 @dataclass(frozen=True)
@@ -79,53 +80,68 @@ def _joined(tables: dict[str, DataFrame], log: DataFrame, keys) -> DataFrame:
     return salted_join(left, right, "link", F.col("record_id"), "left").drop("link")
 
 
-def broken_references(tables: dict[str, DataFrame], log: DataFrame, keys=REPORTED) -> DataFrame:
-    """record_table, record_column, record_id, kind, report_month of each broken reference.
+CASCADED = ["record_table", "record_column", "record_id", "kind", "orphanhood", "depth", "report_month"]
 
-    kind: ``deleted`` before ``missing`` before ``late``.  Null times make no reference late
-    and give a null month; repeated rows count once; a null referring id is kept as null.
+
+def cascade(tables: dict[str, DataFrame], log: DataFrame, keys=GRAPH) -> DataFrame:
+    """Broken references, and the rows that hang on a row with one at any depth; columns ``CASCADED``.
+
+    ``direct`` rows, one a reference (depth 0): its kind is ``deleted`` before ``missing`` before
+    ``late``.  ``inherited`` rows, one a record (record_id cleaned, record_column and kind null):
+    the record's own references stand, but one leads to a record with a deleted or missing
+    reference, or to such a record; a late reference takes nothing down.  Each round joins the
+    frontier alone, down the key graph, and the walk ends when a round finds nothing new, so
+    chains of any length are followed and cycles end.  Null times make no reference late and
+    give a null month; repeated rows count once; a null referring id is kept as null.
     """
     kind = (
         F.when(F.col("gone"), "deleted")
         .when(F.col("there").isNull() | ~F.col("there"), "missing")
         .when(F.col("stands") > F.col("at"), "late")
     )
-    return (
+    nodes = {k.child for k in keys}
+    edges = stored(
         _joined(tables, log, keys)
         .withColumn("kind", kind)
-        .filter("kind is not null")
-        .select("record_table", "record_column", "record_id", "kind", F.date_format("at", "yyyy-MM").alias("report_month"))
-        .distinct()
+        # a sound reference to a table without references of its own hands nothing down
+        .filter(F.col("kind").isNotNull() | F.col("parent").isin(sorted(nodes)))
+        .select("record_table", "record_column", "record_id", "parent", "key", "kind", F.date_format("at", "yyyy-MM").alias("report_month"))
     )
-
-
-def cascade(tables: dict[str, DataFrame], log: DataFrame, keys=GRAPH, rounds: int = 20) -> DataFrame:
-    """Direct orphans, and rows that hang on an orphan at any depth.
-
-    record_table, record_id, orphanhood (``direct`` or ``inherited``), depth, report_month.
-    Direct: one of the row's own references is deleted or missing.  Inherited: it is
-    sound itself, but a row it refers to is an orphan.  Each round joins only the
-    frontier; it ends when no new orphan appears, so cycles end too.
-    """
-    edges = _joined(tables, log, keys)
-    edges = cut(
-        edges.select(
-            "record_table",
-            clean_key("record_id").alias("node"),
-            "parent",
-            "key",
-            F.date_format("at", "yyyy-MM").alias("report_month"),
-            (F.col("gone") | F.col("there").isNull() | ~F.col("there")).alias("broken"),
-        ).filter("node is not null")
-    ).withColumn("broken", F.coalesce("broken", F.lit(True)))
-    found = cut(edges.filter("broken").groupBy("record_table", "node").agg(F.min("report_month").alias("report_month")).withColumn("depth", F.lit(0)))
-    frontier = found
-    for depth in range(1, rounds + 1):
-        up = frontier.select(F.concat_ws("|", "record_table", "node").alias("link")).distinct()
-        hit = salted_join(edges.withColumn("link", F.concat_ws("|", "parent", "key")), up, "link", F.col("node"), "left_semi")
-        fresh = hit.groupBy("record_table", "node").agg(F.min("report_month").alias("report_month")).join(found.select("record_table", "node"), ["record_table", "node"], "left_anti")
-        frontier = cut(fresh.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+    direct = edges.filter("kind is not null").select("record_table", "record_column", "record_id", "kind", F.lit("direct").alias("orphanhood"), F.lit(0).alias("depth"), "report_month").distinct()
+    link = lambda table, key: F.concat_ws("|", table, key)
+    sound = edges.filter(F.col("parent").isin(sorted(nodes)) & F.coalesce(F.col("kind") == "late", F.lit(True))).select("record_table", clean_key("record_id").alias("node"), link("parent", "key").alias("link"), "report_month").filter("node is not null")
+    found = cut(edges.filter("kind in ('deleted', 'missing')").select(link("record_table", clean_key("record_id")).alias("link")).filter(F.col("link").contains("|")).distinct())
+    heavy, frontier, depth, rounds = None, found, 0, []
+    while True:
+        depth += 1
+        heavy = heavy_keys(sound, "link") if heavy is None else heavy
+        hit = salted_join(sound, frontier, "link", F.col("node"), "left_semi", heavy=heavy)
+        hit = hit.groupBy("record_table", "node").agg(F.min("report_month").alias("report_month")).withColumn("link", link("record_table", "node"))
+        fresh = cut(hit.join(found, "link", "left_anti"))
+        if fresh.isEmpty():
             break
-        found = cut(found.unionByName(frontier))
-    return found.select("record_table", F.col("node").alias("record_id"), F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("orphanhood"), "depth", "report_month")
+        rounds.append(fresh.select("record_table", F.lit(None).cast("string").alias("record_column"), F.col("node").alias("record_id"), F.lit(None).cast("string").alias("kind"), F.lit("inherited").alias("orphanhood"), F.lit(depth).alias("depth"), "report_month"))
+        frontier = fresh.select("link")
+        found = found.unionByName(frontier)
+        if depth % 8 == 0:  # a long chain keeps a short plan
+            found, rounds = cut(found), [cut(reduce(DataFrame.unionByName, rounds))]
+    return reduce(DataFrame.unionByName, rounds, direct).select(*CASCADED)
+
+
+def broken_references(cascaded: DataFrame, keys=REPORTED) -> DataFrame:
+    """record_table, record_column, record_id, kind, report_month: the direct layer of a cascade, in the columns of ``keys``."""
+    wanted = [f"{k.child}.{k.column}" for k in keys]
+    direct = cascaded.filter(F.col("orphanhood") == "direct").filter(F.concat_ws(".", "record_table", "record_column").isin(wanted))
+    return direct.select("record_table", "record_column", "record_id", "kind", "report_month")
+
+
+def orphan_counts(cascaded: DataFrame) -> DataFrame:
+    """record_table, report_month, orphanhood, depth, rows: records with a deleted or missing reference, and those below them."""
+    records = (
+        cascaded.filter("orphanhood = 'inherited' or kind in ('deleted', 'missing')")
+        .withColumn("record_id", clean_key("record_id"))
+        .filter("record_id is not null")
+        .groupBy("record_table", "record_id", "orphanhood", "depth")
+        .agg(F.min("report_month").alias("report_month"))
+    )
+    return records.groupBy("record_table", "report_month", "orphanhood", "depth").agg(F.count(F.lit(1)).alias("rows"))

@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tessera.operators.skew import salted_join
+from tessera.session import cut, stored
+
 # Units of time in months, with their known spellings (English, German, French, Spanish).
 UNITS = {
     "semester": (6.0, ["semester", "semesters", "semestre", "semestres", "sem", "fachsemester"]),
@@ -67,10 +70,29 @@ def plain(text: Column) -> Column:
     return F.trim(t)
 
 
+#: Words that bring in what a duration holds, or may; and parts of a study.
+HOLDS = r"(?:incl|including|included|inkl|inklusive|einschließlich|einschl|of which|davon|thereof|inclusive)"
+BESIDE = r"(?:plus|with|mit|avec|con)"
+PARTS = r"(?:intern\w*|thes[ie]s|thèse|tesis|placement\w*|praktik\w*|praxis\w*|practic\w*|prácticas?|stage\w*|\w*arbeit|project\w*|projekt\w*|abroad|ausland\w*|prep\w*|vorbereit\w*|foundation|exam\w*|prüfung\w*|break|language|sprach\w*|ects|credits?)"
+
+
 def core(text: Column) -> Column:
-    """``plain`` without credits and without the parts of the study (``incl. 20-week internship``)."""
+    """``plain`` without brackets, credits and the parts of the study (``incl. 20-week internship``).
+
+    A clause behind ``with`` or ``plus`` goes only if it names a part of the study.
+    """
     t = F.regexp_replace(plain(text), r"\([^)]*\)?", " ")
-    t = F.regexp_replace(t, r"(?U)[,;]?\s*\b(?:incl|including|included|inkl|inklusive|einschließlich|einschl|plus|with|mit|avec|con|of which|davon|thereof|inclusive)\b.*$", " ")
+    return _bare_of_parts(t)
+
+
+def bracketed(text: Column) -> Column:
+    """What stands in brackets, read like ``core``: it counts where the text around states no duration."""
+    return _bare_of_parts(F.array_join(F.regexp_extract_all(plain(text), F.lit(r"\(([^)]*)\)?"), F.lit(1)), " ; "))
+
+
+def _bare_of_parts(t: Column) -> Column:
+    t = F.regexp_replace(t, rf"(?U)[,;]?\s*\b{HOLDS}\b.*$", " ")
+    t = F.regexp_replace(t, rf"(?U)[,;]?\s*\b{BESIDE}\b(?=.*\b{PARTS}\b).*$", " ")
     return F.trim(F.regexp_replace(t, r"(?U)\d+(?:\.\d+)?[\s-]*(?:ects|credits?|cp|lp|kp|credit points?|leistungspunkte|points?|créditos|crédits)\b(?:[\s-]*(?:credits?|points?|punkte))?", " "))
 
 
@@ -130,13 +152,14 @@ def unit_aliases(spellings: DataFrame) -> DataFrame:
     spark = spellings.sparkSession
     known = spark.createDataFrame([(k, u, m) for u, (m, words) in UNITS.items() for k in words], "known string, unit string, months_each double")
     index = known.select("known", "unit", "months_each", F.explode(_grams(F.col("known"))).alias("gram"))
-    words = spellings.select("spelling").distinct().filter(F.length("spelling").between(1, 20))
+    words = spellings.select("spelling").distinct().filter(F.length("spelling") > 0)
     asked = words.select("spelling", F.size(_grams(F.col("spelling"))).alias("n"), F.explode(_grams(F.col("spelling"))).alias("gram"))
     proposed = (
         asked.join(F.broadcast(index), "gram")  # a fixed list: bounded by UNITS
         .groupBy("spelling", "known", "unit", "months_each", "n")
         .agg(F.count(F.lit(1)).alias("shared"))
-        .filter((F.col("spelling") == F.col("known")) | ((F.length("spelling") > 4) & (F.col("shared") * 2 >= F.col("n"))))
+        # an edit of cost 1 takes away four 2-grams at most (two near letters, or a swap at 0.75 three)
+        .filter((F.col("spelling") == F.col("known")) | ((F.length("spelling") > 4) & (F.col("shared") >= F.col("n") - 4 * F.floor(F.length("spelling") / 5))))
     )
 
     @F.pandas_udf(T.DoubleType())
@@ -160,40 +183,47 @@ def unit_aliases(spellings: DataFrame) -> DataFrame:
 ALIAS_BOUND = 50_000
 
 
+def stated_parts(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys``, _raw, _within, _amount, spelling: the numbers with a word behind of every text that is not open.
+
+    ``_within``: 0 for the text itself, 1 for what it has in brackets.
+    """
+    # the one-element explode keeps the long expressions from being copied into each use
+    told = rows.select(*keys, F.explode(F.array(F.struct(core(F.col(text)).alias("_t"), bracketed(F.col(text)).alias("_b")))).alias("_c"), F.col(text).alias("_raw"))
+    told = told.filter(F.col("_c._t").isNotNull() & ~is_open(F.col("_c._t")))
+    inner = F.when(is_open(F.col("_c._b")), F.lit("")).otherwise(F.col("_c._b"))
+    told = told.select(*keys, "_raw", F.posexplode(F.array(F.col("_c._t"), inner)).alias("_within", "_t")).filter("_t <> ''")
+    return told.select(*keys, "_raw", "_within", F.explode(pieces(F.col("_t"))).alias("_x")).select(*keys, "_raw", "_within", F.col("_x.amount").cast("double").alias("_amount"), F.col("_x.spelling").alias("spelling"))
+
+
 def with_months(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and months of each row whose text states one duration; one row a key and text.
 
     Null, blank and open texts, texts without a unit, and several different durations that
-    are not the years and months of one give no row.  Months are rounded to whole ones.
+    are not the years and months of one give no row; texts of any length are read.  What stands
+    in brackets counts only where the text around it states nothing.  Months are rounded to
+    whole ones.
     """
-    told = (
-        # the one-element explode keeps the long expression from being copied into each use
-        rows.select(*keys, F.explode(F.array(core(F.col(text)))).alias("_t"), F.col(text).alias("_raw"))
-        .filter(F.col("_t").isNotNull() & (F.length("_t") < 200) & ~is_open(F.col("_t")))
-        .withColumn("_p", pieces(F.col("_t")))
-        .select(*keys, "_raw", F.posexplode("_p").alias("_i", "_x"))
-        .select(*keys, "_raw", "_i", F.col("_x.amount").cast("double").alias("_amount"), F.col("_x.spelling").alias("spelling"))
-    )
-    aliases = unit_aliases(told.select("spelling"))
-    from tessera.operators.skew import salted_join
-    from tessera.session import cut
-
-    aliases = cut(aliases)
+    told = stored(stated_parts(rows, keys, text))
+    aliases = cut(unit_aliases(told.select("spelling")))
     if aliases.limit(ALIAS_BOUND + 1).count() <= ALIAS_BOUND:  # checked size
         told = told.join(F.broadcast(aliases), "spelling")
     else:
         told = salted_join(told, aliases, "spelling", F.xxhash64(*keys))
-    parts = told.groupBy(*keys, "_raw").agg(
-        F.sum(F.col("_amount") * F.col("months_each")).alias("_sum"),
-        F.max(F.col("_amount") * F.col("months_each")).alias("_max"),
-        F.min(F.round(F.col("_amount") * F.col("months_each"), 3)).alias("_least"),
-        F.max(F.round(F.col("_amount") * F.col("months_each"), 3)).alias("_most"),
+    each = F.col("_amount") * F.col("months_each")
+    parts = told.groupBy(*keys, "_raw", "_within").agg(
+        F.sum(each).alias("_sum"),
+        F.max(each).alias("_max"),
+        F.min(F.round(each, 3)).alias("_least"),
+        F.max(F.round(each, 3)).alias("_most"),
         F.sort_array(F.collect_set("unit")).alias("_units"),
         F.count(F.lit(1)).alias("_n"),
     )
     mixed = (F.col("_n") == 2) & (F.col("_units") == F.array(F.lit("month"), F.lit("year"))) & (F.col("_least") < 12)
     value = F.when(F.col("_least") == F.col("_most"), F.col("_max")).when(mixed, F.col("_sum"))
-    return parts.withColumn("months", F.round(value).cast("bigint")).filter("months > 0").select(*keys, F.col("_raw").alias(text), "months")
+    parts = parts.select(*keys, "_raw", "_within", F.round(value).cast("bigint").alias("_m"))
+    first = parts.groupBy(*keys, "_raw").agg(F.min_by("_m", "_within").alias("months"))
+    return first.filter("months > 0").select(*keys, F.col("_raw").alias(text), "months")
 
 
 def _bare(c: Column) -> Column:

@@ -36,16 +36,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_aliases(spark: SparkSession, d: str) -> DataFrame:
     """The alias dictionary of the unit spellings in the data."""
     rows = units.candidate_statements(table(spark, d, "candidate_records")).unionByName(units.evidence_statements(table(spark, d, "evidence_records")))
-    told = rows.select(F.explode(F.array(units.core(F.col("text")))).alias("t")).select(F.explode(units.pieces(F.col("t"))).alias("x")).select("x.spelling")
-    return units.unit_aliases(told)
+    return units.unit_aliases(units.stated_parts(rows, ["record_table", "record_id"]).select("spelling"))
 
 
 def _linked(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {n: table(spark, d, n) for n in ("source_pages", "candidate_records", "evidence_records", "conflict_records")}
 
 
+def _cascade(spark: SparkSession, d: str) -> DataFrame:
+    return orphans.cascade(_linked(spark, d), table(spark, d, "record_deletions"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.broken_references(_linked(spark, d), table(spark, d, "record_deletions"))
+    return orphans.broken_references(_cascade(spark, d))
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
@@ -55,8 +58,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Direct and inherited orphans per table and month."""
-    found = orphans.cascade(_linked(spark, d), table(spark, d, "record_deletions"))
-    return found.groupBy("record_table", "report_month", "orphanhood", "depth").agg(F.count(F.lit(1)).alias("rows"))
+    return orphans.orphan_counts(_cascade(spark, d))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -90,7 +92,7 @@ def oracle_sql() -> dict[str, str]:
     found = f"select distinct * from ({union}) where kind is not null"
     edges = "\nunion all\n".join(_edges(k.child, k.column, k.parent) for k in orphans.GRAPH)
     cascade = f"""with recursive e as materialized (select distinct * from ({edges})),
-w as (select record_table, node, 0 as depth from e where broken union select e.record_table, e.node, w.depth + 1 from e join w on e.parent = w.record_table and e.key = w.node where w.depth < 20),
+w as (select record_table, node, 0 as depth from e where broken union select e.record_table, e.node, w.depth + 1 from e join w on e.parent = w.record_table and e.key = w.node),
 least_depth as (select record_table, node, min(depth) as depth from w group by 1, 2),
 months as (select record_table, node, min(report_month) as report_month from e group by 1, 2)
 select record_table, report_month, case depth when 0 then 'direct' else 'inherited' end as orphanhood, depth::int as depth, count(*) as "rows" from least_depth join months using (record_table, node) group by all"""

@@ -143,18 +143,23 @@ def evidence_merge(spark, d):
 
 
 @query(f"""with {RANKED_SQL}, derived as (select distinct candidate_id, field_name, least(first_id, second_id) as a, greatest(first_id, second_id) as b from resolved where outcome = 'conflict'),
-kept as (select candidate_id, field_name, least(first_evidence_id, second_evidence_id) as a, greatest(first_evidence_id, second_evidence_id) as b, max(case when resolution_status <> 'unresolved' then resolution_status end) as s, count(distinct resolved_value) as k, min(resolved_value) as v from conflict_records group by all)
-select candidate_id, field_name, a as evidence_a, b as evidence_b, coalesce(s, 'unresolved') as resolution_status from derived left join kept using (candidate_id, field_name, a, b)""")
+kept as (select candidate_id, field_name, a, b, s, v from (select candidate_id, field_name, least(first_evidence_id, second_evidence_id) as a, greatest(first_evidence_id, second_evidence_id) as b, resolution_status as s, resolved_value as v,
+  row_number() over (partition by candidate_id, field_name, least(first_evidence_id, second_evidence_id), greatest(first_evidence_id, second_evidence_id) order by resolution_status <> 'unresolved' desc, coalesce(resolution_status, '') desc, coalesce(resolved_value, '') desc) as n from conflict_records) where n = 1)
+select candidate_id, field_name, a as evidence_a, b as evidence_b, coalesce(s, 'unresolved') as resolution_status, v as resolved_value from derived left join kept using (candidate_id, field_name, a, b)""")
 def conflict_merge(spark, d):
     found = _resolved(spark, d).filter("outcome = 'conflict'")
-    return merge.merge_conflicts(table(spark, d, "conflict_records"), found).drop("resolved_value")
+    return merge.merge_conflicts(table(spark, d, "conflict_records"), found)
 
 
-@query("""select id, max(created_at) as last_created from source_pages group by id""")
+@query(f"""select id, max(created_at) as last_created, count(distinct case when created_at < {SPLIT} then 'kept' else 'new' end) as sides from source_pages group by id""")
 def page_upsert(spark, d):
+    """Pages of before a day, with those of after it upserted."""
     p = table(spark, d, "source_pages")
-    merged = merge.upsert(p.limit(0), p, ["id"], "created_at")
-    return merged.select("id", F.col("created_at").alias("last_created"))
+    early = F.col("created_at") < F.lit("2025-12-01 00:00:00").cast("timestamp_ntz")
+    old, new = p.filter(early), p.filter(~early)
+    merged = merge.upsert(old, new, ["id"], "created_at")
+    both = old.select("id").distinct().join(new.select("id").distinct(), "id").withColumn("both", F.lit(1))
+    return merged.join(both, "id", "left").select("id", F.col("created_at").alias("last_created"), (F.lit(1) + F.coalesce("both", F.lit(0))).cast("bigint").alias("sides"))
 
 
 @query("""select batch_row_id, job_id, canonical_url from (select *, row_number() over (partition by job_id, canonical_url order by submitted_at, batch_row_id) as n from batch_input_rows where canonical_url is not null) where n = 1""")
@@ -248,10 +253,9 @@ def cache_paths(spark, d):
     return p.select("id", text.cache_path(urls.host("normalized_url"), F.col("content_hash"), F.col("content_type")).alias("path"))
 
 
-@query(r"""select distinct id, case when lower(extracted_value) like '%bachelor%' then 'bachelor' when lower(extracted_value) like '%master%' then 'master' end as level from evidence_records
-where field_name = 'degree_level' and regexp_matches(lower(extracted_value), '^(bachelor|master)( of science)?$')""")
+@query(r"""select distinct id, case when regexp_matches(v, '(^|\W)(b\.?\s*sc\.?|bachelor( of science)?)($|\W)') then 'bachelor' when regexp_matches(v, '(^|\W)(m\.?\s*sc\.?|master( of science)?)($|\W)') then 'master'
+ when regexp_matches(v, '(^|\W)(ph\.?d\.?|doctorate|dr\.?-?ing\.?)($|\W)') then 'phd' end as level from (select id, lower(extracted_value) as v from evidence_records where field_name = 'degree_level')""")
 def degree_words(spark, d):
-    """Over all degree values; the SQL states only the words bachelor and master (README, Checks)."""
     e = table(spark, d, "evidence_records").filter(F.col("field_name") == "degree_level")
     return e.select("id", values.degree("extracted_value").alias("level")).distinct()
 
@@ -265,15 +269,15 @@ def normal_forms(spark, d):
     return e.select("id", norm.alias("normal"), dur["value"].alias("amount"), dur["unit"].alias("unit"), dur["semesters"].alias("semesters"))
 
 
-@query("""select distinct id, case when lower(extracted_value) like '%bilingual%' or ((lower(extracted_value) like '%english%' or lower(extracted_value) like '%englisch%') and (lower(extracted_value) like '%german%' or lower(extracted_value) like '%deutsch%')) then 'English and German'
- when lower(extracted_value) like '%english%' or lower(extracted_value) like '%englisch%' then 'English' when lower(extracted_value) like '%german%' or lower(extracted_value) like '%deutsch%' then 'German' end as language from evidence_records where field_name = 'teaching_language'""")
+@query("""select distinct id, case when has_en and has_de then 'English and German' when v like '%bilingual%' then 'bilingual' when has_en then 'English' when has_de then 'German' end as language
+from (select id, lower(extracted_value) as v, regexp_matches(lower(extracted_value), 'english|englisch') as has_en, regexp_matches(lower(extracted_value), 'german|deutsch') as has_de from evidence_records where field_name = 'teaching_language')""")
 def language_forms(spark, d):
     e = table(spark, d, "evidence_records").filter("field_name = 'teaching_language'")
     return e.select("id", values.teaching_language("extracted_value").alias("language")).distinct()
 
 
-@query("""select distinct id, case when m like '%hybrid%' or m like '%blended%' then 'hybrid' when m like '%online%' or m like '%distance%' then 'online' when m like '%part time%' then 'part_time' when m like '%full time%' then 'full_time' else 'unknown' end as mode
-from (select id, replace(replace(lower(extracted_value), '-', ' '), '_', ' ') as m from evidence_records where field_name = 'study_mode' and extracted_value is not null)""")
+@query(r"""select distinct id, case when m like '%hybrid%' or m like '%blended%' then 'hybrid' when m like '%online%' or m like '%distance%' then 'online' when m like '%part time%' then 'part_time' when m like '%full time%' then 'full_time' else 'unknown' end as mode
+from (select id, replace(lower(trim(regexp_replace(extracted_value, '\s+', ' ', 'g'))), '-', ' ') as m from evidence_records where field_name = 'study_mode' and extracted_value is not null)""")
 def study_mode_forms(spark, d):
     e = table(spark, d, "evidence_records").filter("field_name = 'study_mode' and extracted_value is not null")
     return e.select("id", values.study_mode("extracted_value").alias("mode")).distinct()
@@ -289,11 +293,10 @@ def override_checks(spark, d):
 # ---------------------------------------------------------------- groups, rates, contracts
 
 
-@query("""select u || ' | ' || p as group_key, count(*) as members, min(id) as smallest_id from (select distinct batch_row_id as id, lower(trim(expected_university_name)) as u, lower(trim(expected_program_name)) as p from batch_input_rows
- where regexp_matches(expected_university_name, '^[ -~]+$') and not regexp_matches(trim(expected_university_name), '  ') and regexp_matches(expected_program_name, '^[ -~]+$') and not regexp_matches(trim(expected_program_name), '  '))
+@query(r"""select u || ' | ' || p as group_key, count(*) as members, min(id) as smallest_id from (select distinct batch_row_id as id,
+ replace(lower(trim(regexp_replace(expected_university_name, '[\s\x{00A0}]+', ' ', 'g'))), 'ß', 'ss') as u, replace(lower(trim(regexp_replace(expected_program_name, '[\s\x{00A0}]+', ' ', 'g'))), 'ß', 'ss') as p from batch_input_rows)
  where u <> '' and p <> '' group by u, p having count(*) > 1""")
 def duplicate_groups(spark, d):
-    """Over the whole table; the SQL states only its ASCII names without doubled blanks (README, Checks)."""
     return groups.duplicate_groups(table(spark, d, "batch_input_rows"), "batch_row_id", [F.col("expected_university_name"), F.col("expected_program_name")])
 
 
@@ -349,13 +352,13 @@ def export_digests(spark, d):
 # ---------------------------------------------------------------- pages and joins
 
 
-@query("""select p.id, case when p.cached_file_path is null or p.content_hash is null then 'missing_cache_metadata' when c.cached_file_path is null then 'cache_missing' else 'ok' end as state from (select distinct id, cached_file_path, content_hash from source_pages) p left join cached_pages c using (cached_file_path)""")
+@query("""select p.id, case when p.cached_file_path is null or p.content_hash is null then 'missing_cache_metadata' when c.cached_file_path is null then 'cache_missing' when sha256(c.page_text) <> p.content_hash then 'cache_hash_mismatch' else 'ok' end as state from (select distinct id, cached_file_path, content_hash from source_pages) p left join cached_pages c using (cached_file_path)""")
 def source_integrity(spark, d):
     """The copies here are texts of pages, not the bytes that were hashed (COVERAGE.md)."""
     return fetchlog.source_integrity(table(spark, d, "source_pages"), table(spark, d, "cached_pages").withColumnRenamed("page_text", "content"))
 
 
-@query("""select distinct p.id from source_pages p join cached_pages c using (cached_file_path) where p.fetch_status in ('fetched', 'cache_hit') and p.cache_expires_at > timestamp '2025-06-01 00:00:00' and p.content_hash is not null""")
+@query("""select distinct p.id from source_pages p join cached_pages c using (cached_file_path) where p.fetch_status in ('fetched', 'cache_hit') and p.cache_expires_at > timestamp '2025-06-01 00:00:00' and sha256(c.page_text) = p.content_hash""")
 def cache_hits(spark, d):
     p, kept = table(spark, d, "source_pages"), table(spark, d, "cached_pages").withColumnRenamed("page_text", "content")
     return fetchlog.cache_hits(p, kept, F.lit("2025-06-01 00:00:00").cast("timestamp_ntz")).select("id").distinct()

@@ -20,6 +20,7 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -59,10 +60,21 @@ def _remove(context, path: str) -> None:
         pass
 
 
+_STORED: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Take away the tables that ``stored`` has written so far; for a long session, between queries whose results are written."""
+    while _STORED:
+        _remove(spark.sparkContext, _STORED.pop())
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a compressed table in the shared folder: like ``cut``, for wide rows that are read more than once."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    atexit.register(_remove, df.sparkSession.sparkContext, path)
+    if not _STORED:
+        atexit.register(release, df.sparkSession)
+    _STORED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

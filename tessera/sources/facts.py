@@ -36,7 +36,9 @@ LABEL_FIELDS = {
 }
 CARD = re.compile("card|spec|box|flex__")
 INSTITUTION = ("university", "universität", "universitaet")
-FACTS = "page_url string, ord int, kind string, name string, value string, locator string"
+#: Beside the fact itself: the address it resolves to, the page's first heading, whether the page shows a programme, whether it has og:title.
+FACTS = "page_url string, ord int, kind string, name string, value string, locator string, resolved string, first_heading string, shows_programme boolean, has_og boolean"
+MOST_HEADINGS = 5
 
 
 def _walk(root: Node, skip_noise: bool):
@@ -94,24 +96,34 @@ def page_facts(url: str, html: str | None) -> list[tuple[str, str, str, str]]:
                 for name, v in (("university_name", x.get("name")), ("country_code", place.get("addressCountry") if isinstance(place, dict) else None)):
                     if text(v):
                         out.append(("jsonld", name, v, f"json-ld:{name}"))
+    canonical = None
     for n in _walk(root, False):
         if n.tag == "meta" and n.attrs.get("content"):
             key = (n.attrs.get("property") or n.attrs.get("name") or "").lower()
             if key in ("og:site_name", "og:title", "author", "publisher"):
                 out.append(("meta", key, n.attrs["content"], f"meta:{key}"))
         elif n.tag == "link" and "canonical" in n.attrs.get("rel", "").lower().split() and n.attrs.get("href"):
-            joined = urljoin(url or "", n.attrs["href"].strip())
-            if re.match(r"(?i)https?://[^/?#]", joined):
-                out.append(("link", "canonical", joined.split("?")[0], "link:canonical"))
+            canonical = canonical or resolved(url, n.attrs["href"])
         elif n.tag == "title" and _line(n):
             out.append(("title", "title", _line(n), "title"))
+    if canonical:
+        out.append(("link", "source", canonical.split("?")[0], "link:canonical"))
+    elif url:
+        out.append(("link", "source", url.split("?")[0], "source-page-record"))
     institution = _institution(out)
     if institution:
         out.append(("meta", "institution", *institution))
-    labels = 0
+    labels = headings = 0
+    named = False
     for n in _walk(root, True):
-        if n.tag == "h1" and _line(n):
-            out.append(("heading", "h1", _line(n), "h1"))
+        if n.tag == "h1" and headings < MOST_HEADINGS and not named:
+            headings += 1
+            if headings == 1:  # what stands beside the first one, which may be empty
+                beside = " ".join(x for x in map(_line, _neighbours(root, n)) if x)
+            if _line(n):
+                named = True
+                out.append(("heading", "h1", _line(n), "h1"))
+                out.append(("beside", "h1", beside, "h1[1]:adjacent-degree-context"))
         pairs: list[tuple[str, str, str]] = []
         kids = [c for c in n.children if isinstance(c, Node)]
         if n.tag == "dl":
@@ -146,6 +158,36 @@ def page_facts(url: str, html: str | None) -> list[tuple[str, str, str, str]]:
     return out
 
 
+def _neighbours(root: Node, node: Node) -> list[Node]:
+    """The elements right before and behind a node."""
+    parent = next((p for p in _walk(root, True) if any(c is node for c in p.children)), root)
+    around = [c for c in parent.children if isinstance(c, Node) and not (c.tag in NOISE or hidden(c))]
+    at = next(i for i, c in enumerate(around) if c is node)
+    return around[max(0, at - 1) : at] + around[at + 1 : at + 2]
+
+
+def resolved(url: str | None, target: str) -> str | None:
+    """``target`` as an absolute http(s) address, seen from the page."""
+    try:
+        joined = urljoin(url or "", target.strip())
+    except ValueError:
+        return None
+    return joined if re.match(r"(?i)https?://[^/?#]", joined) else None
+
+
+def _field(label: str) -> str | None:
+    return LABEL_FIELDS.get(" ".join(label.split()).lower().rstrip(":"))
+
+
+def described(url: str | None, html: str | None) -> list[tuple]:
+    """The facts of a page as rows of ``FACTS`` without page_url."""
+    found = page_facts(url, html)
+    heading = next((v for k, _, v, _ in found if k == "heading"), None)
+    has_og = any(k == "meta" and n == "og:title" for k, n, _, _ in found)
+    shows = any((k == "label" and _field(n)) or (k == "jsonld" and n in ("program_name", "duration", "teaching_language")) for k, n, _, _ in found)
+    return [(i, k, n, v, where, resolved(url, v) if k == "label" and _field(n) == "application_url" else None, heading, bool(shows), has_og) for i, (k, n, v, where) in enumerate(found)]
+
+
 def _institution(found: list[tuple[str, str, str, str]]) -> tuple[str, str] | None:
     """(value, locator) of the first that names a university: author, segments of the title from its end, publisher."""
     first: dict[str, str] = {}
@@ -174,8 +216,8 @@ def html_facts(pages: DataFrame) -> DataFrame:
         import pandas as pd
 
         for batch in batches:
-            rows = [(u, i, *f) for u, h in zip(batch["page_url"], batch["html"]) for i, f in enumerate(page_facts(u, h))]
-            yield pd.DataFrame(rows, columns=["page_url", "ord", "kind", "name", "value", "locator"])
+            rows = [(u, *f) for u, h in zip(batch["page_url"], batch["html"]) for f in described(u, h)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FACTS.split(", ")])
 
     return pages.select("page_url", "html").mapInPandas(read, FACTS)
 
@@ -191,11 +233,8 @@ def html_links(pages: DataFrame) -> DataFrame:
             for u, h in zip(batch["page_url"], batch["html"]):
                 anchors = [n for n in _walk(build_tree(h or ""), False) if n.tag == "a" and n.attrs.get("href")]
                 for i, n in enumerate(anchors):
-                    try:
-                        target = urljoin(u or "", n.attrs["href"].strip())
-                    except ValueError:
-                        continue
-                    if re.match(r"(?i)https?://[^/?#]", target):
+                    target = resolved(u, n.attrs["href"])
+                    if target:
                         rows.append((u, i, target, _line(n)[:MOST_LINK_TEXT]))
             yield pd.DataFrame(rows, columns=["page_url", "ord", "target", "text"])
 
@@ -205,44 +244,61 @@ def html_links(pages: DataFrame) -> DataFrame:
 def suggestions(facts: DataFrame) -> DataFrame:
     """page_url, ord, field_name, extracted_value, normalized_value, locator, excerpt, confidence of the pages that describe a programme.
 
-    A page does if it has programme metadata, a known label or a degree in its first heading.  Of equal
-    (field, folded value, locator) the first counts.
+    A page does if it has programme metadata, a known label or a degree in its first heading.  Labels
+    whose value has no normal form are dropped; so are languages and durations of metadata, other
+    metadata stand as they are.  A duration gives its value, unit and semesters; a degree in the first
+    heading, or else right beside it, is evidence too.  Of equal (field, folded value, locator) the first
+    counts.  The facts are read once: everything here is a projection and one aggregation.
     """
     fields = F.create_map(*[F.lit(x) for kv in LABEL_FIELDS.items() for x in kv])
     label = F.regexp_replace(F.lower(clean_text("name")), ":+$", "")
-    og_title = (F.col("kind") == "meta") & (F.col("name") == "og:title")
-    titled = og_title | (F.col("kind") == "title")
+    kind, name = F.col("kind"), F.col("name")
+    og_title = (kind == "meta") & (name == "og:title")
+    titled = og_title | (kind == "title")
     f = (
-        F.when(F.col("kind") == "jsonld", F.col("name"))
-        .when(F.col("kind") == "label", F.try_element_at(fields, label))
-        .when(F.col("kind") == "heading", "program_name")
-        .when((F.col("kind") == "meta") & (F.col("name").isin("og:site_name", "institution")), "university_name")
+        F.when(kind == "jsonld", name)
+        .when(kind == "label", F.try_element_at(fields, label))
+        .when(kind == "heading", "program_name")
+        .when(kind == "beside", "degree_level")
+        .when((kind == "meta") & name.isin("og:site_name", "institution"), "university_name")
         .when(titled, "program_name")
-        .when((F.col("kind") == "link") & (F.col("name") == "canonical"), "source_url")
+        .when(kind == "link", "source_url")
     )
-    named = facts.withColumn("field_name", f).filter("field_name is not null")
-    first_h1 = facts.filter("kind = 'heading'").groupBy("page_url").agg(F.min_by("value", "ord").alias("h1"))
-    is_programme = (
-        named.groupBy("page_url").agg(F.bool_or((F.col("kind") == "label") | ((F.col("kind") == "jsonld") & F.col("field_name").isin("program_name", "duration", "teaching_language"))).alias("known"), F.bool_or(og_title).alias("has_og"))
-        .join(first_h1, "page_url", "left")
-        .filter(F.col("known") | values.degree("h1").isNotNull())
-        .select("page_url", F.col("h1").isNotNull().alias("has_h1"), "has_og")
-    )
-    rows = named.join(is_programme, "page_url").filter(~(titled & F.col("has_h1")) & ~((F.col("kind") == "title") & F.col("has_og")))
+    has_h1 = F.col("first_heading").isNotNull()
+    shown = facts.filter(F.col("shows_programme") | values.degree("first_heading").isNotNull())
+    rows = shown.withColumn("field_name", f).filter("field_name is not null")
+    rows = rows.filter(~(titled & has_h1) & ~((kind == "title") & F.col("has_og")) & ~((kind == "beside") & values.degree("first_heading").isNotNull()))
+    # a degree in the heading is a second piece of evidence of the same fact
+    also = F.when((kind == "heading") & values.degree("value").isNotNull(), F.array(F.struct(F.lit("program_name").alias("field_name"), F.col("locator")), F.struct(F.lit("degree_level").alias("field_name"), F.lit("h1[1]:controlled-degree-token").alias("locator"))))
+    rows = rows.withColumn("_e", F.explode(F.coalesce(also, F.array(F.struct("field_name", "locator"))))).withColumns({"field_name": F.col("_e.field_name"), "locator": F.col("_e.locator")})
     raw = clean_text(F.when(titled, values.metadata_title("value")).otherwise(F.col("value")))
     rows = rows.withColumn("extracted_value", raw).filter("extracted_value <> ''")
-    norm = (
-        F.when(F.col("field_name") == "degree_level", values.degree("extracted_value"))
-        .when(F.col("field_name") == "program_name", values.program_name("extracted_value"))
-        .when(F.col("field_name") == "teaching_language", values.teaching_language("extracted_value"))
-        .when(F.col("field_name") == "study_mode", values.study_mode("extracted_value"))
-        .when(F.col("field_name") == "country_code", values.country("extracted_value"))
-        .when(F.col("field_name") == "duration", values.duration("extracted_value")["semesters"].cast("string"))
-        .otherwise(F.col("extracted_value"))
+    field, v = F.col("field_name"), F.col("extracted_value")
+    normal = (
+        F.when(field == "degree_level", values.degree(v))
+        .when(field == "program_name", values.program_name(v))
+        .when(field == "teaching_language", values.teaching_language(v))
+        .when(field == "study_mode", values.study_mode(v))
+        .when(field == "country_code", values.country(v))
+        .when((field == "application_url") & (kind == "label"), F.col("resolved"))
+        .otherwise(v)
+    )
+    # metadata without a normal form stands as it is
+    normal = F.when((kind == "jsonld") & ~field.isin("teaching_language", "duration"), F.coalesce(normal, v)).otherwise(normal)
+    time = F.col("_time")
+    parts = F.filter(
+        F.array(
+            F.struct(F.lit("duration_value").alias("field_name"), time["value"].cast("string").alias("normalized_value")),
+            F.struct(F.lit("duration_unit").alias("field_name"), time["unit"].alias("normalized_value")),
+            F.struct(F.lit("duration_semesters").alias("field_name"), time["semesters"].cast("string").alias("normalized_value")),
+        ),
+        lambda x: x["normalized_value"].isNotNull(),
     )
-    confidence = F.when(F.col("kind").isin("meta", "title"), "medium").otherwise("high")
-    rows = rows.select("page_url", "ord", "field_name", "extracted_value", norm.alias("normalized_value"), "locator", excerpt("name", "extracted_value").alias("excerpt"), confidence.alias("confidence"))
+    told = F.when(field == "duration", parts).otherwise(F.array(F.struct(field.alias("field_name"), normal.alias("normalized_value"))))
+    rows = rows.withColumn("_time", F.when(field == "duration", values.duration(v))).withColumn("_f", F.explode(told)).filter("_f.normalized_value is not null")
+    confidence = F.when(kind.isin("meta", "title", "beside") | F.col("locator").startswith("h1[1]:"), "medium").otherwise("high")
+    rows = rows.select("page_url", "ord", "_f.field_name", "extracted_value", "_f.normalized_value", "locator", excerpt("name", "extracted_value").alias("excerpt"), confidence.alias("confidence"))
     key = ["page_url", "field_name", "folded", "locator"]
-    rows = rows.withColumn("folded", F.lower(F.coalesce("normalized_value", "extracted_value")))
+    rows = rows.withColumn("folded", F.lower("normalized_value"))
     rest = [c for c in rows.columns if c not in key]
     return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), "ord").alias("r")).select("page_url", "field_name", "locator", "r.*")

@@ -44,10 +44,10 @@ def test_link_scores(spark):
 
 def test_values(spark):
     assert ask(spark, values.degree("x"), "M.Sc.", "Bachelor of Science", "Dr.-Ing.", "PhD", "mastery", None) == ["master", "bachelor", "phd", "phd", None, None]
-    assert ask(spark, values.program_name("x"), "Master of Science - Rail", "Rail (M.Sc.)", "Master") == ["Rail", "Rail", "Master"]
-    assert ask(spark, values.teaching_language("x"), "Deutsch, Englisch", "bilingual", "english", "other") == ["English and German", "English and German", "English", None]
-    assert ask(spark, values.study_mode("x"), "Part-time", "full_time", "blended online", "?", None) == ["part_time", "full_time", "hybrid", "unknown", None]
-    assert [tuple(r) if r else None for r in ask(spark, values.duration("x"), "P2Y", "P18M", "P7M", "four semesters", "2-year course", "none")] == [(2, "years", 4), (3, "semesters", 3), (7, "months", None), (4, "semesters", 4), (2, "years", 4), None]
+    assert ask(spark, values.program_name("x"), "Master of Science - Rail", "Rail (M.Sc.)", "Rail, M. Sc.", "Master in Law", "Doctorate Law", "Bachelor  Ph.D.", "Master", None) == ["Rail", "Rail (M.Sc.)", "Rail", "in Law", "Doctorate Law", "Bachelor Ph.D.", "Master", None]
+    assert ask(spark, values.teaching_language("x"), "Deutsch, Englisch", "bilingual", "english", "other") == ["English and German", "bilingual", "English", None]
+    assert ask(spark, values.study_mode("x"), "Part-time", "full_time", "blended online", "?", None) == ["part_time", "unknown", "hybrid", "unknown", None]
+    assert [tuple(r) if r else None for r in ask(spark, values.duration("x"), "P2Y", "P18M", "P7M", "four semesters", "2 year course", "2-year course", "none")] == [(2, "years", 4), (3, "semesters", 3), (7, "months", None), (4, "semesters", 4), (2, "years", 4), None, None]
     assert ask(spark, values.country("x"), "de", "Germany", "Atlantis") == ["DE", "DE", None]
     assert ask(spark, values.metadata_title("x"), "Rail | Uni", "Rail") == ["Rail", "Rail"]
 

@@ -114,3 +114,19 @@ def test_contract(spark):
     assert contract.header_problems(["a", "b"], ["b", "a"]) == ["order"] and contract.header_problems(["a"], ["a", "c"]) == ["missing:c"]
     mapped = contract.map_values(spark.createDataFrame([("DE",), ("ES",), (None,)], "c string"), "c", {"DE": "DEU"}).collect()
     assert {tuple(r) for r in mapped} == {("DEU", False), (None, True), (None, False)}
+
+
+def test_cut_at_target_is_exact_where_ranges_outgrow_their_sample(spark):
+    rows = spark.range(0, 3_000_000, 1, 16).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("at"), "id")
+    kept = history.cut_at_target(rows, F.lit(True), ["at", "id"], 1_000_000, partitions=64)
+    got = kept.agg(F.count(F.lit(1)), F.max(F.struct("at", "id"))).collect()[0]
+    last = rows.orderBy("at", "id").limit(1_000_000).agg(F.max(F.struct("at", "id"))).collect()[0]
+    assert got[0] == 1_000_000 and got[1] == last[0]
+
+
+def test_conflict_resolution_does_not_hang_on_the_order_of_rows(spark):
+    kept = [("c", "f", "a", "b", "accepted", "x"), ("c", "f", "b", "a", "accepted", "y"), ("c", "f", "a", "b", "unresolved", "z")]
+    derived = spark.createDataFrame([("c", "f", "b", "a")], "candidate_id string, field_name string, first_evidence_id string, second_evidence_id string")
+    schema = "candidate_id string, field_name string, first_evidence_id string, second_evidence_id string, resolution_status string, resolved_value string"
+    for rows in (kept, kept[::-1]):
+        assert [tuple(r) for r in merge.merge_conflicts(spark.createDataFrame(rows, schema), derived).collect()] == [("c", "f", "a", "b", "accepted", "y")]

@@ -20,7 +20,7 @@ def test_facts(spark):
     found = facts.html_facts(pages)
     assert found.filter("kind = 'warning'").count() == 1
     got = {(r.field_name, r.normalized_value) for r in facts.suggestions(found).collect()}
-    assert {("program_name", "Rail Systems"), ("university_name", "Uni Bergtal"), ("university_name", "University of Bergtal"), ("duration", "4"), ("degree_level", "master"), ("teaching_language", "English and German"), ("country_code", "DE"), ("application_url", "https://a.example/apply"), ("study_mode", "part_time"), ("intake", "winter"), ("city", "Bergtal"), ("source_url", "https://u.example/rail")} == got
+    assert {("program_name", "Rail Systems"), ("university_name", "Uni Bergtal"), ("university_name", "University of Bergtal"), ("duration_value", "2"), ("duration_unit", "years"), ("duration_semesters", "4"), ("degree_level", "master"), ("teaching_language", "English and German"), ("country_code", "DE"), ("application_url", "https://a.example/apply"), ("study_mode", "part_time"), ("intake", "winter"), ("city", "Bergtal"), ("source_url", "https://u.example/rail")} == got
     assert {(r.target, r.text) for r in facts.html_links(pages).collect()} == {("https://a.example/apply", "apply here"), ("https://u.example/p/x?q=1", "More")}
     assert stages.extract(pages).select("id").distinct().count() == stages.extract(pages).count()
 

@@ -10,15 +10,18 @@ CARDS = """<html><head><title>Rail Systems | Research | Universität Bergtal</ti
 AUTHOR = """<head><title>A | University of B</title><meta property="og:title" content="Optics | B"><meta name="author" content="UNIVERSITY of C"></head><div>Degree: PhD<br>City: D</div>"""
 PUBLISHER = """<head><meta name="author" content="A. Person"><meta name="publisher" content="Universitaet E"></head><h1>Master Law</h1>"""
 
+BESIDE = """<body><h1> </h1><div><p>Faculty of Water</p><h1>Water</h1><p>Bachelor of Science</p></div><h1>Master Other</h1><dl><dt>Apply<dd><a href="/apply">how to apply</a><dt>Degree<dd>certificate<dt>Language<dd>Latin<dt>Duration<dd>long</dl>"""
+
 
 def test_cards_siblings_and_institutions(spark):
-    pages = spark.createDataFrame([("c", CARDS), ("a", AUTHOR), ("p", PUBLISHER)], "page_url string, html string")
-    got = {(r.page_url, r.field_name, r.normalized_value, r.locator, r.confidence) for r in facts.suggestions(facts.html_facts(pages)).collect()}
+    pages = spark.createDataFrame([("https://u.example/c?x=1", CARDS), ("a", AUTHOR), ("p", PUBLISHER), ("https://u.example/d/", BESIDE)], "page_url string, html string")
+    got = {(r.page_url[18:19] if r.page_url.startswith("http") else r.page_url, r.field_name, r.normalized_value, r.locator, r.confidence) for r in facts.suggestions(facts.html_facts(pages)).collect()}
     assert got == {
         ("c", "program_name", "Rail Systems", "title", "medium"), ("c", "university_name", "Universität Bergtal", "title:institution-segment", "medium"),
-        ("c", "city", "Bergtal", "labelled-card", "high"), ("c", "degree_level", "master", "labelled-card", "high"), ("c", "duration", "4", "labelled-paragraph", "high"), ("c", "study_mode", "part_time", "inline-strong", "high"),
+        ("c", "city", "Bergtal", "labelled-card", "high"), ("c", "degree_level", "master", "labelled-card", "high"), ("c", "duration_value", "4", "labelled-paragraph", "high"), ("c", "duration_unit", "semesters", "labelled-paragraph", "high"), ("c", "duration_semesters", "4", "labelled-paragraph", "high"), ("c", "source_url", "https://u.example/c", "source-page-record", "high"), ("c", "study_mode", "part_time", "inline-strong", "high"),
         ("a", "program_name", "Optics", "meta:og:title", "medium"), ("a", "university_name", "UNIVERSITY of C", "meta:author", "medium"), ("a", "degree_level", "phd", "labelled-lines", "high"), ("a", "city", "D", "labelled-lines", "high"),
-        ("p", "university_name", "Universitaet E", "meta:publisher", "medium"), ("p", "program_name", "Law", "h1", "high"),
+        ("p", "university_name", "Universitaet E", "meta:publisher", "medium"), ("p", "program_name", "Law", "h1", "high"), ("p", "degree_level", "master", "h1[1]:controlled-degree-token", "medium"), ("a", "source_url", "a", "source-page-record", "high"), ("p", "source_url", "p", "source-page-record", "high"),
+        ("d", "program_name", "Water", "h1", "high"), ("d", "degree_level", "bachelor", "h1[1]:adjacent-degree-context", "medium"), ("d", "application_url", "https://u.example/apply", "definition-list", "high"), ("d", "source_url", "https://u.example/d/", "source-page-record", "high"),
     }
 
 
