@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tessera.operators.skew import salted_join
+
 BATCH_COLUMNS = ["source_url", "expected_university_name", "expected_program_name", "operator_notes"]
 SEED_COLUMNS = ["institution_name", "official_domain", "catalogue_url", "sitemap_url", "operator_notes"]
 FIELDS = list(dict.fromkeys(BATCH_COLUMNS + SEED_COLUMNS))
@@ -64,6 +66,8 @@ def bad_domain(value: str) -> bool:
 
 def strict_cells(text: str, delimiter: str) -> list[str] | None:
     """Cells by RFC 4180, None where the quoting breaks it: the slow path for one record."""
+    if '"' not in text:
+        return text.split(delimiter)
     cells, at, n = [], 0, len(text)
     while True:
         if at < n and text[at] == '"':
@@ -117,18 +121,30 @@ def _quoting_pattern(delimiter: str) -> str:
     return rf"^(?s:{cell}(?:{d}{cell})*)$"
 
 
+#: Plain values that need no closer look: what fails these is judged by the full rules.
+SURE_URL = re.compile(r"https?://[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9][A-Za-z0-9-]*)*(?:/[!-~]*)?")
+SURE_DOMAIN = re.compile(r"(?:[a-z0-9][a-z0-9-]{0,61}[a-z0-9]\.){1,8}[a-z]{2,63}")
+#: Blocks that fail are halved down to this many records, which the strict reader takes one by one.
+LEAF = 16
+
+
 def _fast_block(texts: list[str], delimiter: str, columns: list[str]) -> list[list[str]] | None:
     """All records of a block as columns, or None if any of them cannot be read so."""
     import pyarrow as pa
-    import pyarrow.compute as pc
     from pyarrow import csv
 
-    quoted = [t for t in texts if '"' in t or "\n" in t or "\r" in t]
-    if quoted and not pc.all(pc.match_substring_regex(pa.array(quoted), _quoting_pattern(delimiter))).as_py():
+    joined = "\n".join(texts) + "\n"
+    if '"' in joined or "\r" in joined or joined.count("\n") > len(texts):
+        import pyarrow.compute as pc
+
+        quoted = [t for t in texts if '"' in t or "\n" in t or "\r" in t]
+        if not pc.all(pc.match_substring_regex(pa.array(quoted), _quoting_pattern(delimiter))).as_py():
+            return None
+    elif joined.count(delimiter) != len(texts) * (len(columns) - 1):
         return None
     try:
         read = csv.read_csv(
-            io.BytesIO(("\n".join(texts) + "\n").encode()),
+            io.BytesIO(joined.encode("utf-8", "surrogatepass")),
             read_options=csv.ReadOptions(column_names=columns, block_size=1 << 26, use_threads=False),
             parse_options=csv.ParseOptions(delimiter=delimiter, newlines_in_values=True, ignore_empty_lines=False),
             convert_options=csv.ConvertOptions(column_types={c: pa.string() for c in columns}, strings_can_be_null=False),
@@ -140,58 +156,74 @@ def _fast_block(texts: list[str], delimiter: str, columns: list[str]) -> list[li
     return [read.column(c).to_pylist() for c in columns]
 
 
+def _judged(cells: dict[str, list[str]], kind: str, n: int) -> list[str | None]:
+    """The first reason that holds for each of ``n`` records that could be read."""
+    if kind == "batch":
+        urls = cells.get("source_url") or [""] * n
+        sure = SURE_URL.fullmatch
+        return [None if sure(u) else "source_url" if bad_source_url(u) else None for u in urls]
+    if kind == "seed":
+        names, domains = cells.get("institution_name") or [""] * n, cells.get("official_domain") or [""] * n
+        sure = SURE_DOMAIN.fullmatch
+        return ["institution_name" if not a.strip() else None if len(d) < 254 and sure(d) else "official_domain" if bad_domain(d) else None for a, d in zip(names, domains)]
+    return [None] * n
+
+
 def parse_block(texts: list[str], kind: str, delimiter: str, columns: list[str]) -> list[tuple[str | None, list[str]]]:
     """(reason, cells) for every record, in order, by bisection."""
-    if len(set(columns)) == len(columns) and len(columns) > 1:
-        got = _fast_block(texts, delimiter, columns)
+    reasons, cells = _parse_block(texts, kind, delimiter, columns)
+    return [(r, [c[i] for c in cells] if r not in ("quoting", "column_count") else []) for i, r in enumerate(reasons)]
+
+
+def _parse_block(texts: list[str], kind: str, delimiter: str, columns: list[str]) -> tuple[list[str | None], list[list[str | None]]]:
+    """Reasons of the records and their cells by column."""
+    if len(texts) > LEAF or len(texts) == 1:
+        got = _fast_block(texts, delimiter, columns) if len(set(columns)) == len(columns) and len(columns) > 1 else None
         if got is not None:
-            reasons: list[str | None] = [None] * len(texts)
-            by = dict(zip(columns, got))
-            if kind == "seed":
-                names, domains = by.get("institution_name"), by.get("official_domain")
-                for i in range(len(texts)):
-                    if not names or not names[i].strip():
-                        reasons[i] = "institution_name"
-                    elif not domains or bad_domain(domains[i]):
-                        reasons[i] = "official_domain"
-            elif kind == "batch":
-                urls = by.get("source_url")
-                for i in range(len(texts)):
-                    if not urls or bad_source_url(urls[i]):
-                        reasons[i] = "source_url"
-            return [(reasons[i], [c[i] for c in got]) for i in range(len(texts))]
-    if len(texts) == 1:
-        return [diagnose(texts[0], kind, delimiter, columns)]
+            return _judged(dict(zip(columns, got)), kind, len(texts)), got
+    if len(texts) <= LEAF:
+        reasons: list[str | None] = []
+        out: list[list[str | None]] = [[] for _ in columns]
+        for t in texts:
+            reason, cells = diagnose(t, kind, delimiter, columns)
+            reasons.append(reason)
+            for column, cell in zip(out, cells or [None] * len(columns)):
+                column.append(cell)
+        return reasons, out
     half = len(texts) // 2
-    return parse_block(texts[:half], kind, delimiter, columns) + parse_block(texts[half:], kind, delimiter, columns)
+    (r1, c1), (r2, c2) = _parse_block(texts[:half], kind, delimiter, columns), _parse_block(texts[half:], kind, delimiter, columns)
+    return r1 + r2, [a + b for a, b in zip(c1, c2)]
 
 
 def _parse(batches: Iterator, block_chars: int = 1 << 20, block_rows: int = 1024) -> Iterator:
     import pandas as pd
 
     for batch in batches:
-        out = {f.name: [] for f in PARSED.fields}
+        made = []
         for (kind, delimiter, header), part in batch.groupby(["input_kind", "delimiter", "header"], dropna=False, sort=False):
             columns = header.split("\x1f")
-            rows = list(part.itertuples(index=False))
+            records = part["record"].tolist()
+            reasons: list[str | None] = []
+            cells: list[list[str | None]] = [[] for _ in columns]
             start = 0
-            while start < len(rows):
+            while start < len(records):
                 stop, chars = start, 0
-                while stop < len(rows) and stop - start < block_rows and (stop == start or chars < block_chars):
-                    chars += len(rows[stop].record)
+                while stop < len(records) and stop - start < block_rows and (stop == start or chars < block_chars):
+                    chars += len(records[stop])
                     stop += 1
-                block = rows[start:stop]
-                for row, (reason, cells) in zip(block, parse_block([r.record for r in block], kind, delimiter, columns)):
-                    got = dict(zip(columns, cells))
-                    out["record_id"].append(row.record_id)
-                    out["file_name"].append(row.file_name)
-                    out["input_kind"].append(kind)
-                    out["line_no"].append(row.line_no)
-                    out["reason"].append(reason)
-                    for f in FIELDS:
-                        out[f].append(got.get(f))
+                found, read = _parse_block(records[start:stop], kind, delimiter, columns)
+                reasons.extend(found)
+                for column, more in zip(cells, read):
+                    column.extend(more)
                 start = stop
-        yield pd.DataFrame(out)
+            by = dict(zip(columns, cells))
+            out = part[["record_id", "file_name", "input_kind", "line_no"]].reset_index(drop=True)
+            out["reason"] = reasons
+            for f in FIELDS:
+                out[f] = by.get(f)
+            made.append(out)
+        if made:
+            yield pd.concat(made, ignore_index=True)
 
 
 def _record(raw: Column) -> Column:
@@ -199,14 +231,15 @@ def _record(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(raw, r"[\r\n]+\z", ""), "^﻿", "")
 
 
-def parse_records(raw: DataFrame, salts: int = 16) -> DataFrame:
+def parse_records(raw: DataFrame) -> DataFrame:
     """Every data record with its reason (null: it can be loaded) and its cells.
 
     Headers (line 1), and records of nothing but delimiters and spaces, are left out; a null
     record counts as such.  A file without header is read by the usual columns of its kind
     and commas; an unknown kind is checked for quoting and column count only.  Of two
-    headers of one file the smaller by text counts.  Empty input gives an empty result, and
-    further columns of ``raw`` are ignored.
+    headers of one file the smaller by text counts.  A file with a large part of the rows is
+    spread over reducers by its own size.  Empty input gives an empty result, and further
+    columns of ``raw`` are ignored.
     """
     raw = raw.select("record_id", "file_name", "input_kind", "line_no", "raw_record")
     head = F.regexp_replace(_record("raw_record"), '[" ]', "")
@@ -218,15 +251,12 @@ def parse_records(raw: DataFrame, salts: int = 16) -> DataFrame:
             "file_name",
             F.coalesce(F.nullif(F.regexp_extract("head", "([,;\t])", 1), F.lit("")), F.lit(",")).alias("delimiter"),
             F.regexp_replace(F.lower("head"), "[,;\t]", "\x1f").alias("header"),
-            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
         )
     )
     usual = F.when(F.col("input_kind") == "seed", "\x1f".join(SEED_COLUMNS)).otherwise("\x1f".join(BATCH_COLUMNS))
-    # every file is spread over `salts` reducers, so one file with a third of the rows is no bottleneck
+    records = raw.filter("line_no is distinct from 1 and raw_record is not null")
     rows = (
-        raw.filter("line_no is distinct from 1 and raw_record is not null")
-        .withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int"))
-        .join(headers, ["file_name", "salt"], "left")
+        salted_join(records, headers, "file_name", F.col("record_id"), "left")
         .select(
             "record_id",
             "file_name",
