@@ -69,12 +69,18 @@ def release(spark: SparkSession) -> None:
         _remove(spark.sparkContext, _STORED.pop())
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a compressed table in the shared folder: like ``cut``, for wide rows that are read more than once."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, taken away by ``release`` or when the driver ends."""
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     if not _STORED:
-        atexit.register(release, df.sparkSession)
+        atexit.register(release, spark)
     _STORED.append(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared folder: like ``cut``, for wide rows that are read more than once."""
+    path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
