@@ -14,6 +14,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return suffixes.known_pages(table(spark, d, "batch_input_rows"), table(spark, d, "source_pages"))
 
 
+def p5_near(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses of the batches and the known addresses that are near-duplicates of them."""
+    return suffixes.near_pages(table(spark, d, "batch_input_rows"), table(spark, d, "source_pages")).filter("key <> match")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return mainbody.boilerplate(table(spark, d, "cached_pages"), table(spark, d, "evidence_records"), table(spark, d, "source_pages"))
 
@@ -70,7 +75,7 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_main, p5_found, p7_found, p7_entities, p8_ids, p9_draw, p9_shares, p10_found, p10_stats)}
+    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_main, p5_found, p5_near, p7_found, p7_entities, p8_ids, p9_draw, p9_shares, p10_found, p10_stats)}
 
 
 CARRIED = "^(utm_.*|mtm_.*|pk_.*|fbclid|gclid|gclsrc|dclid|msclkid|ref|referrer|referer|sessionid|session_id|sid|jsessionid|phpsessid)$"
