@@ -15,7 +15,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tessera.session import cut
+from tessera.session import cut, stored
 
 PLACEHOLDERS = re.compile(
     r"(?:|[\W_]+|n\.?\s*/?\s*a\.?|n\.?\s*n\.?|none|null|nil|nan|unknown|unbekannt|unknow|inconnu\w*|desconocid\w*|not (?:known|given|stated|available|specified|provided|applicable|found|set)|no (?:value|data|information|info|entry)(?: given| available)?|missing|"
@@ -24,7 +24,7 @@ PLACEHOLDERS = re.compile(
     re.I,
 )
 # Short forms in common use that begin otherwise than their name, or need not.
-NICKNAMES = {"bill": "william", "bob": "robert", "dick": "richard", "jack": "john", "peggy": "margaret", "liz": "elizabeth", "beth": "elizabeth", "tony": "anthony", "ted": "edward", "fritz": "friedrich", "hans": "johannes", "sepp": "josef", "paco": "francisco", "pepe": "jose", "mavi": "marvina", "peg": "margaret", "ned": "edward", "nell": "helen", "polly": "mary", "sally": "sarah", "hank": "henry", "harry": "henry", "chuck": "charles", "lena": "magdalena", "toni": "anton"}
+NICKNAMES = {"bill": "william", "bob": "robert", "dick": "richard", "jack": "john", "peggy": "margaret", "liz": "elizabeth", "beth": "elizabeth", "tony": "anthony", "ted": "edward", "fritz": "friedrich", "hans": "johannes", "sepp": "josef", "paco": "francisco", "pepe": "jose", "peg": "margaret", "ned": "edward", "nell": "helen", "polly": "mary", "sally": "sarah", "hank": "henry", "harry": "henry", "chuck": "charles", "lena": "magdalena", "toni": "anton"}
 
 WORDS = {
     "univ": ["university", "universitaet", "universitat", "universite", "universidad", "universita", "univ", "uni", "universities"],
@@ -263,11 +263,18 @@ def given_initial(given: str | None) -> str | None:
     return NICKNAMES.get(given, given)[0] if given else None
 
 
-def alike(a: str, b: str, cut_a: bool, cut_b: bool, uses_a: int, uses_b: int) -> float:
+#: Of two accepted spellings the rarer is a variant if the other is this many times as frequent.
+CLEAR = 4
+#: Share of the level of its field (the uses of the word a name has, on average) below which a spelling is rare.
+RARE = 0.5
+
+
+def alike(a: str, b: str, cut_a: bool, cut_b: bool, uses_a: float, uses_b: float) -> float:
     """How sure spelling ``a`` is meant for ``b``, 0 for not: Jaro-Winkler with a bound on the edits.
 
-    Two spellings that both stand in several names are two words, unless one is far more
-    common; a spelling in two or three names must be one edit away.
+    ``uses``: how often a spelling stands in names as a share of the level of its field, so that nothing
+    here changes when all counts grow alike.  Two spellings that are both in common use are two words,
+    unless one is far more frequent; a spelling more than an edit away must be far rarer.
     """
     if a == b:
         return 1.0
@@ -279,16 +286,16 @@ def alike(a: str, b: str, cut_a: bool, cut_b: bool, uses_a: int, uses_b: int) ->
             return 0.99
         d = min(edits(short, long[:k]) for k in range(len(short) - 1, min(len(long), len(short) + 1) + 1))
         return 0.95 - 0.05 * d if d <= 1 or (d == 2 and len(short) >= 7 and short[0] == long[0]) else 0.0
-    if uses_a >= 4 and uses_b < 4 * uses_a:
+    if uses_a >= RARE and uses_b < CLEAR * uses_a:
         return 0.0
     d, n = edits(a, b), min(len(a), len(b))
     if n < 5:  # function words of titles: "fro" for "for"
-        return 0.85 if d == 1 and uses_b >= max(3, 20 * uses_a) and n >= 2 else 0.0
+        return 0.85 if d == 1 and uses_b >= 20 * uses_a and n >= 2 else 0.0
     score = jaro_winkler(a, b)
     # swapped first letters cost Jaro-Winkler its prefix
     if d == 1:
         return max(score, 0.9)
-    if uses_a >= 2 and uses_b < 5 * uses_a:
+    if uses_a >= RARE / 2 and uses_b < (CLEAR + 1) * uses_a:
         return 0.0
     if d == 2 and n >= 7 and score >= 0.82:
         return score - 0.05
@@ -297,16 +304,16 @@ def alike(a: str, b: str, cut_a: bool, cut_b: bool, uses_a: int, uses_b: int) ->
     return 0.0
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of the graph of ``edges`` (a, b strings), both ways.
 
-    Alternating large-star and small-star steps keep the edges linear in number and end after
-    a logarithmic number of rounds; each round is cut to the shared folder.
+    Alternating large-star and small-star steps keep the edges linear in number and end, after
+    a logarithmic number of rounds, when a round changes nothing; each is cut to the shared folder.
     """
     both = edges.filter("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
     current = cut(both)
     before = None
-    for _ in range(rounds):
+    while True:
         # large star: larger neighbours go to the smallest neighbour
         around = current.select(F.col("low").alias("n"), F.col("high").alias("m")).unionByName(current.select(F.col("high").alias("n"), F.col("low").alias("m")))
         least = around.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("least"))
@@ -323,6 +330,12 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     return current.select(F.col("high").alias("node"), F.col("low").alias("component"))
 
 
+def tasks_of(df: DataFrame) -> int:
+    """Tasks for Python work on few bytes, which would otherwise be laid together into one."""
+    spark = df.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def read_names(names: DataFrame) -> DataFrame:
     """name and its parts for every distinct name that is no placeholder."""
     schema = T.StructType([T.StructField("name", T.StringType()), *PARSED.fields, T.StructField("initial", T.StringType())])
@@ -338,14 +351,11 @@ def read_names(names: DataFrame) -> DataFrame:
                     rows.append({"name": name} | got | {"initial": given_initial(got["given"])})
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
-    return names.filter("name is not null").select("name").distinct().repartition("name").mapInPandas(read, schema)
+    return names.filter("name is not null").select("name").distinct().repartition(tasks_of(names), "name").mapInPandas(read, schema)
 
 
-def _spellings(read: DataFrame) -> DataFrame:
-    """Distinct (field, kind, token, cut) with the number of names that have it, and whether it is well known.
-
-    A spelling is well known if it stands in two or more names of any kind.
-    """
+def name_spellings(read: DataFrame) -> DataFrame:
+    """Distinct (field, token, is_cut) of places by kind, and of patrons, with the number of names that have it."""
     uncut = read.filter("place is not null and not place_cut").groupBy(F.col("place").alias("token")).agg(F.count(F.lit(1)).alias("uses"))
     kind = F.when(F.col("kind") == "lone", "univ").otherwise(F.col("kind"))
     places = read.filter("place is not null").select(F.concat(F.lit("place|"), kind).alias("field"), F.col("place").alias("token"), F.col("place_cut").alias("is_cut")).distinct()
@@ -358,12 +368,39 @@ def _spellings(read: DataFrame) -> DataFrame:
         .unionByName(lone)
         .groupBy("field", "token")
         .agg(F.bool_and("is_cut").alias("is_cut"), F.sum(F.coalesce("uses", F.lit(0))).alias("uses"))
-        .withColumn("known", (F.col("uses") >= 2) & ~F.col("is_cut"))
     )
 
 
+#: What the level of a field counts for: titles share few words, so a word's level is far above that of most words in use.
+LEVELS = {"word": 0.125}
+#: Spellings of a block beyond which it is split by finer codes.
+BLOCK = 2000
+
+
+def finer_codes(token: str, cut_off: bool) -> list[str]:
+    """Codes within a large block: the token, and its beginnings where words are cut off, with up to two letters left out.
+
+    Spellings two edits apart share one, so a block split by them loses no pair at that distance; of pairs
+    three edits apart (long words) those with the same first or last half stay together.
+    """
+    out = {token}
+    for base in {token, *(token[:k] for k in range(4, len(token)))} if cut_off else {token}:
+        one = {base[:i] + base[i + 1 :] for i in range(len(base))}
+        out |= {base} | one
+        if len(base) >= 7:
+            out |= {x[:i] + x[i + 1 :] for x in one for i in range(len(x))}
+    half = len(token) // 2
+    if len(token) >= 8:
+        out |= {"^" + token[:half], "$" + token[-half:]}
+    return sorted(out)
+
+
 def spelling_clusters(spellings: DataFrame) -> DataFrame:
-    """field, token, cluster: components of the links of each spelling to its best partners."""
+    """field, token, cluster: connected components of all accepted pairs of spellings (``spellings``: field, token, is_cut, uses).
+
+    An accepted pair is left out only where it would join two words: a spelling close to several
+    words that are no variants of each other goes with the best of them.
+    """
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def codes(tokens, cuts):
@@ -371,24 +408,45 @@ def spelling_clusters(spellings: DataFrame) -> DataFrame:
 
         return pd.Series([block_codes(t, bool(c)) for t, c in zip(tokens, cuts)])
 
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def finer(tokens, cuts):
+        import pandas as pd
+
+        return pd.Series([finer_codes(t, bool(c)) for t, c in zip(tokens, cuts)])
+
     @F.pandas_udf(T.DoubleType())
     def score(a, b, ca, cb, ua, ub):
         import pandas as pd
 
         return pd.Series([alike(*x) for x in zip(a, b, ca, cb, ua, ub)], dtype="float64")
 
-    coded = spellings.select("*", F.explode(codes("token", "is_cut")).alias("code"))
-    weak = coded.select("field", "code", *[F.col(c).alias(c + "_a") for c in ("token", "is_cut", "known", "uses")])
-    other = coded.select("field", "code", *[F.col(c).alias(c + "_b") for c in ("token", "is_cut", "known", "uses")])
-    # a rarer spelling looks for the word it is meant for
-    pairs = weak.join(other, ["field", "code"]).filter("token_a <> token_b and (is_cut_a or uses_a < 4 or uses_b >= 4 * uses_a)").drop("code").distinct()
-    scored = pairs.withColumn("score", score("token_a", "token_b", "is_cut_a", "is_cut_b", "uses_a", "uses_b")).filter("score > 0")
-    # well-known partners first; cut-off spellings link only to whole ones
-    rank = F.struct(F.col("uses_b") >= F.greatest("uses_a", F.lit(2)), F.col("score"), F.col("uses_b"), F.col("token_b"))
-    best = scored.filter("not (is_cut_b and not is_cut_a)").groupBy("field", "token_a").agg(F.max(rank).alias("best"))
-    links = best.select("field", F.col("token_a").alias("x"), F.col("best.token_b").alias("y"))
+    tasks = tasks_of(spellings)
+    # the level of a field: how many names have the spelling that a name has, on average
+    level = spellings.groupBy("field").agg((F.sum(F.col("uses") * F.col("uses")) / F.greatest(F.sum("uses"), F.lit(1))).alias("level"))
+    for field, factor in LEVELS.items():
+        level = level.withColumn("level", F.when(F.col("field") == field, F.col("level") * factor).otherwise(F.col("level")))
+    rated = spellings.join(F.broadcast(level), "field").withColumn("uses", F.col("uses") / F.greatest("level", F.lit(1.0))).drop("level")  # one row a field
+    coded = stored(rated.repartition(tasks, "field", "token").select("*", F.explode(codes("token", "is_cut")).alias("code")))
+    large = coded.groupBy("field", "code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("field", "code")
+    if not large.isEmpty():
+        parted = coded.join(large, ["field", "code"], "left_semi").repartition(tasks, "field", "token").withColumn("fine", F.explode(finer("token", F.lit(True))))
+        fine = parted.withColumn("code", F.concat_ws("|", "code", "fine")).drop("fine")
+        coded = coded.join(large, ["field", "code"], "left_anti").unionByName(fine)
+    columns = ("token", "is_cut", "uses")
+    weak = coded.select("field", "code", *[F.col(c).alias(c + "_a") for c in columns])
+    other = coded.select("field", "code", *[F.col(c).alias(c + "_b") for c in columns])
+    # a rarer spelling looks for the word it is meant for; what lengths rule out is not asked in Python
+    far = F.abs(F.length("token_a") - F.length("token_b")) > 3
+    pairs = weak.join(other, ["field", "code"]).filter(~far | F.col("is_cut_a") | F.col("is_cut_b")).filter("token_a <> token_b").filter(F.col("is_cut_a") | (F.col("uses_a") < RARE) | (F.col("uses_b") >= CLEAR * F.col("uses_a"))).drop("code").distinct()
+    scored = pairs.repartition(tasks, "field", "token_a").withColumn("score", score("token_a", "token_b", "is_cut_a", "is_cut_b", "uses_a", "uses_b")).filter("score > 0")
+    # words in use first; cut-off spellings link only to whole ones
+    accepted = stored(scored.filter("not (is_cut_b and not is_cut_a)"))
+    rank = F.struct((F.col("uses_b") >= F.col("uses_a")) & (F.col("uses_b") >= RARE / 2), F.col("score"), F.col("uses_b"), F.col("token_b"))
+    best = accepted.groupBy("field", "token_a").agg(F.max(F.struct(rank, F.col("token_b").alias("of"), F.col("uses_b").alias("best_uses"))).alias("m")).select("field", "token_a", "m.of", "m.best_uses")
+    # beside the best: a partner that is itself no rival of it, being no word of its own
+    tied = accepted.join(best, ["field", "token_a"]).filter((F.col("token_b") == F.col("of")) | ((F.col("uses_b") < RARE) & ~F.col("is_cut_a") & (F.col("score") >= 0.9) & (F.col("best_uses") < RARE)))
     key = lambda c: F.concat_ws("|", "field", c)
-    grouped = components(links.select(key("x").alias("a"), key("y").alias("b")))
+    grouped = components(tied.select(key("token_a").alias("a"), key("token_b").alias("b")))
     return (
         spellings.withColumn("node", key("token"))
         .join(grouped, "node", "left")
@@ -403,7 +461,11 @@ def link_names(names: DataFrame) -> DataFrame:
     different strings of one entity; an empty table gives an empty one.
     """
     read = cut(read_names(names))
-    clusters = cut(spelling_clusters(_spellings(read)))
+    return entities(read, cut(spelling_clusters(name_spellings(read))))
+
+
+def entities(read: DataFrame, clusters: DataFrame) -> DataFrame:
+    """name, entity of the names of ``read_names`` with their spellings clustered."""
     place = clusters.filter("field like 'place|%'").select(F.col("field").alias("pf"), F.col("token").alias("place"), F.col("cluster").alias("place_id"))
     patron = clusters.filter("field = 'patron'").select(F.col("token").alias("patron"), F.col("cluster").alias("patron_id"))
     kind = F.when(F.col("kind") == "lone", "univ").otherwise(F.col("kind"))
@@ -458,8 +520,18 @@ def institution_names(candidates: DataFrame, batch: DataFrame, seeds: DataFrame)
     )
 
 
+#: Names that one task pairs with all names of their entity.
+PAIRED_AT_ONCE = 256
+
+
 def name_pairs(linked: DataFrame) -> DataFrame:
-    """name_a, name_b (a before b by code points) of every two names of one entity."""
-    a = linked.select("entity", F.col("name").alias("name_a"))
-    b = linked.select("entity", F.col("name").alias("name_b"))
-    return a.join(b, "entity").filter("name_a < name_b").select("name_a", "name_b").distinct()
+    """name_a, name_b (a before b by code points) of every two names of one entity.
+
+    The names of an entity are dealt to parts of ``PAIRED_AT_ONCE``; each part meets all names of
+    the entity, so a large entity is paired by many tasks.
+    """
+    sizes = linked.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("entity", F.ceil(F.col("n") / PAIRED_AT_ONCE).cast("int").alias("parts"))
+    both = linked.join(sizes, "entity")
+    a = both.select("entity", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), F.col("name").alias("name_a"))
+    b = both.select("entity", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("name").alias("name_b"))
+    return a.join(b, ["entity", "part"]).filter("name_a < name_b").select("name_a", "name_b").distinct()

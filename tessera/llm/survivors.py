@@ -1,21 +1,24 @@
 """The surviving values of each group of records that describe one programme.
 
-A group is an institution, a title and a degree level.  Every field of every member is an
-entry with trust (override before data), recency and the completeness of its record.
-Entries are first reduced to the latest of each (group, field, trust, completeness), which
-is partial aggregation and bounds a group by 22 entries a field whatever its size; then the
-skyline of undominated entries is taken, and a lexicographic policy (trust, recency,
-completeness, id) picks from it.  Entries without a value never take part, so a null of a
-better layer is filled from the next layer that has a value.
+A group is an institution, a title and a degree level.  Every member gives up to two records,
+what was extracted and what a reviewer set, each with its trust, its recency and its fields, null
+cells included.  Records are first reduced to the latest of each (group, trust, set of filled
+fields), which is partial aggregation and bounds a group by 2 x 1024 records whatever its size.
+Then a record is dominated if another is at least as trusted and recent and fills at least the
+same fields; the undominated ones are the skyline.  A lexicographic policy (trust, recency,
+completeness, id) orders the skyline; the first record gives its values, and each null is filled
+from the next record in that order that has the field.  Completeness is compared by the fields
+themselves, not by their number, since trust and recency decide field by field: so every value
+that can survive lies in the skyline, and what deeper layers hold is never needed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tessera.llm.names import PLACEHOLDERS, link_names, spelling_clusters
+from tessera.llm.names import PLACEHOLDERS, entities, name_spellings, read_names, spelling_clusters
 from tessera.operators.skew import salted_join
-from tessera.session import cut
+from tessera.session import cut, stored
 
 FIELDS = ["program_name", "university_name", "country_code", "city", "degree_level", "field_category", "teaching_language", "study_mode", "intake", "application_url"]
 
@@ -65,51 +68,53 @@ def title_words(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(t, r"(?U)[^\p{L}\d]+", " ")), " "), lambda w: F.length(w) > 0)
 
 
-def candidate_values(candidates: DataFrame) -> DataFrame:
-    """id, updated_at, entries: one row a candidate id with its values (trust 0) and override values (trust 1).
+def candidate_records(candidates: DataFrame) -> DataFrame:
+    """id, updated_at, records: one row a candidate id with up to two records (trust, values in the order of ``FIELDS``).
 
-    Placeholders are no entries.  Of several rows of an id the last updated one counts.  Broken
-    JSON has no values; of equal keys in one object the first counts.
+    Trust is 0 for data and 1 for overrides.  Placeholders are null cells; a record without any value
+    is none.  Of several rows of an id the last updated one counts.  Broken JSON has no values; of
+    equal keys in one object the first counts.
     """
     told = lambda c: F.from_json(F.when(F.expr(f"try_parse_json({c}) is not null"), F.col(c)), T.StructType([T.StructField(f, T.StringType()) for f in FIELDS]))
     rows = candidates.select("id", "updated_at", "normalized_data", "reviewer_overrides").filter("id is not null")
-    early = F.lit("1900-01-01").cast("timestamp_ntz")
     last = rows.groupBy("id").agg(
-        F.max_by(F.struct("normalized_data", "reviewer_overrides"), F.struct(F.coalesce("updated_at", early), F.coalesce("normalized_data", F.lit("")))).alias("r"), F.max("updated_at").alias("updated_at")
+        F.max_by(F.struct("normalized_data", "reviewer_overrides"), F.struct(F.coalesce("updated_at", F.lit("1900-01-01").cast("timestamp_ntz")), F.coalesce("normalized_data", F.lit("")))).alias("r"), F.max("updated_at").alias("updated_at")
     )
     # the one-element explode keeps each JSON text from being parsed once a field
     read = last.select("id", "updated_at", "r.*").select("id", "updated_at", F.explode(F.array(F.struct(told("normalized_data").alias("d"), told("reviewer_overrides").alias("o")))).alias("x"))
-    entry = lambda f, trust: F.struct(F.lit(f).alias("field_name"), F.lit(trust).alias("trust"), F.col(f"x.{'o' if trust else 'd'}.{f}").alias("value"))
-    every = F.array(*[entry(f, t) for t in (0, 1) for f in FIELDS])
-    return read.select("id", "updated_at", F.filter(every, lambda e: is_value(e["value"])).alias("entries"))
+    cells = lambda of: F.transform(F.array(*[F.col(f"x.{of}.{f}") for f in FIELDS]), lambda v: F.when(is_value(v), v))
+    both = F.array(F.struct(F.lit(0).alias("trust"), cells("d").alias("values")), F.struct(F.lit(1).alias("trust"), cells("o").alias("values")))
+    return read.select("id", "updated_at", F.filter(both, lambda r: F.exists(r["values"], lambda v: v.isNotNull())).alias("records"))
 
 
 def stated(field: str) -> Column:
-    """The value of a field in ``entries``, overrides aside."""
-    return F.try_element_at(F.filter("entries", lambda e: (e["trust"] == 0) & (e["field_name"] == field)), F.lit(1))["value"]
+    """The value of a field in the data of ``records``, overrides aside."""
+    return F.try_element_at(F.filter("records", lambda r: r["trust"] == 0), F.lit(1))["values"][FIELDS.index(field)]
 
 
-def programme_groups(values: DataFrame, linked: DataFrame) -> DataFrame:
-    """id, group_id of every candidate whose institution, title and degree level are stated, in groups of two or more.
+def title_spellings(base: DataFrame) -> DataFrame:
+    """The words of all titles as spellings: field ``word``, token, is_cut, uses (titles that have it)."""
+    in_titles = base.select(F.explode(F.array_distinct("words")).alias("token"), F.xxhash64("words").alias("title")).distinct()
+    return in_titles.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).filter("length(token) >= 2").select(F.lit("word").alias("field"), "token", F.lit(False).alias("is_cut"), "uses")
 
-    ``linked``: name, entity of the institution names.  Rare words of titles are read as the
-    well-known words they are misspellings of.
+
+def titled(records: DataFrame) -> DataFrame:
+    """id, name, degree, words of every candidate whose institution, title and degree level are stated."""
+    base = stored(
+        records.select("id", stated("university_name").alias("name"), stated("program_name").alias("program"), stated("degree_level").alias("level")).filter("name is not null and program is not null")
+    )  # the long expressions below read columns, not the records
+    return base.select("id", "name", F.coalesce(degree_of(F.col("level")), degree_in_title(F.col("program"))).alias("degree"), title_words(F.col("program")).alias("words")).filter("degree is not null and size(words) > 0")
+
+
+def programme_groups(base: DataFrame, linked: DataFrame, clusters: DataFrame) -> DataFrame:
+    """id, group_id of the rows of ``titled`` that are in groups of two or more.
+
+    ``linked``: name, entity of the institution names; ``clusters``: field, token, cluster.  Words
+    of titles are read as the words they are misspellings of.
     """
-    base = values.select(
-        "id",
-        stated("university_name").alias("name"),
-        stated("program_name").alias("program"),
-        stated("degree_level").alias("level"),
-    ).filter("name is not null and program is not null")
-    base = cut(base).select("id", "name", F.coalesce(degree_of(F.col("level")), degree_in_title(F.col("program"))).alias("degree"), title_words(F.col("program")).alias("words")).filter("name is not null and degree is not null and size(words) > 0")
-    base = cut(base)
-    in_titles = base.select(F.explode("words").alias("token"), F.array_join("words", " ").alias("title"))
-    spellings = in_titles.groupBy("token").agg(F.approx_count_distinct("title").alias("uses")).filter("length(token) >= 2").select(
-        F.lit("word").alias("field"), "token", F.lit(False).alias("is_cut"), "uses", (F.col("uses") >= 3).alias("known")
-    )
-    meant = spelling_clusters(spellings).filter("cluster <> 'word|' || token").select("token", "cluster")
+    meant = clusters.filter("field = 'word' and cluster <> 'word|' || token").select("token", "cluster")
     # a title is mended once, not once a row
-    titles = base.groupBy("words").count().withColumn("title", F.array_join("words", " "))
+    titles = base.groupBy("words").agg(F.count(F.lit(1)).alias("uses")).withColumn("title", F.array_join("words", " "))
     worded = titles.select("title", F.posexplode("words").alias("at", "token"))
     mended = (
         salted_join(worded, meant, "token", F.col("title"), "left")
@@ -120,38 +125,47 @@ def programme_groups(values: DataFrame, linked: DataFrame) -> DataFrame:
     keyed = salted_join(base.withColumn("title", F.array_join("words", " ")), mended, "title", F.col("id"))
     keyed = salted_join(keyed, linked.select("name", "entity"), "name", F.col("id"))
     keyed = keyed.select("id", F.xxhash64("entity", "title_key", "degree").alias("h1"), F.hash("degree", "title_key", "entity").alias("h2")).select("id", F.concat_ws("-", F.hex("h1"), F.hex("h2")).alias("group_id"))
-    keyed = cut(keyed)
+    keyed = stored(keyed)
     several = keyed.groupBy("group_id").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("group_id")
     return salted_join(keyed, several, "group_id", F.col("id"), "left_semi")
 
 
-def surviving_values(values: DataFrame, groups: DataFrame) -> DataFrame:
-    """group_id, field_name, candidate_id, value of the entry that survives for each field.
+def dominates(y: Column, x: Column) -> Column:
+    """y is at least as trusted and recent as x and fills all its fields, and differs in one of these."""
+    at_least = (y["trust"] >= x["trust"]) & (y["at"] >= x["at"]) & (y["filled"].bitwiseAND(x["filled"]) == x["filled"])
+    return at_least & ((y["trust"] > x["trust"]) | (y["at"] > x["at"]) | (y["filled"] != x["filled"]))
 
-    No row for a field without a value in the group.  Equal trust and time go to the more
-    complete record, then to the smaller id.
-    """
-    completeness = F.size(F.array_distinct(F.transform("entries", lambda e: e["field_name"])))
-    entries = (
-        values.withColumn("completeness", completeness)
-        .join(groups, "id")
-        .select("id", "group_id", "updated_at", "completeness", F.explode("entries").alias("e"))
-        .select("group_id", "id", "completeness", F.coalesce("updated_at", F.lit("1900-01-01").cast("timestamp_ntz")).alias("at"), "e.*")
-    )
-    # the smaller id counts among equals: compare ids by their complement in order
-    cells = entries.groupBy("group_id", "field_name", "trust", "completeness").agg(
-        F.max("at").alias("at"), F.min_by(F.struct("id", "value"), F.struct(-F.unix_micros(F.col("at").cast("timestamp")), F.col("id"))).alias("of")
+
+def skylines(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """group_id, skyline: the undominated records of each group (trust, at, filled, id, values) in the order of the policy."""
+    filled = lambda vs: F.aggregate(F.transform(vs, lambda v, i: F.when(v.isNotNull(), F.pow(F.lit(2.0), i).cast("int")).otherwise(F.lit(0))), F.lit(0), lambda a, b: a + b)
+    cells = (
+        records.join(groups, "id")
+        .select("group_id", "id", F.coalesce("updated_at", F.lit("1900-01-01").cast("timestamp_ntz")).alias("at"), F.explode("records").alias("r"))
+        .select("group_id", "id", "at", "r.trust", "r.values", filled(F.col("r.values")).alias("filled"))
+        # the smaller id counts among equals: the latest of a set of fields hides the others
+        .groupBy("group_id", "trust", "filled")
+        .agg(F.max("at").alias("at"), F.min_by(F.struct("id", "values"), F.struct(-F.unix_micros(F.col("at").cast("timestamp")), F.col("id"))).alias("of"))
     )
-    cell = F.struct("trust", "at", "completeness", "of")
-    gathered = cells.groupBy("group_id", "field_name").agg(F.collect_list(cell).alias("cells"))
-    dominated = lambda x, all_: F.exists(
-        all_,
-        lambda y: (y["trust"] >= x["trust"]) & (y["at"] >= x["at"]) & (y["completeness"] >= x["completeness"])
-        & ((y["trust"] > x["trust"]) | (y["at"] > x["at"]) | (y["completeness"] > x["completeness"])),
+    gathered = cells.groupBy("group_id").agg(F.collect_list(F.struct("trust", "at", "filled", "of")).alias("cells"))
+    undominated = F.filter("cells", lambda x: ~F.exists("cells", lambda y: dominates(y, x)))
+    order = lambda x: F.struct(-x["trust"], -F.unix_micros(x["at"].cast("timestamp")), -F.bit_count(x["filled"]), x["of"]["id"], x["filled"], x["of"]["values"].alias("values"))
+    return gathered.select("group_id", F.sort_array(F.transform(undominated, order)).alias("s")).select(
+        "group_id", F.transform("s", lambda x: F.struct((-x["col1"]).alias("trust"), (-x["col2"]).alias("at"), x["filled"].alias("filled"), x["id"].alias("id"), x["values"].alias("values"))).alias("skyline")
     )
-    skyline = gathered.withColumn("skyline", F.filter("cells", lambda x: ~dominated(x, F.col("cells"))))
-    best = skyline.withColumn("best", F.array_max(F.transform("skyline", lambda x: F.struct(x["trust"], x["at"], x["completeness"], x["of"]["id"].alias("id"), x["of"]["value"].alias("value")))))
-    return best.select("group_id", "field_name", F.col("best.id").alias("candidate_id"), F.col("best.value").alias("value"))
+
+
+def surviving_values(skyline: DataFrame) -> DataFrame:
+    """group_id, field_name, candidate_id, value, rank: for each field the first record of the skyline that has it, and its place.
+
+    No row for a field without a value in the group.
+    """
+    placed = F.transform("skyline", lambda r, i: F.struct(r["id"].alias("id"), r["values"].alias("values"), i.alias("rank")))
+    having = lambda f: F.try_element_at(F.filter(placed, lambda r: r["values"][f].isNotNull()), F.lit(1))
+    first = F.array(*[having(f) for f in range(len(FIELDS))])
+    each = skyline.select("group_id", F.posexplode(first).alias("f", "r")).filter("r is not null")
+    names = F.array(*[F.lit(f) for f in FIELDS])
+    return each.select("group_id", names[F.col("f")].alias("field_name"), F.col("r.id").alias("candidate_id"), F.col("r.values")[F.col("f")].alias("value"), F.col("r.rank").alias("rank"))
 
 
 def survivors(candidates: DataFrame, names: DataFrame) -> DataFrame:
@@ -160,6 +174,10 @@ def survivors(candidates: DataFrame, names: DataFrame) -> DataFrame:
     Candidates without id, with broken JSON, or with no institution, title or degree level
     belong to no group.  Repeated rows of an id are one member.  Other columns are ignored.
     """
-    values = cut(candidate_values(candidates))
-    groups = cut(programme_groups(values, link_names(names)))
-    return surviving_values(values, groups)
+    records = stored(candidate_records(candidates))
+    base = stored(titled(records))
+    read = cut(read_names(names))
+    # names and titles are mended in one clustering
+    clusters = cut(spelling_clusters(name_spellings(read).unionByName(title_spellings(base))))
+    groups = stored(programme_groups(base, entities(read, clusters), clusters))
+    return surviving_values(skylines(records, groups))

@@ -70,3 +70,47 @@ def test_nicknames_and_initials_choose_between_namesakes(spark):
 
 def test_distances():
     assert n.edits("abcd", "abdc") == 1 and n.edits("", "ab") == 2 and n.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-3) and n.jaro_winkler("a", "") == 0
+
+
+WORDS = [("heidelberg", 40), ("heidelbrg", 2), ("heidelbreg", 3), ("marburg", 30), ("maburg", 1), ("warburg", 28), ("tuebing", 3)]
+
+
+def clusters(spark, rows):
+    df = spark.createDataFrame([("place|univ", w, w == "tuebing", u) for w, u in rows] + [("place|univ", "tuebingen", False, rows[0][1])], "field string, token string, is_cut boolean, uses bigint")
+    out = {}
+    for r in n.spelling_clusters(df).collect():
+        out.setdefault(r.cluster, set()).add(r.token)
+    return sorted(map(sorted, out.values()))
+
+
+def test_links_do_not_change_when_all_counts_grow(spark):
+    want = [["heidelberg", "heidelbreg", "heidelbrg"], ["maburg", "marburg"], ["tuebing", "tuebingen"], ["warburg"]]
+    for times in (1, 5, 500):
+        assert clusters(spark, [(w, u * times) for w, u in WORDS]) == want
+
+
+def test_large_blocks_are_split_without_loss(spark, monkeypatch):
+    want = clusters(spark, WORDS)
+    monkeypatch.setattr(n, "BLOCK", 1)
+    assert clusters(spark, WORDS) == want
+
+
+def test_finer_codes_meet_within_two_edits():
+    draw = random.Random(3)
+    for _ in range(400):
+        a = "".join(draw.choice("abcde") for _ in range(draw.randrange(7, 12)))
+        b = list(a)
+        for _ in range(draw.randrange(1, 3)):
+            i = draw.randrange(len(b))
+            b[i : i + 1] = draw.choice([[], [draw.choice("abcde")], [b[i], draw.choice("abcde")]])
+        b = "".join(b)
+        if len(b) >= 7 and n.edits(a, b) <= 2:
+            assert set(n.finer_codes(a, False)) & set(n.finer_codes(b, False)), (a, b)
+
+
+def test_pairs_of_a_large_entity(spark, monkeypatch):
+    monkeypatch.setattr(n, "PAIRED_AT_ONCE", 7)
+    linked = spark.createDataFrame([(f"n{i}", "e") for i in range(60)] + [("x", "f"), ("y", "f"), ("z", "g")], "name string, entity string")
+    got = {tuple(r) for r in n.name_pairs(linked).collect()}
+    names = sorted(f"n{i}" for i in range(60))
+    assert got == {(a, b) for a in names for b in names if a < b} | {("x", "y")}
