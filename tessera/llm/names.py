@@ -331,9 +331,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def tasks_of(df: DataFrame) -> int:
-    """Tasks for Python work on few bytes, which would otherwise be laid together into one."""
+    """Tasks for Python work on few bytes, which would otherwise be laid together into one.
+
+    Never the number of shuffle partitions: a repartition equal to the shuffle before it is dropped.
+    """
     spark = df.sparkSession
-    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = spark.sparkContext.defaultParallelism
+    return tasks + (tasks == int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def read_names(names: DataFrame) -> DataFrame:
