@@ -5,6 +5,12 @@ all visible text, one block a line, with lists and aligned table cells.  The lin
 or stored as such, are then built into a tree again: a heading opens a section, a blank
 line, a heading or a line of the site closes it, and whether a section is main body is
 decided for the section, by what stands in it.
+
+Which lines are the site's own is learned from all pages, not listed: menus, notices and
+footers return from page to page, and they stand before the title or behind all content,
+where the sentences and facts about a programme do not.  For every line (numbers and the
+site's own name masked), its lead-in before a colon and what follows it, the pages are
+counted on which it stands before the title, within the content and behind it.
 """
 
 from __future__ import annotations
@@ -20,39 +26,18 @@ from tessera.operators.orphans import clean_key
 from tessera.operators.skew import heavy_keys, salted_join
 from tessera.session import cut, stored
 
-# ---------------------------------------------------------------- lines of the site and of the programme
-
-# Lines of navigation, notices, boxes and footers, and what marks them in longer ones.
-SITE_LINES = frozenset(
-    """deutsch | english;english | deutsch;report an error on this page;imprint | privacy | accessibility;last changed by the web team;print this page;follow us on our channels;back to top;contact and directions;
-    related programmes;research;search;book an advising slot;open day: register here;study;library;apply now;student voices;share this page;faculties;dates and deadlines;continuing education;quick links;neuigkeiten;login;
-    open positions;home;folgen sie uns;student services;sitemap;frequently asked questions;about us;for schools;latest news;alumni;ok, got it;international;staff directory;kontakt und anfahrt;campus life;
-    zuletzt geändert von der webredaktion;häufige fragen;events;aktuelles;verwandte studiengänge;news;seite drucken;anmelden;studium;download brochure;weiterbildung;stellenangebote;nach oben;forschung;fakultäten;internationales;
-    seite teilen;suche;impressum | datenschutz | barrierefreiheit;termine;über uns;bibliothek;schnellzugriff;broschüre herunterladen;campusleben;studierendenservice;termine und fristen;jetzt bewerben;beratungstermin buchen;
-    personenverzeichnis;startseite;compare programmes;watch list;menu;menü;contact;kontakt;imprint;impressum;privacy;datenschutz;accessibility;barrierefreiheit;cookies;accept;accept all;decline;register;skip to content;zum inhalt springen;
-    read more;mehr erfahren;für schulen;studierendenstimmen;fehler auf dieser seite melden;tag der offenen tür: jetzt anmelden;agree;more;next;previous;weiter;zurück;press;presse;jobs;careers;intranet;map;lageplan;newsletter""".replace("\n", "").split(";")
-)
-SITE_LINES = frozenset(" ".join(s.split()) for s in SITE_LINES)
-SITE_MARKS = re.compile(
-    r"cookies?\b|privacy (?:statement|matters|policy|settings)|datenschutz(?:erklärung|einstellungen)|newsletter|all rights reserved|alle rechte vorbehalten|©|\(c\) \d{4}|"
-    r"store information on your device|speichern informationen|\bpartners?\b.{0,40}\b(?:agree|decline)|a portrait of|ein porträt|is a public institution that|ist eine öffentliche (?:einrichtung|hochschule)|"
-    r"central administration|zentrale verwaltung|sitzungsdateien|^also interesting|^new this term|^auch interessant|^neu (?:in diesem|dieses) semester|^see also|^siehe auch|opens for guests|\bprägt\b.{0,60}\b(?:generationen|lehre und forschung)|\bpartnern\b|zustimmen / ablehnen|third-party|optional services|optionale dienste|subscribe to|abonnieren sie|follow us|folgen sie|"
-    r"(?:last|zuletzt) (?:changed|modified|updated|geändert|aktualisiert)|report an error|fehler (?:auf|melden)|accept all|alle akzeptieren|allow once|always allow|immer erlauben|back to top|javascript",
-    re.I,
-)
-#: Parts of words without one of which ``SITE_MARKS`` cannot match; much cheaper to look for.
-SITE_HINTS = tuple(
-    "cookie;privacy;datenschutz;newsletter;reserved;vorbehalten;©;(c) ;on your device;speichern;partner;portrait;porträt;public institution;öffentliche;central administration;zentrale verwaltung;sitzungsdateien;third-party;optional;"
-    "subscribe;abonnieren;follow us;folgen sie;also interesting;new this term;auch interessant;semester;see also;siehe auch;opens for guests;prägt;zustimmen;changed;modified;updated;geändert;aktualisiert;error;fehler;accept all;akzeptieren;"
-    "allow;erlauben;back to top;javascript".split(";")
-)
+# ---------------------------------------------------------------- lines
+
+# Labels of facts, names of months and headings of sections, in English and German.
 LABELS = re.compile(
-    r"(?:programme(?: name)?|program(?: name)?|studiengang|course(?: name)?|title|titel|name|university|provider|hochschule|institution|universität|anbieter|country|land|location|campus(?!\s+life\b)|city|standort|ort|studienort|"
+    r"(?:programme(?: name)?|program(?: name)?|studiengang|course(?: name)?|title|titel|name|university|provider|hochschule|institution|universität|anbieter|country|land|location|campus|city|standort|ort|studienort|"
     r"qualification|degree(?: awarded)?|abschluss|field of study|subject area|fachrichtung|fachgebiet|studienfeld|language of instruction|teaching language|unterrichtssprache|sprache|study mode|type of study|studienform|studienmodus|"
     r"intake|start semester|start|studienbeginn|beginn|application|apply|bewerbung|bewerbungslink|duration|standard period of study|dauer|regelstudienzeit|studiendauer|tuition(?: fees?)?|fees?|gebühren|studiengebühren|credits|ects|"
     r"admission|zulassung|deadline|bewerbungsfrist|places|plätze|studienplätze)(?:\s*[:–—-]\s*|\s+)\S",
     re.I,
 )
+#: A label with its mark.
+MARKED = re.compile(r"[^:–—]{2,40}(?::|\s[–—-])\s\S")
 MONTH = r"(?:jan\w*|feb\w*|mar\w*|mär\w*|apr\w*|may|mai|jun\w*|jul\w*|aug\w*|sep\w*|o[ck]t\w*|nov\w*|de[cz]\w*)"
 DATE = re.compile(rf"(?:[-*•–]\s*)?(?:\d{{1,2}}\.?\s+{MONTH}|{MONTH}\s+\d{{1,2}}|\d{{1,2}}\.\d{{1,2}}\.(?:\d{{2,4}})?|\d{{4}}-\d\d-\d\d)\b.{{0,60}}$", re.I)
 #: A dated headline.
@@ -75,8 +60,11 @@ def _plain_title(text: str) -> str:
     return re.sub(r"[\W_]+", " ", t.replace("&", " and ")).strip()
 
 
+KINDS = ("blank", "site", "fact", "date", "item", "prose", "question", "trail", "sentence", "short")
+
+
 def line_kind(line: str) -> str:
-    """blank, site, fact, date, item, prose, question, trail, sentence or short."""
+    """blank, fact, date, item, prose, question, trail, sentence or short; site for a dated headline."""
     return _kind_of_short(line) if len(line) <= 120 else _kind(line)
 
 
@@ -87,18 +75,11 @@ def _kind_of_short(line: str) -> str:
 
 def _kind(line: str) -> str:
     text = folded(line)
-    low = text.casefold()
     words = len(text.split())
     if not text:
         return "blank"
-    if low in SITE_LINES:
-        return "site"
     long = words >= 8 and re.search(r"[.!?…]['\")]?$", text)
-    if any(h in low for h in SITE_HINTS) and SITE_MARKS.search(text) and not (LABELS.match(text) and words < 8):
-        return "site"
     marks = len(TRAIL.findall(text)) + text.count("·")
-    if marks and all(p.strip() in SITE_LINES for p in re.split(r"\s[/>»›→|·]\s", low)):
-        return "site"
     if (marks >= 2 or len(re.findall(r"(?<=\S) {2,}(?=\S)", line.strip())) >= 2) and not re.search(r"[.!?]$", text) and not re.match(r"[^:]{3,30}:\s", text):
         return "trail"
     if NEWS.match(text):
@@ -114,15 +95,20 @@ def _kind(line: str) -> str:
         return "prose"
     if text.endswith("?"):
         return "question"
-    if len(TRAIL.findall(text)) >= 1 or "·" in text or len(re.findall(r" {2,}", line.strip())) >= 2:
+    if marks >= 1 or len(re.findall(r" {2,}", line.strip())) >= 2:
         return "trail"
     if words >= 4 and re.search(r"[.!…]['\")]?$", text):
         return "sentence"
     return "short"
 
 
-def find_title(lines: list[str], kinds: list[str]) -> int:
-    """Number of the line that is the programme's title as heading, -1 for none."""
+def _is_heading(text: str) -> bool:
+    """A heading of the sections that a programme's page has."""
+    return any(h.fullmatch(text) for h in (MODULES, DATES, QUESTIONS))
+
+
+def find_title(lines: list[str], kinds: list[str], sure: bool = False) -> int:
+    """Number of the line that is the programme's title as heading, -1 for none.  ``sure``: only one that the page names elsewhere."""
     first = next((i for i, k in enumerate(kinds) if k in ("prose", "fact")), len(lines))
     named = set()
     for i, (line, k) in enumerate(zip(lines, kinds)):
@@ -140,18 +126,27 @@ def find_title(lines: list[str], kinds: list[str]) -> int:
     if exact:
         return exact[0]
     before = [i for i in range(first) if kinds[i] == "short"]
-    return before[-1] if before else -1
-
-
-def is_main(lines: list[str], often: frozenset[str] = frozenset()) -> list[bool]:
-    """For every line whether it is main body.  ``often``: lines that stand on most pages of the site."""
-    kinds = [line_kind(x) for x in lines]
-    title = find_title(lines, kinds)
-    for i, x in enumerate(lines):
-        text = folded(x)
-        # a site with few programmes repeats their titles, and headings of sections stand everywhere
-        if i != title and kinds[i] in ("short", "trail", "sentence") and text.casefold() in often and not any(h.fullmatch(text) for h in (MODULES, DATES, QUESTIONS)):
+    return before[-1] if before and not sure else -1
+
+
+def is_main(lines: list[str], site: frozenset[int] = frozenset(), kinds: list[str] | None = None, title: int | None = None) -> list[bool]:
+    """For every line whether it is main body.  ``site``: numbers of lines known to be the site's own."""
+    kinds = list(kinds) if kinds else [line_kind(x) for x in lines]
+    # headings of sections stand everywhere, and a fact with its mark is never the site's
+    own = [i for i in site if kinds[i] != "blank" and not _is_heading(folded(lines[i])) and not (kinds[i] == "fact" and MARKED.match(folded(lines[i])))]
+    if title is None and own:
+        # the title may be as frequent as a line of the site: first without judging short lines
+        soft = list(kinds)
+        for i in own:
+            if kinds[i] not in ("short", "trail"):
+                soft[i] = "site"
+        title = find_title(lines, soft, sure=True)
+        title = None if title < 0 else title
+    for i in own:
+        if i != title:
             kinds[i] = "site"
+    if title is None:
+        title = find_title(lines, kinds)
     out = [False] * len(lines)
     body = title if title >= 0 else next((i for i, k in enumerate(kinds) if k in ("prose", "fact")), len(lines))
     if title >= 0:
@@ -195,8 +190,9 @@ def is_main(lines: list[str], often: frozenset[str] = frozenset()) -> list[bool]
 
 # ---------------------------------------------------------------- over tables
 
-LINE = T.StructType([T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType()), T.StructField("main", T.BooleanType())])
+LINE = T.StructType([T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType()), T.StructField("main", T.BooleanType()), T.StructField("site", T.BooleanType())])
 FLAGGED = T.StructType([T.StructField("cached_file_path", T.StringType()), T.StructField("lines", T.ArrayType(LINE))])
+READ = "cached_file_path string, page_text string, kinds binary, keys array<bigint>, places array<tinyint>"
 
 
 def site_of(path):
@@ -209,40 +205,134 @@ def _text(page: str | None) -> str:
     return page or ""
 
 
-def frequent_lines(pages: DataFrame, least_pages: int = 10, share: float = 0.6) -> DataFrame:
-    """site, line of the short lines that stand on at least ``share`` of the pages of a site of ``least_pages`` or more."""
-    lines = (
-        pages.select(site_of(F.col("cached_file_path")).alias("site"), "cached_file_path", F.explode(F.array_distinct(F.transform(F.split("page_text", "\n"), lambda x: F.lower(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))))).alias("line"))
-        .filter("length(line) between 1 and 120")
-        .groupBy("site", "line")
-        .agg(F.count(F.lit(1)).alias("on"))
-    )
-    sizes = pages.groupBy(site_of(F.col("cached_file_path")).alias("site")).agg(F.count(F.lit(1)).alias("pages"))
-    return lines.filter(F.col("on") >= least_pages * share).join(sizes, "site").filter((F.col("pages") >= least_pages) & (F.col("on") >= share * F.col("pages"))).select("site", "line")
+PLAINER = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"})
+LEAD_IN = re.compile(r"([^:.!?]{3,60}):\s+(\S.*\S)")
+
+
+@lru_cache(maxsize=10_000)
+def _own_name(site: str):
+    """What masks the words that a site's host is made of."""
+    parts = sorted({re.escape(t[:5]) for t in re.split(r"[^a-z]+", site.lower()) if len(t) >= 5})
+    return re.compile(r"\b(?:" + "|".join(parts) + r")\w*") if parts else None
+
+
+def masked(text: str, site: str) -> str:
+    """A folded line without letter case, with 0 for numbers and a mark for the site's own name."""
+    t = re.sub(r"\d+", "0", text.casefold().translate(PLAINER))
+    own = _own_name(site)
+    return own.sub("§", t) if own else t
+
+
+def _number(text: str) -> int:
+    import xxhash
+
+    n = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return n - (1 << 64) if n >= 1 << 63 else n
+
+
+def line_keys(text: str, site: str) -> list[int]:
+    """Numbers of a folded line, and for a sentence of its lead-in before a colon and of what follows."""
+    m = masked(text, site)
+    out = [_number(m)]
+    if "§" in m:  # a word of the host may be a common one
+        out.append(_number(masked(text, "")))
+    lead = LEAD_IN.fullmatch(m) if ":" in m and (m[-1] in ".!" or m.count(" ") >= 7) else None
+    if lead:
+        out += [_number("<" + lead.group(1)), _number(">" + lead.group(2))]
+    return out
+
+
+HEAD, WITHIN, TAIL, UNKNOWN, TITLE = 0, 1, 2, 3, 4
+
+
+def read_page(text: str, site: str) -> tuple[list[str], list[str], list[int], list[int]]:
+    """Lines and kinds of a page; its keys, and where each stands: before the title, within the content, behind it or as the title.
+
+    Pages without a sure title tell nothing of places.  The content ends with the last fact beside
+    another fact, date, list, question or answer.
+    """
+    lines = text.split("\n")
+    kinds = [line_kind(x) for x in lines]
+    title = find_title(lines, kinds, sure=True)
+    if title < 0:
+        keys = [k for line, kind in zip(lines, kinds) if kind != "blank" for k in line_keys(folded(line), site)]
+        return lines, kinds, keys, [UNKNOWN] * len(keys)
+    main = is_main(lines, kinds=kinds, title=title)
+    n = len(lines)
+    beside = lambda i: any(0 <= j < n and kinds[j] == "fact" for j in (i - 1, i + 1))
+    last = max((i for i in range(title, n) if main[i] and (kinds[i] in ("date", "item", "question", "short") or (kinds[i] == "fact" and beside(i)) or (i and kinds[i - 1] == "question"))), default=title)
+    keys, places = [], []
+    for i, line in enumerate(lines):
+        if kinds[i] == "blank":
+            continue
+        for k in line_keys(folded(line), site):
+            keys.append(k)
+            places.append(TITLE if i == title else HEAD if i < title else WITHIN if i <= last else TAIL)
+    return lines, kinds, keys, places
+
+
+#: A line of the site stands before the title on this share of its pages; content does not.
+HEAD_SHARE = 0.08
+#: A line that is the title of pages on this share is a programme's name, wherever else it stands.
+TITLE_SHARE = 0.01
+#: Or it stands within the content on few pages: log likelihoods of a page for (one in eight against one in two), and what they must add up to.
+IN_CONTENT, BEHIND, CERTAIN = 1.43, -0.565, -3.4
+
+
+def site_keys(read: DataFrame) -> DataFrame:
+    """key of the lines that are the site's own, by their places on all pages (``read``: keys, places)."""
+    each = read.select(F.explode(F.arrays_zip("keys", "places")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
+    count = lambda p: F.count_if(F.col("place") == p)
+    counts = each.groupBy("key").agg(count(HEAD).alias("head"), count(WITHIN).alias("within"), count(TAIL).alias("tail"), count(TITLE).alias("titles"))
+    every = F.col("head") + F.col("within") + F.col("tail")
+    behind = F.col("within") * IN_CONTENT + F.col("tail") * BEHIND
+    return counts.filter((every > 1) & (F.col("titles") <= TITLE_SHARE * every) & ((F.col("head") >= HEAD_SHARE * every) | (behind <= CERTAIN))).select("key")
 
 
 def flagged_pages(pages: DataFrame) -> DataFrame:
-    """cached_file_path and its non-blank lines (line_no from 1 over all lines, line, main).
+    """cached_file_path and its non-blank lines (line_no from 1 over all lines, line, main, site).
 
-    Null pages have no row, empty ones no lines.  A page without title or text of its own has
-    no main body.  Further columns are ignored.
+    ``site``: the line is known as the site's own.  Null pages have no row, empty ones no lines.  A
+    page without title or text of its own has no main body.  Further columns are ignored.
     """
 
+    def read(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            out: dict[str, list] = {"page_text": [], "kinds": [], "keys": [], "places": []}
+            for page, site in zip(batch["page_text"], batch["site"]):
+                lines, kinds, keys, places = read_page(_text(page), site)
+                for name, value in zip(out, ("\n".join(lines), bytes(KINDS.index(k) for k in kinds), keys, places)):
+                    out[name].append(value)
+            yield pd.DataFrame({"cached_file_path": batch["cached_file_path"]} | out)
+
     def flagged(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
             out = []
-            for page, often in zip(batch["page_text"], batch["often"]):
-                lines = _text(page).split("\n")
-                flags = is_main(lines, frozenset(often if often is not None else ()))
-                out.append([{"line_no": no, "line": line, "main": main} for no, (line, main) in enumerate(zip(lines, flags), 1) if line.strip()])
+            for page, raw, hits, site in zip(batch["page_text"], batch["kinds"], batch["hits"], batch["site"]):
+                lines = page.split("\n")
+                kinds = [KINDS[k] for k in raw]
+                known = set(hits) if hits is not None else set()
+                own = frozenset(i for i, x in enumerate(lines) if known and kinds[i] != "blank" and not known.isdisjoint(line_keys(folded(x), site)))
+                flags = is_main(lines, own, kinds)
+                out.append([{"line_no": i + 1, "line": x, "main": flags[i], "site": i in own} for i, x in enumerate(lines) if kinds[i] != "blank"])
             yield pd.DataFrame({"cached_file_path": batch["cached_file_path"], "lines": out})
 
     pages = pages.select("cached_file_path", "page_text").filter("page_text is not null")
-    often = frequent_lines(pages).groupBy("site").agg(F.collect_list("line").alias("often"))  # bounded by the lines of one page over the share
-    with_site = pages.withColumn("site", site_of(F.col("cached_file_path")))
-    return salted_join(with_site, often, "site", F.col("cached_file_path"), "left").select("cached_file_path", "page_text", "often").mapInPandas(flagged, FLAGGED)
+    seen = stored(pages.withColumn("site", site_of(F.col("cached_file_path"))).select("cached_file_path", "page_text", "site").mapInPandas(read, READ))
+    own = cut(site_keys(seen))
+    each = seen.select(path_key(), F.explode(F.array_distinct("keys")).alias("key"))
+    hits = salted_join(each, own, "key", F.col("path.a"), "left_semi").groupBy("path").agg(F.collect_list("key").alias("hits"))  # at most the lines of a page
+    joined = seen.drop("keys", "places").withColumn("path", path_key()).join(hits, "path", "left")
+    return joined.select("cached_file_path", "page_text", "kinds", "hits", site_of(F.col("cached_file_path")).alias("site")).mapInPandas(flagged, FLAGGED)
+
+
+def path_key():
+    """16 bytes that stand for a path."""
+    return F.struct(F.xxhash64("cached_file_path").alias("a"), F.xxhash64(F.reverse("cached_file_path")).alias("b")).alias("path")
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -260,13 +350,14 @@ def _pairs(text):
     return F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def _quotes_one_word(text: str, words: list[str], shown: list[list[str]], main: list[bool]) -> bool:
+def _quotes_one_word(text: str, words: list[str], shown: list[list[str]], main: list[bool], site: list[bool]) -> bool:
     """A line of the site of one word stands alone, or before or behind a line or fact of the main body.
 
     The same word within a fact ("Study mode: full_time") is no quotation.
     """
     of_main = {" ".join(ws) for ws, m in zip(shown, main) if m}
     singles = {ws[0] for ws, m in zip(shown, main) if not m and len(ws) == 1} - of_main
+    known = {ws[0] for ws, own in zip(shown, site) if own and len(ws) == 1}
     if text in singles:
         return True
     if len(words) < 2:
@@ -275,17 +366,17 @@ def _quotes_one_word(text: str, words: list[str], shown: list[list[str]], main:
     if words[0] in singles and not LABELS.match(text) and (rest in of_main or LABELS.match(rest)):
         return True
     rest = " ".join(words[:-1])
-    return words[-1] in singles and (rest in of_main or (words[-1].casefold() in SITE_LINES and bool(LABELS.match(rest))))
+    return words[-1] in singles and (rest in of_main or (words[-1] in known and bool(LABELS.match(rest))))
 
 
-def quotes_site(snippet: str, lines: list[str], main: list[bool]) -> bool:
+def quotes_site(snippet: str, lines: list[str], main: list[bool], site: list[bool]) -> bool:
     """The snippet holds a line of the site, or a long part of one, that the main body does not hold."""
     text = folded(snippet)
     if not text:
         return False
     words = text.split(" ")
     shown = [folded(x).split(" ") for x in lines]
-    if _quotes_one_word(text, words, shown, main):
+    if _quotes_one_word(text, words, shown, main, site):
         return True
     starts: dict[str, list[tuple[int, int]]] = {}
     for r, ws in enumerate(shown):
@@ -337,15 +428,13 @@ def boilerplate(pages: DataFrame, evidence: DataFrame, source_pages: DataFrame)
         .select(F.lit("cached_pages").alias("record_table"), F.col("cached_file_path").alias("record_id"), "x.line_no")
         .distinct()
     )
-    # 16 bytes stand for a path from here on
-    path_key = F.struct(F.xxhash64("cached_file_path").alias("a"), F.xxhash64(F.reverse("cached_file_path")).alias("b"))
     kept = (
         flagged.filter(F.exists("lines", lambda x: ~x["main"]))
-        .select(path_key.alias("path"), "lines")
+        .select(path_key(), "lines")
         .withColumn("singles", F.array_distinct(F.transform(F.filter(F.transform(F.filter("lines", lambda x: ~x["main"]), lambda x: _folded(x["line"])), lambda x: ~x.contains(" ")), lambda x: F.hash(x))))
         .withColumn("around", F.array_distinct(F.transform(_pairs(F.array_join(F.transform(F.filter("lines", lambda x: ~x["main"]), lambda x: x["line"]), " ")), lambda x: F.hash(x))))
     )
-    where = source_pages.select(clean_key("id").alias("page"), path_key.alias("path"), "cached_file_path").filter("page is not null and cached_file_path is not null").select("page", "path").distinct()
+    where = source_pages.select(clean_key("id").alias("page"), path_key(), "cached_file_path").filter("page is not null and cached_file_path is not null").select("page", "path").distinct()
     asked = evidence.select("id", clean_key("source_page_id").alias("page"), F.col("short_evidence_text").alias("snippet"), F.col("extracted_value").alias("short_value")).filter(
         F.col("page").isNotNull() & (_folded(F.col("snippet")) != "") & ~_folded(F.col("snippet")).eqNullSafe(_folded(F.col("short_value")))  # the bare value quotes nothing
     ).drop("short_value")
@@ -363,7 +452,7 @@ def boilerplate(pages: DataFrame, evidence: DataFrame, source_pages: DataFrame)
         import pandas as pd
 
         for batch in batches:
-            keep = [quotes_site(s, [x["line"] for x in ls], [x["main"] for x in ls]) for s, ls in zip(batch["snippet"], batch["lines"])]
+            keep = [quotes_site(s, [x["line"] for x in ls], [x["main"] for x in ls], [x["site"] for x in ls]) for s, ls in zip(batch["snippet"], batch["lines"])]
             yield pd.DataFrame({"record_id": batch["id"][keep]})
 
     quoting = likely.mapInPandas(judge, "record_id string").distinct()
