@@ -21,7 +21,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tessera.functions.markup import render
+from tessera.llm.rendering import render
 from tessera.operators.orphans import clean_key
 from tessera.operators.skew import heavy_keys, salted_join
 from tessera.session import cut, stored
@@ -190,9 +190,9 @@ def is_main(lines: list[str], site: frozenset[int] = frozenset(), kinds: list[st
 
 # ---------------------------------------------------------------- over tables
 
-LINE = T.StructType([T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType()), T.StructField("main", T.BooleanType()), T.StructField("site", T.BooleanType())])
-FLAGGED = T.StructType([T.StructField("cached_file_path", T.StringType()), T.StructField("lines", T.ArrayType(LINE))])
-READ = "cached_file_path string, page_text string, kinds binary, keys array<bigint>, places array<tinyint>"
+#: One letter a line: main body, around it, known as the site's own, blank.
+MAIN, AROUND, SITE, BLANK = "mas "
+READ = "cached_file_path string, page_text string, kinds binary, keys array<bigint>, at array<int>, places array<tinyint>"
 
 
 def site_of(path):
@@ -232,6 +232,15 @@ def _number(text: str) -> int:
 
 def line_keys(text: str, site: str) -> list[int]:
     """Numbers of a folded line, and for a sentence of its lead-in before a colon and of what follows."""
+    return _keys_of_short(text, site) if len(text) <= 120 else _keys(text, site)
+
+
+@lru_cache(maxsize=200_000)
+def _keys_of_short(text: str, site: str) -> list[int]:
+    return _keys(text, site)
+
+
+def _keys(text: str, site: str) -> list[int]:
     m = masked(text, site)
     out = [_number(m)]
     if "§" in m:  # a word of the host may be a common one
@@ -245,8 +254,8 @@ def line_keys(text: str, site: str) -> list[int]:
 HEAD, WITHIN, TAIL, UNKNOWN, TITLE = 0, 1, 2, 3, 4
 
 
-def read_page(text: str, site: str) -> tuple[list[str], list[str], list[int], list[int]]:
-    """Lines and kinds of a page; its keys, and where each stands: before the title, within the content, behind it or as the title.
+def read_page(text: str, site: str) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """Kinds of the lines of a page; and its keys with line and place: before the title, within the content, behind it or as the title.
 
     Pages without a sure title tell nothing of places.  The content ends with the last fact beside
     another fact, date, list, question or answer.
@@ -254,21 +263,22 @@ def read_page(text: str, site: str) -> tuple[list[str], list[str], list[int], li
     lines = text.split("\n")
     kinds = [line_kind(x) for x in lines]
     title = find_title(lines, kinds, sure=True)
-    if title < 0:
-        keys = [k for line, kind in zip(lines, kinds) if kind != "blank" for k in line_keys(folded(line), site)]
-        return lines, kinds, keys, [UNKNOWN] * len(keys)
-    main = is_main(lines, kinds=kinds, title=title)
     n = len(lines)
-    beside = lambda i: any(0 <= j < n and kinds[j] == "fact" for j in (i - 1, i + 1))
-    last = max((i for i in range(title, n) if main[i] and (kinds[i] in ("date", "item", "question", "short") or (kinds[i] == "fact" and beside(i)) or (i and kinds[i - 1] == "question"))), default=title)
-    keys, places = [], []
+    last = title
+    if title >= 0:
+        main = is_main(lines, kinds=kinds, title=title)
+        beside = lambda i: (i and kinds[i - 1] == "fact") or (i + 1 < n and kinds[i + 1] == "fact")
+        for i in range(n - 1, title, -1):
+            k = kinds[i]
+            if main[i] and (k in ("date", "item", "question", "short") or (k == "fact" and beside(i)) or (i and kinds[i - 1] == "question")):
+                last = i
+                break
+    out = []
     for i, line in enumerate(lines):
-        if kinds[i] == "blank":
-            continue
-        for k in line_keys(folded(line), site):
-            keys.append(k)
-            places.append(TITLE if i == title else HEAD if i < title else WITHIN if i <= last else TAIL)
-    return lines, kinds, keys, places
+        if kinds[i] != "blank":
+            place = UNKNOWN if title < 0 else TITLE if i == title else HEAD if i < title else WITHIN if i <= last else TAIL
+            out.extend((k, i, place) for k in line_keys(folded(line), site))
+    return kinds, out
 
 
 #: A line of the site stands before the title on this share of its pages; content does not.
@@ -290,21 +300,25 @@ def site_keys(read: DataFrame) -> DataFrame:
 
 
 def flagged_pages(pages: DataFrame) -> DataFrame:
-    """cached_file_path and its non-blank lines (line_no from 1 over all lines, line, main, site).
+    """cached_file_path, page_text as it is shown, and flags: one letter a line (``MAIN``, ``AROUND``, ``SITE``, ``BLANK``).
 
-    ``site``: the line is known as the site's own.  Null pages have no row, empty ones no lines.  A
-    page without title or text of its own has no main body.  Further columns are ignored.
+    Null pages have no row, empty ones no lines.  A page without title or text of its own has no
+    main body.  Further columns are ignored.
     """
 
     def read(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        number = {k: i for i, k in enumerate(KINDS)}
         for batch in batches:
-            out: dict[str, list] = {"page_text": [], "kinds": [], "keys": [], "places": []}
+            out: dict[str, list] = {"page_text": [], "kinds": [], "keys": [], "at": [], "places": []}
             for page, site in zip(batch["page_text"], batch["site"]):
-                lines, kinds, keys, places = read_page(_text(page), site)
-                for name, value in zip(out, ("\n".join(lines), bytes(KINDS.index(k) for k in kinds), keys, places)):
-                    out[name].append(value)
+                shown = _text(page)
+                kinds, keys = read_page(shown, site)
+                out["page_text"].append(shown)
+                out["kinds"].append(bytes(number[k] for k in kinds))
+                for name, values in zip(("keys", "at", "places"), zip(*keys) if keys else ((), (), ())):
+                    out[name].append(list(values))
             yield pd.DataFrame({"cached_file_path": batch["cached_file_path"]} | out)
 
     def flagged(batches: Iterator) -> Iterator:
@@ -312,22 +326,26 @@ def flagged_pages(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for page, raw, hits, site in zip(batch["page_text"], batch["kinds"], batch["hits"], batch["site"]):
-                lines = page.split("\n")
+            for page, raw, own in zip(batch["page_text"], batch["kinds"], batch["own"]):
                 kinds = [KINDS[k] for k in raw]
-                known = set(hits) if hits is not None else set()
-                own = frozenset(i for i, x in enumerate(lines) if known and kinds[i] != "blank" and not known.isdisjoint(line_keys(folded(x), site)))
-                flags = is_main(lines, own, kinds)
-                out.append([{"line_no": i + 1, "line": x, "main": flags[i], "site": i in own} for i, x in enumerate(lines) if kinds[i] != "blank"])
-            yield pd.DataFrame({"cached_file_path": batch["cached_file_path"], "lines": out})
+                own = frozenset(own.tolist()) if own is not None else frozenset()
+                flags = is_main(page.split("\n"), own, kinds)
+                out.append("".join(BLANK if k == "blank" else MAIN if main else SITE if i in own else AROUND for i, (k, main) in enumerate(zip(kinds, flags))))
+            yield pd.DataFrame({"cached_file_path": batch["cached_file_path"], "page_text": batch["page_text"], "flags": out})
 
     pages = pages.select("cached_file_path", "page_text").filter("page_text is not null")
     seen = stored(pages.withColumn("site", site_of(F.col("cached_file_path"))).select("cached_file_path", "page_text", "site").mapInPandas(read, READ))
     own = cut(site_keys(seen))
-    each = seen.select(path_key(), F.explode(F.array_distinct("keys")).alias("key"))
-    hits = salted_join(each, own, "key", F.col("path.a"), "left_semi").groupBy("path").agg(F.collect_list("key").alias("hits"))  # at most the lines of a page
-    joined = seen.drop("keys", "places").withColumn("path", path_key()).join(hits, "path", "left")
-    return joined.select("cached_file_path", "page_text", "kinds", "hits", site_of(F.col("cached_file_path")).alias("site")).mapInPandas(flagged, FLAGGED)
+    each = seen.select(path_key(), F.explode(F.arrays_zip("keys", "at")).alias("x")).select("path", F.col("x.keys").alias("key"), F.col("x.at").alias("at"))
+    hits = salted_join(each, own, "key", F.col("path.a"), "left_semi").groupBy("path").agg(F.collect_set("at").alias("own"))  # at most the lines of a page
+    joined = seen.select("cached_file_path", "page_text", "kinds", path_key()).join(hits, "path", "left")
+    return joined.select("cached_file_path", "page_text", "kinds", "own").mapInPandas(flagged, "cached_file_path string, page_text string, flags string")
+
+
+def lines_of():
+    """The non-blank lines of a flagged page: line_no (from 1 over all lines), line, main."""
+    each = F.transform(F.split("page_text", "\n"), lambda x, i: F.struct((i + 1).cast("bigint").alias("line_no"), x.alias("line"), F.col("flags").substr(i + 1, F.lit(1)).alias("flag")))
+    return F.transform(F.filter(each, lambda x: x["flag"] != BLANK), lambda x: F.struct(x["line_no"], x["line"], (x["flag"] == MAIN).alias("main")))
 
 
 def path_key():
@@ -337,7 +355,7 @@ def path_key():
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """cached_file_path, line_no, line, main of every non-blank line."""
-    return flagged_pages(pages).select("cached_file_path", F.explode("lines").alias("x")).select("cached_file_path", "x.*")
+    return flagged_pages(pages).select("cached_file_path", F.explode(lines_of()).alias("x")).select("cached_file_path", "x.*")
 
 
 def _folded(text):
@@ -350,69 +368,79 @@ def _pairs(text):
     return F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def _quotes_one_word(text: str, words: list[str], shown: list[list[str]], main: list[bool], site: list[bool]) -> bool:
-    """A line of the site of one word stands alone, or before or behind a line or fact of the main body.
-
-    The same word within a fact ("Study mode: full_time") is no quotation.
-    """
-    of_main = {" ".join(ws) for ws, m in zip(shown, main) if m}
-    singles = {ws[0] for ws, m in zip(shown, main) if not m and len(ws) == 1} - of_main
-    known = {ws[0] for ws, own in zip(shown, site) if own and len(ws) == 1}
-    if text in singles:
-        return True
-    if len(words) < 2:
-        return False
-    rest = " ".join(words[1:])
-    if words[0] in singles and not LABELS.match(text) and (rest in of_main or LABELS.match(rest)):
-        return True
-    rest = " ".join(words[:-1])
-    return words[-1] in singles and (rest in of_main or (words[-1] in known and bool(LABELS.match(rest))))
-
-
-def quotes_site(snippet: str, lines: list[str], main: list[bool], site: list[bool]) -> bool:
-    """The snippet holds a line of the site, or a long part of one, that the main body does not hold."""
-    text = folded(snippet)
-    if not text:
+class Shown:
+    """A page's lines as words, indexed once for all snippets that quote it."""
+
+    def __init__(self, lines: list[str], main: list[bool], site: list[bool]):
+        self.words = [folded(x).split(" ") for x in lines]
+        self.main = main
+        self.of_main = {" ".join(ws) for ws, m in zip(self.words, main) if m}
+        self.singles = {ws[0] for ws, m in zip(self.words, main) if not m and len(ws) == 1} - self.of_main
+        self.known = {ws[0] for ws, own in zip(self.words, site) if own and len(ws) == 1}
+        self.starts: dict[str, list[tuple[int, int]]] = {}
+        for r, ws in enumerate(self.words):
+            for c, w in enumerate(ws):
+                self.starts.setdefault(w, []).append((r, c))
+
+    @classmethod
+    def of(cls, page: str, flags: str) -> "Shown":
+        kept = [(x, f) for x, f in zip(page.split("\n"), flags) if f != BLANK]
+        return cls([x for x, _ in kept], [f == MAIN for _, f in kept], [f == SITE for _, f in kept])
+
+    def quotes_one_word(self, text: str, words: list[str]) -> bool:
+        """A line of the site of one word stands alone, or before or behind a line or fact of the main body.
+
+        The same word within a fact ("Study mode: full_time") is no quotation.
+        """
+        if text in self.singles:
+            return True
+        if len(words) < 2:
+            return False
+        rest = " ".join(words[1:])
+        if words[0] in self.singles and not LABELS.match(text) and (rest in self.of_main or LABELS.match(rest)):
+            return True
+        rest = " ".join(words[:-1])
+        return words[-1] in self.singles and (rest in self.of_main or (words[-1] in self.known and bool(LABELS.match(rest))))
+
+    def quoted_in(self, snippet: str) -> bool:
+        """The snippet holds a line of the site, or a long part of one, that the main body does not hold."""
+        text = folded(snippet)
+        if not text:
+            return False
+        words, shown, main = text.split(" "), self.words, self.main
+        if self.quotes_one_word(text, words):
+            return True
+        i = 0
+        while i < len(words):
+            best_main = best_site = 0
+            whole = False
+            for r, c in self.starts.get(words[i], ()):
+                ws, n = shown[r], 0
+                while i + n < len(words) and c + n < len(ws) and words[i + n] == ws[c + n]:
+                    n += 1
+                if main[r]:
+                    best_main = max(best_main, n)
+                else:
+                    # a line of the site may run on into the next one
+                    rr, total, full = r, n, c == 0 and n == len(ws)
+                    while full and rr + 1 < len(shown) and not main[rr + 1]:
+                        nxt, m = shown[rr + 1], 0
+                        while i + total + m < len(words) and m < len(nxt) and words[i + total + m] == nxt[m]:
+                            m += 1
+                        total += m
+                        rr += 1
+                        if m < len(nxt):
+                            break
+                    if total > best_site or (total == best_site and full):
+                        best_site, whole = total, full or total > n
+            # part of a line counts if it is long or runs over menu entries: names of the institution and of programmes stand everywhere
+            menu = sum(w in "/|>»›→·" for w in words[i : i + best_site])
+            if best_site > best_main and ((whole and best_site >= 2) or best_site >= 7 or (best_site >= 3 and menu >= 2)):
+                after = words[i + best_site] if i + best_site < len(words) else None
+                if best_site >= 3 or after is None or any(c == 0 for _, c in self.starts.get(after, ())):
+                    return True
+            i += max(1, best_main, 1)
         return False
-    words = text.split(" ")
-    shown = [folded(x).split(" ") for x in lines]
-    if _quotes_one_word(text, words, shown, main, site):
-        return True
-    starts: dict[str, list[tuple[int, int]]] = {}
-    for r, ws in enumerate(shown):
-        for c, w in enumerate(ws):
-            starts.setdefault(w, []).append((r, c))
-    i = 0
-    while i < len(words):
-        best_main = best_site = 0
-        whole = False
-        for r, c in starts.get(words[i], ()):
-            ws, n = shown[r], 0
-            while i + n < len(words) and c + n < len(ws) and words[i + n] == ws[c + n]:
-                n += 1
-            if main[r]:
-                best_main = max(best_main, n)
-            else:
-                # a line of the site may run on into the next one
-                rr, total, full = r, n, c == 0 and n == len(ws)
-                while full and rr + 1 < len(shown) and not main[rr + 1]:
-                    nxt, m = shown[rr + 1], 0
-                    while i + total + m < len(words) and m < len(nxt) and words[i + total + m] == nxt[m]:
-                        m += 1
-                    total += m
-                    rr += 1
-                    if m < len(nxt):
-                        break
-                if total > best_site or (total == best_site and full):
-                    best_site, whole = total, full or total > n
-        # part of a line counts if it is long or runs over menu entries: names of the institution and of programmes stand everywhere
-        menu = sum(w in "/|>»›→·" for w in words[i : i + best_site])
-        if best_site > best_main and ((whole and best_site >= 2) or best_site >= 7 or (best_site >= 3 and menu >= 2)):
-            after = words[i + best_site] if i + best_site < len(words) else None
-            if best_site >= 3 or after is None or any(c == 0 for _, c in starts.get(after, ())):
-                return True
-        i += max(1, best_main, 1)
-    return False
 
 
 def boilerplate(pages: DataFrame, evidence: DataFrame, source_pages: DataFrame) -> DataFrame:
@@ -424,15 +452,19 @@ def boilerplate(pages: DataFrame, evidence: DataFrame, source_pages: DataFrame)
     """
     flagged = stored(flagged_pages(pages))
     around = (
-        flagged.select("cached_file_path", F.explode(F.filter("lines", lambda x: ~x["main"])).alias("x"))
-        .select(F.lit("cached_pages").alias("record_table"), F.col("cached_file_path").alias("record_id"), "x.line_no")
+        # only the letters are read here
+        flagged.select("cached_file_path", F.posexplode(F.split("flags", "")).alias("at", "flag"))
+        .filter(F.col("flag").isin(AROUND, SITE))
+        .select(F.lit("cached_pages").alias("record_table"), F.col("cached_file_path").alias("record_id"), (F.col("at") + 1).cast("bigint").alias("line_no"))
         .distinct()
     )
+    not_main = F.transform(F.filter(F.arrays_zip(F.split("page_text", "\n").alias("line"), F.split("flags", "").alias("flag")), lambda x: x["flag"].isin(AROUND, SITE)), lambda x: _folded(x["line"]))
     kept = (
-        flagged.filter(F.exists("lines", lambda x: ~x["main"]))
-        .select(path_key(), "lines")
-        .withColumn("singles", F.array_distinct(F.transform(F.filter(F.transform(F.filter("lines", lambda x: ~x["main"]), lambda x: _folded(x["line"])), lambda x: ~x.contains(" ")), lambda x: F.hash(x))))
-        .withColumn("around", F.array_distinct(F.transform(_pairs(F.array_join(F.transform(F.filter("lines", lambda x: ~x["main"]), lambda x: x["line"]), " ")), lambda x: F.hash(x))))
+        flagged.filter(F.col("flags").rlike(f"[{AROUND}{SITE}]"))
+        .select(path_key(), "page_text", "flags", F.explode(F.array(not_main)).alias("n"))  # computed once
+        .withColumn("singles", F.array_distinct(F.transform(F.filter("n", lambda x: ~x.contains(" ")), lambda x: F.hash(x))))
+        .withColumn("around", F.array_distinct(F.transform(_pairs(F.array_join("n", " ")), lambda x: F.hash(x))))
+        .drop("n")
     )
     where = source_pages.select(clean_key("id").alias("page"), path_key(), "cached_file_path").filter("page is not null and cached_file_path is not null").select("page", "path").distinct()
     asked = evidence.select("id", clean_key("source_page_id").alias("page"), F.col("short_evidence_text").alias("snippet"), F.col("extracted_value").alias("short_value")).filter(
@@ -446,13 +478,17 @@ def boilerplate(pages: DataFrame, evidence: DataFrame, source_pages: DataFrame)
     words = F.split(_folded(F.col("snippet")), " ")
     ends = F.array(F.hash(F.element_at(words, 1)), F.hash(F.element_at(words, -1)))
     shared = F.arrays_overlap(F.transform(_pairs(F.col("snippet")), lambda x: F.hash(x)), F.col("around")) | F.arrays_overlap(ends, F.col("singles"))
-    likely = joined.filter((F.col("path") == F.col("kept_path")) & shared).select("id", "snippet", "lines")
+    likely = joined.filter((F.col("path") == F.col("kept_path")) & shared).select("id", "snippet", "page_text", "flags")
 
     def judge(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            keep = [quotes_site(s, [x["line"] for x in ls], [x["main"] for x in ls], [x["site"] for x in ls]) for s, ls in zip(batch["snippet"], batch["lines"])]
+            keep, last, shown = [], None, None
+            for snippet, page, flags in zip(batch["snippet"], batch["page_text"], batch["flags"]):
+                if last is None or page != last[0] or flags != last[1]:  # the join brings the snippets of a page together
+                    last, shown = (page, flags), Shown.of(page, flags)
+                keep.append(shown.quoted_in(snippet))
             yield pd.DataFrame({"record_id": batch["id"][keep]})
 
     quoting = likely.mapInPandas(judge, "record_id string").distinct()
