@@ -1,6 +1,7 @@
 """Per-document text statistics, and what kind of text they tell: prose, list, table or junk.
 
-One pass of Arrow batches over the documents, no shuffle.  Every line is measured, lines
+One pass of Arrow batches over the documents, no shuffle.  Scripts without blanks are cut into
+pairs of letters first.  Every line is measured, lines
 are grouped into blocks, repetition statistics (duplicate lines and paragraphs, the
 characters covered by the dominant n-gram) are added, and combined rules give each
 character to prose, list, table or junk.
@@ -70,6 +71,11 @@ ODD = re.compile(r"[{}\[\]<>~^\\§$%&+*#=_@]")
 NOT_ALNUM, NOT_DIGIT = re.compile(r"[\W_]+"), re.compile(r"\D+")
 #: A word that nobody can say: no vowel, or four consonants in a row.
 UNSAYABLE = re.compile(r"^[^aeiouyäöüáéíóúàèìòùâêîôûãõåæøœıěėęąůőű]+$|[bcdfghjklmnpqrstvwxzß]{4}", re.I)
+#: Scripts written without blanks: Chinese and Japanese, Thai, Lao, Burmese, Khmer.
+UNSPACED = re.compile(r"[\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]+")
+FULL_STOPS = str.maketrans({"。": ". ", "！": "! ", "？": "? ", "．": ". ", "।": ". "})
+#: What a line of plain prose has none of; anything else is looked at closely.
+SPECIAL = re.compile(r"[\t|{}<>;&\\$=(\[#~^§%*+_@/·•–»\ufffdÃâÂï]| [- ]|\S{35}")
 RULE = re.compile(r"[\s|+:=-]*[-=]{2,}[\s|+:=-]*$")
 
 
@@ -105,15 +111,29 @@ def _variety(words: list[str], window: int = 50) -> float:
 
 
 def _common(words: list[str]) -> float:
-    return sum(w in COMMON for w in words) / len(words) if words else 0.0
+    return sum(map(COMMON.__contains__, words)) / len(words) if words else 0.0
+
+
+def segmented(text: str) -> str:
+    """Text of scripts without blanks with a blank after every two letters, so that rules on words hold for it."""
+    if not UNSPACED.search(text):
+        return text
+
+    def apart(m: re.Match) -> str:
+        run, whole = m.group(), m.string
+        before = m.start() and not whole[m.start() - 1].isspace()
+        after = m.end() < len(whole) and whole[m.end()].isalnum()
+        return " " * bool(before) + " ".join(run[i : i + 2] for i in range(0, len(run), 2)) + " " * after
+
+    return UNSPACED.sub(apart, text.translate(FULL_STOPS))
 
 
 def _inline_items(text: str) -> int:
     """Items of a line that is an enumeration and nothing else, 0 for any other line."""
     for mark in ("; ", " / ", " | ", " · ", " • ", " – ", " - ", ", ", " > ", " » "):
-        parts = [p.strip() for p in text.split(mark)]
-        if len(parts) < 4:
+        if text.count(mark) < 3:
             continue
+        parts = [p.strip() for p in text.split(mark)]
         sizes = [len(WORD.findall(p)) for p in parts]
         if max(sizes) <= 6 and sum(sizes) / len(sizes) <= 3.6 and not any(STOPS.search(p) for p in parts[:-1]):
             upper = sum(p[:1].isupper() or p[:1].isdigit() for p in parts) / len(parts)
@@ -123,11 +143,12 @@ def _inline_items(text: str) -> int:
     return 0
 
 
-def _line_kind(line: str) -> str:
-    """prose, list, table, junk, short (a few words, no sentence) or rule, of one line by itself."""
+def _line_kind(line: str, words: list[str]) -> str:
+    """prose, list, table, junk, short (a few words, no sentence) or rule, of one line by itself with its words in lower case."""
     text = line.strip()
+    if len(words) >= 9 and text[-1] in ".!?" and not SPECIAL.search(text) and text.count(", ") < 3 and 2 * sum(map(len, words)) > len(text) and _common(words) >= 0.25 and _variety(words) > 0.2:
+        return "prose"
     dense, alnum = len("".join(text.split())), len(NOT_ALNUM.sub("", text))
-    words = [w.lower() for w in WORD.findall(text)]
     if RULE.match(text) and "|" in text:
         return "rule"
     if alnum < 0.35 * dense or len(ODD.findall(text)) > 0.25 * dense:
@@ -189,12 +210,13 @@ def measure(text: str | None) -> dict:
     out = {f.name: 0.0 for f in STATS.fields if f.dataType == T.DoubleType()} | {"n_words": 0, "n_lines": 0, "kind": None}
     if text is None or not text.strip():
         return out
+    text = segmented(text)
     lines = [x for x in re.split(r"[\n\r\x0b\x0c\x85\u2028\u2029]", text) if x.strip()]
-    words = WORD.findall(text)
-    lower = [w.lower() for w in words]
+    words_of = [[w.lower() for w in WORD.findall(x)] for x in lines]
+    lower = [w for ws in words_of for w in ws]
     dense, alnum, digits = len("".join(text.split())), len(NOT_ALNUM.sub("", text)), len(NOT_DIGIT.sub("", text))
-    out["n_words"], out["n_lines"] = len(words), len(lines)
-    out["mean_word_length"] = sum(map(len, words)) / len(words) if words else 0.0
+    out["n_words"], out["n_lines"] = len(lower), len(lines)
+    out["mean_word_length"] = sum(map(len, lower)) / len(lower) if lower else 0.0
     out["symbol_ratio"], out["digit_ratio"] = (dense - alnum) / dense, digits / dense
     out["punctuated_line_share"] = sum(bool(ENDS.search(x.strip())) for x in lines) / len(lines)
     out["bulleted_line_share"] = sum(bool(BULLET.match(x)) for x in lines) / len(lines)
@@ -208,7 +230,7 @@ def measure(text: str | None) -> dict:
     for n, (share, _) in grams.items():
         out[f"top_{n}gram_share"] = share
 
-    kinds = [_line_kind(x) for x in lines]
+    kinds = [_line_kind(x, ws) for x, ws in zip(lines, words_of)]
     # a line that fills most of the text by being repeated is noise, whatever it says
     top, times = counts.most_common(1)[0]
     if times >= 4 and len(top) * times >= 0.25 * total and len(counts) < 0.5 * len(lines):
@@ -234,7 +256,7 @@ def measure(text: str | None) -> dict:
             j += 1
         after = kinds[j] if j < len(kinds) else None
         before = kinds[i - 1] if i else None
-        run = [w.lower() for x in lines[i:j] for w in WORD.findall(x)]
+        run = [w for ws in words_of[i:j] for w in ws]
         if j - i >= 2 and len(run) >= 4.5 * (j - i) and _common(run) >= 0.2:  # prose in narrow lines
             kinds[i:j] = ["prose"] * (j - i)
         elif j - i >= 4 or (j - i == 3 and after != "prose"):
@@ -253,7 +275,8 @@ def measure(text: str | None) -> dict:
     # whole-text repetition: one n-gram makes up most of the characters
     share4, n4 = grams[4]
     share2, n2 = grams[2]
-    if (share2 >= 0.5 and n2 >= 8) or (share4 >= 0.6 and n4 >= 6):
+    copied = max(out["duplicate_line_share"], out["duplicate_paragraph_share"])
+    if (share2 >= 0.5 and n2 >= 8) or (share4 >= 0.6 and n4 >= 6) or (copied >= 0.8 and out["top_3gram_share"] >= 0.1 and grams[3][1] >= 8):
         moved = sizes["prose"] + sizes["heading"]
         sizes["junk"] += moved
         sizes["prose"] = sizes["heading"] = 0

@@ -14,6 +14,11 @@ CASES = {
     (PROSE * 3).replace(". ", ".\n").lower().replace(",", ""): None,
     "a short sentence that is not ended": None,
     "Bücher sind für die Studierenden in der Bibliothek frei, und sie ist am Abend offen.": None,
+    "我们学校的图书馆每天都开放,所有学生都可以免费使用。图书馆里有很多关于历史和科学的书籍,学生们常常在那里学习到很晚。": None,
+    "ห้องสมุดของมหาวิทยาลัยเปิดทุกวันและนักศึกษาทุกคนสามารถใช้ได้โดยไม่เสียค่าใช้จ่าย นักศึกษาจำนวนมากมักจะอ่านหนังสือที่นั่นจนดึก": None,
+    "この大学の図書館は毎日開いていて、すべての学生が無料で利用できます。\n多くの学生は夜遅くまでそこで勉強しています。": None,
+    "- 数学\n- 物理\n- 化学\n- 法律": "list",
+    "姓名\t年龄\n王明\t23\n李华\t24": "table",
     "- Maths\n- Physics\n- Art History\n- Law": "list",
     "Maths\nPhysics\nArt History\nMedia Law\nForestry": "list",
     "Maths, Physics, Art History, Media Law, Forestry, Logistics": "list",
