@@ -56,10 +56,11 @@ def _rate(cap, logit, multiplier, tokens):
     return F.when(multiplier.isNull(), cap.cast("double")).otherwise(cap / (1 + F.exp(-x)))
 
 
-def solve(histogram: DataFrame, targets: list[tuple], tolerance: float = 1e-5, rounds: int = 60) -> dict[tuple[str, str], float | None]:
+def solve(histogram: DataFrame, targets: list[tuple], tolerance: float = 1e-5, rounds: int = 200) -> dict[tuple[str, str], float | None]:
     """The multiplier of each (mix, source); None where even all copies do not reach the target.
 
-    ``histogram``: source, n_tokens, docs.
+    ``histogram``: source, n_tokens, docs.  The steps stay in a bracket that each of them narrows; a
+    dual that is not solved within ``rounds`` is an error, never a result.
     """
     spark = histogram.sparkSession
     sizes = {r.source: (float(r.t), float(r.m)) for r in histogram.join(F.broadcast(spark.createDataFrame([(s,) for s in sorted({t[1] for t in targets})] or [("",)], "source string")), "source").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("docs")).alias("t"), (F.sum(F.col("n_tokens") * F.col("docs")) / F.sum("docs")).alias("m")).collect()}
@@ -100,7 +101,9 @@ def solve(histogram: DataFrame, targets: list[tuple], tolerance: float = 1e-5, r
             if not (low < step < high):
                 step = (low + high) / 2 if math.isfinite(low) and math.isfinite(high) else (max(1.0, 2 * abs(l) * mean) / mean) * (1 if gap < 0 else -1)
             state[key] = [step, low, high]
-    return out | {k: v[0] for k, v in state.items()}
+    if state:
+        raise RuntimeError(f"no multiplier after {rounds} rounds for {sorted(state)[:5]}")
+    return out
 
 
 def draw(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, name: str = NAME) -> tuple[DataFrame, DataFrame]:

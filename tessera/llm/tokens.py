@@ -223,16 +223,7 @@ def _encode_exactly(part: str, following: str, encode) -> list[int]:
     return out
 
 
-CHUNKED = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("text_key", T.LongType()),
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("chars", T.IntegerType()),
-        T.StructField("hash", T.BinaryType()),
-        T.StructField("chunk", T.StringType()),
-    ]
-)
+CHUNKS = "k struct<none:boolean,doc:bigint,text:bigint>, ends array<int>, hashes array<binary>"
 
 
 def _chunked(batches: Iterator) -> Iterator:
@@ -241,54 +232,79 @@ def _chunked(batches: Iterator) -> Iterator:
     import pandas as pd
 
     for batch in batches:
-        out = {f.name: [] for f in CHUNKED.fields}
-        for doc, key, text, ends in zip(batch["doc_id"], batch["text_key"], batch["text"], cuts_of(list(batch["text"]))):
-            begin = 0
-            for pos, end in enumerate(ends):
-                chunk = text[begin:end]
-                out["doc_id"].append(doc)
-                out["text_key"].append(key)
-                out["pos"].append(pos)
-                out["chars"].append(end - begin)
-                out["hash"].append(hashlib.blake2b(chunk.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                out["chunk"].append(chunk)
-                begin = end
-        yield pd.DataFrame(out)
+        out: dict[str, list] = {"ends": [], "hashes": []}
+        for text, ends in zip(batch["text"], cuts_of(list(batch["text"]))):
+            begins = [0, *ends[:-1]]
+            out["ends"].append(ends)
+            out["hashes"].append([hashlib.blake2b(text[b:e].encode("utf-8", "surrogatepass"), digest_size=16).digest() for b, e in zip(begins, ends)])
+        yield pd.DataFrame({"k": batch["k"]} | out)
+
+
+def _runs(ends: list[int], shared: dict[int, list[int]]) -> list[tuple[int, int, list[int] | None]]:
+    """(begin, end, ids) of the shared chunks of a text, and of what lies between them as one part without ids."""
+    out: list[tuple[int, int, list[int] | None]] = []
+    begin = 0
+    for k, end in enumerate(ends):
+        ids = shared.get(k)
+        if ids is None and out and out[-1][2] is None:
+            out[-1] = (out[-1][0], end, None)
+        else:
+            out.append((begin, end, ids))
+        begin = end
+    return out
 
 
 def encode_corpus(documents: DataFrame, folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
     """doc_id and ids (array of int) of every document, without special tokens.
 
-    Null and empty texts give an empty array; white space is text; strings of special
-    tokens are ordinary text.  Repeated rows of one doc_id and text give one row each text.
+    Texts are cut once; only the hashes of the chunks are counted.  A chunk that stands in more
+    places than one is encoded once, from the place that comes first, and its ids are joined to the
+    others; what lies between shared chunks is encoded where it stands, so a text without copies
+    is encoded whole and its chunks never leave it.  Null and empty texts give an empty array;
+    white space is text; strings of special tokens are ordinary text.  Repeated rows of one doc_id
+    and text give one row each text.
     """
 
     def encoded(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            yield pd.DataFrame({"hash": batch["hash"], "uses": batch["uses"], "ids": encode_whole(list(batch["chunk"]), folder, name)})
+            chunks = [(h, text[b:e]) for text, places in zip(batch["text"], batch["places"]) for h, b, e in ((p["hash"], p["begin"], p["end"]) for p in places)]
+            yield pd.DataFrame({"hash": [h for h, _ in chunks], "ids": encode_whole([c for _, c in chunks], folder, name) if chunks else []})
 
     def joined(batches: Iterator) -> Iterator:
         import pandas as pd
 
         encode = lambda texts: encode_whole(texts, folder, name)
         for batch in batches:
-            out = []
-            for text, parts in zip(batch["text"], batch["parts"]):
-                parts = sorted(parts, key=lambda p: p["pos"])
-                ends = list(itertools.accumulate(p["chars"] for p in parts))
-                out.append(join_chunks(text, ends, [list(p["ids"]) for p in parts], encode))
+            parts = []
+            for ends, found in zip(batch["ends"], batch["parts"]):
+                shared = {p["pos"]: list(p["ids"]) for p in found} if found is not None else {}
+                parts.append(_runs(list(ends), shared))
+            # one call for all that is not shared
+            wanted = [(d, k) for d, runs in enumerate(parts) for k, r in enumerate(runs) if r[2] is None]
+            texts = list(batch["text"])
+            made = encode([texts[d][parts[d][k][0] : parts[d][k][1]] for d, k in wanted]) if wanted else []
+            for (d, k), ids in zip(wanted, made):
+                begin, end, _ = parts[d][k]
+                parts[d][k] = (begin, end, ids)
+            out = [runs[0][2] if len(runs) == 1 else join_chunks(text, [r[1] for r in runs], [r[2] for r in runs], encode) for text, runs in zip(texts, parts)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": out})
 
-    full = spread(documents.filter("text is not null and text <> ''").select("doc_id", F.xxhash64("text").alias("text_key"), "text"))
-    chunks = full.mapInPandas(_chunked, CHUNKED)
-    # equal chunks meet in the partial aggregation first; only distinct ones are shuffled and encoded
-    distinct = chunks.groupBy("hash").agg(F.first("chunk").alias("chunk"), F.count(F.lit(1)).alias("uses"))
-    ids = stored(distinct.mapInPandas(encoded, "hash binary, uses bigint, ids array<int>"))
-    placed = salted_join(chunks.drop("chunk"), ids.drop("uses"), "hash", F.xxhash64("doc_id", "pos"), heavy=heavy_keys(ids, "hash", count="uses"))
-    parts = placed.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "chars", "ids")).alias("parts"))
-    done = full.join(parts, [full["doc_id"].eqNullSafe(parts["doc_id"]), full["text_key"] == parts["text_key"]]).select(full["doc_id"], "text", "parts").mapInPandas(joined, "doc_id bigint, ids array<int>")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("doc"), F.xxhash64("text").alias("text"))
+    full = spread(documents.filter("text is not null and text <> ''").select("doc_id", "text")).withColumn("k", key)
+    chunked = stored(full.select("k", "text").mapInPandas(_chunked, CHUNKS))
+    each = chunked.select("k", "ends", F.posexplode("hashes").alias("pos", "hash"))
+    begin = F.when(F.col("pos") == 0, F.lit(0)).otherwise(F.try_element_at("ends", F.col("pos")))
+    each = each.select("k", "pos", "hash", begin.alias("begin"), F.try_element_at("ends", F.col("pos") + 1).alias("end"))
+    several = stored(each.groupBy("hash").agg(F.count(F.lit(1)).alias("uses"), F.min(F.struct("k", "pos", "begin", "end")).alias("at")).filter("uses > 1"))
+    # the shared chunks of a text are read from it together
+    keepers = several.select("at.k", F.struct("hash", F.col("at.begin").alias("begin"), F.col("at.end").alias("end")).alias("p")).groupBy("k").agg(F.collect_list("p").alias("places"))
+    ids = stored(full.join(keepers, "k").select("text", "places").mapInPandas(encoded, "hash binary, ids array<int>").dropDuplicates(["hash"]))
+    placed = salted_join(each.select("k", "pos", "hash"), ids, "hash", F.xxhash64("k", "pos"), heavy=heavy_keys(several, "hash", count="uses"))
+    parts = placed.groupBy("k").agg(F.collect_set(F.struct("pos", "ids")).alias("parts"))
+    cut_texts = chunked.select("k", "ends").dropDuplicates(["k"]).join(parts, "k", "left")
+    done = full.join(cut_texts, "k").select("doc_id", "text", "ends", "parts").mapInPandas(joined, "doc_id bigint, ids array<int>")
     empty = documents.filter("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids"))
     return done.unionByName(empty)
 
