@@ -7,7 +7,7 @@ aggregated group-bys on (candidate, field); a hot candidate costs no single task
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Fixed values.
 SUPPORTED = ["program_name", "university_name", "country_code", "city", "degree_level", "field_category", "teaching_language", "duration_value", "duration_unit", "duration_semesters", "study_mode", "intake", "application_url", "source_url"]
@@ -64,9 +64,11 @@ def resolve(ranked: DataFrame) -> DataFrame:
         .join(best, ["candidate_id", "field_name"])
         .filter("rank = best")
     )
-    two = strongest.groupBy("candidate_id", "field_name", "best", "values", "pages").agg(
-        F.count(F.lit(1)).alias("top_values"), F.min_by("e", "ord").alias("first"), F.min("ord").alias("o1"), F.slice(F.array_sort(F.collect_list(F.struct("ord", "e"))), 2, 1).alias("next")
-    )
+    # the first two of the strongest by a bounded rank, their number by a count: no list of all of them
+    place = Window.partitionBy("candidate_id", "field_name").orderBy("ord")
+    firsts = strongest.select("candidate_id", "field_name", "ord", "e").withColumn("_n", F.row_number().over(place)).filter("_n <= 2")
+    firsts = firsts.groupBy("candidate_id", "field_name").agg(F.max(F.when(F.col("_n") == 1, F.col("e"))).alias("first"), F.max(F.when(F.col("_n") == 2, F.col("e"))).alias("next"))
+    two = strongest.groupBy("candidate_id", "field_name", "best", "values", "pages").agg(F.count(F.lit(1)).alias("top_values")).join(firsts, ["candidate_id", "field_name"])
     outcome = (
         F.when((F.col("values") == 1) & (F.col("best") == 2), "low_only")
         .when(F.col("values") == 1, "agreed")
@@ -79,13 +81,25 @@ def resolve(ranked: DataFrame) -> DataFrame:
         F.when(outcome.isin("agreed", "outranked"), F.col("first.value")).alias("value"),
         "values", "pages", confidence.alias("confidence"),
         F.when(outcome == "conflict", F.col("first.id")).alias("first_evidence_id"),
-        F.when(outcome == "conflict", F.col("next")[0]["e"]["id"]).alias("second_evidence_id"),
+        F.when(outcome == "conflict", F.col("next.id")).alias("second_evidence_id"),
     )
 
 
-def agreement_label(resolved: DataFrame) -> DataFrame:
-    label = F.when(F.col("outcome") == "conflict", "conflict").when((F.col("pages") > 1) & (F.col("values") == 1), "agreement across sources").otherwise("single source or complementary")
-    return resolved.select("candidate_id", "field_name", label.alias("agreement"))
+def agreement(evidence: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """candidate_id, field_name, agreement of every field with evidence.
+
+    ``conflict`` where a conflict row names the field, whatever its status; else ``agreement across
+    sources`` where several pages give one value (letter case aside); else single source or
+    complementary.  Evidence without candidate or field has no row; a null page is a page of its own.
+    """
+    v = F.coalesce(F.nullif(F.col("normalized_value"), F.lit("")), F.col("extracted_value"), F.lit(""))
+    told = evidence.filter("candidate_id is not null and field_name is not null").select("candidate_id", "field_name", F.coalesce("source_page_id", F.lit("")).alias("page"), F.lower(v).alias("folded"))
+    # least and greatest tell one from several, without sets
+    several = lambda c: F.min(c) < F.max(c)
+    fields = told.groupBy("candidate_id", "field_name").agg(several("page").alias("pages"), several("folded").alias("values"))
+    named = conflicts.filter("candidate_id is not null and field_name is not null").select("candidate_id", "field_name").distinct().withColumn("_k", F.lit(True))
+    label = F.when(F.col("_k"), "conflict").when(F.col("pages") & ~F.col("values"), "agreement across sources").otherwise("single source or complementary")
+    return fields.join(named, ["candidate_id", "field_name"], "left").select("candidate_id", "field_name", label.alias("agreement"))
 
 
 def missing_fields(present: DataFrame, candidates: DataFrame, wanted: list[str] = SUPPORTED) -> DataFrame:

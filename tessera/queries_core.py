@@ -77,6 +77,34 @@ left join (select distinct {clean('record_id')} as k from record_deletions where
 where c.k is not null"""
 
 
+def _records_sql() -> str:
+    """Records of the uploaded files with reason and cells, by expressions alone: a record is matched whole against its delimiter's cells."""
+    by_mark = lambda made: "case d when ',' then " + made(",") + " when ';' then " + made(";") + r" else " + made(r"\t") + " end"
+    cell = lambda m: rf'("(?:[^"]|"")*"|[^"{m}]*)'
+    whole = by_mark(lambda m: f"regexp_full_match(rec, '{cell(m)}({m}{cell(m)})*')")
+    cells = by_mark(lambda m: f"regexp_extract_all(rec || d, '{cell(m)}{m}', 1)")
+    value = lambda c: f"(case when starts_with(cells[list_position(cols, '{c}')], '\"') then replace(cells[list_position(cols, '{c}')][2:-2], '\"\"', '\"') else cells[list_position(cols, '{c}')] end)"
+    return rf"""raw as (select *, regexp_replace(regexp_replace(raw_record, '[\r\n]+$', ''), '^\x{{FEFF}}', '') as rec from raw_input_records where raw_record is not null),
+heads as (select file_name, min(replace(replace(rec, '"', ''), ' ', '')) as head from raw where line_no = 1 group by 1),
+files as (select file_name, coalesce(nullif(regexp_extract(head, '[,;\t]'), ''), ',') as mark, lower(head) as head from heads),
+given as (select record_id, file_name, line_no, coalesce(input_kind, '') as input_kind, coalesce(mark, ',') as d, rec,
+  string_split(coalesce(head, case when input_kind = 'seed' then '{",".join(records.SEED_COLUMNS)}' else '{",".join(records.BATCH_COLUMNS)}' end), coalesce(mark, ',')) as cols
+  from raw left join files using (file_name) where line_no is distinct from 1 and regexp_replace(translate(rec, ',;' || chr(9), ''), '[\s\x{{00A0}}]+', '', 'g') <> ''),
+parts as (select *, {whole} as sound, {cells} as cells from given),
+valued as (select *, {", ".join(f"{value(c)} as v_{c}" for c in records.FIELDS)} from parts),
+judged as (select *, regexp_extract(trim(v_source_url), '^(?i:https?)://([^/?#\\]*)([/?#]|$)', 1) as authority, regexp_replace(trim(v_official_domain), '\.$', '') as bare from valued),
+reasoned as (select *, case when not sound then 'quoting' when len(cells) <> len(cols) then 'column_count' when input_kind = 'seed' and trim(coalesce(v_institution_name, '')) = '' then 'institution_name'
+  when input_kind = 'batch' and (v_source_url is null or not regexp_matches(trim(v_source_url), '^(?i:https?)://[^/?#\\]*([/?#]|$)') or contains(authority, '@') or not regexp_full_match(split_part(authority, ':', 1), '[^\s<>"{{}}|^`%@:\[\],;]+') or not regexp_matches(split_part(authority, ':', 1), '[\p{{L}}\p{{N}}]')
+    or (position(':' in authority) > 0 and substr(authority, position(':' in authority) + 1) <> '' and coalesce(try_cast(nullif(regexp_extract(substr(authority, position(':' in authority) + 1), '^[0-9]{{1,7}}$'), '') as int), 0) not between 1 and 65535)) then 'source_url'
+  when input_kind = 'seed' and (v_official_domain is null or length(bare) > 253 or not regexp_full_match(lower(bare), '([a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z]{{2,63}}')) then 'official_domain' end as reason from judged)"""
+
+
+def _loaded_sql(kind: str, columns: list[str]) -> str:
+    cell = lambda c: rf"nullif(regexp_replace(v_{c}, '^[\s\x{{00A0}}]+|[\s\x{{00A0}}]+$', '', 'g'), '')"
+    shown = [f"regexp_replace(lower({cell(c)}), '\\.$', '') as {c}" if c == "official_domain" else f"{cell(c)} as {c}" for c in columns]
+    return f"with {_records_sql()} select record_id, file_name, line_no, {', '.join(shown)} from reasoned where reason is null and input_kind = '{kind}'"
+
+
 def _edges(table_name: str, column: str, parent: str) -> str:
     clean = lambda c: rf"nullif(regexp_replace(lower({c}), '^[\s\x{{00A0}}]+|[\s\x{{00A0}}]+$', '', 'g'), '')"
     return f"""
@@ -97,6 +125,10 @@ least_depth as (select record_table, node, min(depth) as depth from w group by 1
 months as (select record_table, node, min(report_month) as report_month from e group by 1, 2)
 select record_table, report_month, case depth when 0 then 'direct' else 'inherited' end as orphanhood, depth::int as depth, count(*) as "rows" from least_depth join months using (record_table, node) group by all"""
     return {
+        "p3_found": f"with {_records_sql()} select distinct record_id, reason from reasoned where reason is not null",
+        "p3_reasons": f"with {_records_sql()} select input_kind, coalesce(reason, 'loaded') as outcome, count(*) as records from reasoned group by all",
+        "p3_batch_rows": _loaded_sql("batch", records.BATCH_COLUMNS),
+        "p3_seed_rows": _loaded_sql("seed", records.SEED_COLUMNS),
         "p6_cascade": cascade,
         "p6_found": found,
         "p6_report": f"select record_table, record_column, kind, report_month, count(*) as broken from ({found}) group by all",

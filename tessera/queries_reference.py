@@ -28,13 +28,15 @@ def query(sql: str | None = None):
 # ---------------------------------------------------------------- evidence
 
 RANKED_SQL = """
-ranked as (
+every_value as (
   select distinct id, candidate_id, field_name, source_page_id, coalesce(nullif(normalized_value, ''), nullif(extracted_value, '')) as value,
     case confidence when 'high' then 0 when 'medium' then 1 else 2 end as rank, created_at
   from evidence_records
   where field_name in ('program_name','university_name','country_code','city','degree_level','field_category','teaching_language','duration_value','duration_unit','duration_semesters','study_mode','intake','application_url','source_url')
     and candidate_id is not null and coalesce(nullif(normalized_value, ''), nullif(extracted_value, '')) is not null
 ),
+own_urls as (select distinct e.id, e.candidate_id from every_value e join candidate_records c on c.id = e.candidate_id and c.source_page_id = e.source_page_id where e.field_name = 'source_url'),
+ranked as (select * from every_value where field_name <> 'source_url' or id in (select id from own_urls) or candidate_id not in (select candidate_id from own_urls)),
 best as (select candidate_id, field_name, min(rank) as best, count(distinct lower(value)) as vals, count(distinct source_page_id) as pages from ranked group by all),
 strongest as (
   select r.candidate_id, r.field_name, lower(r.value) as folded, best, vals, pages, arg_min(r.id, (r.created_at, r.id)) as id, arg_min(r.value, (r.created_at, r.id)) as value, min((r.created_at, r.id)) as ord
@@ -50,7 +52,7 @@ resolved as (
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.resolve(resolve.ranked_evidence(table(spark, d, "evidence_records")))
+    return resolve.resolve(resolve.ranked_evidence(table(spark, d, "evidence_records"), table(spark, d, "candidate_records")))
 
 
 @query(f"""with {RANKED_SQL} select candidate_id, field_name, outcome, case when outcome in ('agreed', 'outranked') then first_value end as value, vals as "values", pages,
@@ -65,9 +67,11 @@ def evidence_outcomes(spark, d):
     return _resolved(spark, d).groupBy("outcome").agg(F.count(F.lit(1)).alias("fields"))
 
 
-@query(f"""with {RANKED_SQL} select candidate_id, field_name, case when outcome = 'conflict' then 'conflict' when pages > 1 and vals = 1 then 'agreement across sources' else 'single source or complementary' end as agreement from resolved""")
+@query("""with f as (select candidate_id, field_name, count(distinct coalesce(source_page_id, '')) as pages, count(distinct lower(coalesce(nullif(normalized_value, ''), extracted_value, ''))) as vals
+ from evidence_records where candidate_id is not null and field_name is not null group by 1, 2), k as (select distinct candidate_id, field_name, 1 as named from conflict_records)
+select candidate_id, field_name, case when named = 1 then 'conflict' when pages > 1 and vals = 1 then 'agreement across sources' else 'single source or complementary' end as agreement from f left join k using (candidate_id, field_name)""")
 def field_agreement(spark, d):
-    return resolve.agreement_label(_resolved(spark, d))
+    return resolve.agreement(table(spark, d, "evidence_records"), table(spark, d, "conflict_records"))
 
 
 @query("""with want as (select unnest(['program_name','university_name','country_code','city','degree_level','field_category','teaching_language','duration_value','duration_unit','duration_semesters','study_mode','intake','application_url','source_url']) as f),
@@ -90,25 +94,35 @@ def _layers_sql(column: str, layer: int) -> str:
     return f"select distinct id as candidate_id, unnest(json_keys({column})) as field_name, {column} as j, {layer} as layer from candidate_records where json_valid({column})"
 
 
+CONTEXT_SQL = """ctx as (select distinct c.id as candidate_id, 'country_code' as field_name, j.country_code as value from candidate_records c join collection_jobs j on j.id = c.job_id),
+free as (select candidate_id, field_name, min(value) as value from ctx where value is not null and not exists (select 1 from evidence_records e where e.candidate_id = ctx.candidate_id and e.field_name = ctx.field_name and e.normalized_value <> ctx.value) group by 1, 2),"""
 EFFECTIVE_SQL = f"""
-rows as (select candidate_id, field_name, json_extract_string(j, '$."' || field_name || '"') as value, layer from ({_layers_sql("normalized_data", 0)} union all {_layers_sql("reviewer_overrides", 2)})),
-effective as (select candidate_id, field_name, arg_min(value, (case layer when 2 then 0 else 1 end, coalesce(value, ''))) as v0,
-   min(case layer when 2 then 0 else 1 end) as l, count(*) as n from rows group by 1, 2),
-picked as (select e.candidate_id, e.field_name, r.value, case e.l when 0 then 'override' else 'extraction' end as layer from effective e
-   join rows r on r.candidate_id = e.candidate_id and r.field_name = e.field_name and (case r.layer when 2 then 0 else 1 end) = e.l)"""
+{CONTEXT_SQL}
+rows as (select candidate_id, field_name, json_extract_string(j, '$."' || field_name || '"') as value, layer from ({_layers_sql("normalized_data", 1)} union all {_layers_sql("reviewer_overrides", 0)}) union all select candidate_id, field_name, value, 2 from free),
+effective as (select candidate_id, field_name, min(layer) as l from rows group by 1, 2),
+picked as (select e.candidate_id, e.field_name, min(coalesce(r.value, '')) as told, case e.l when 0 then 'override' when 1 then 'extraction' else 'context' end as layer from effective e
+   join rows r on r.candidate_id = e.candidate_id and r.field_name = e.field_name and r.layer = e.l group by all)"""
+
+
+def _contexts(spark, d):
+    """candidate_id, field_name, value: the country of the candidate's job."""
+    jobs = table(spark, d, "collection_jobs").select(F.col("id").alias("job_id"), F.col("country_code").alias("value"))
+    return table(spark, d, "candidate_records").select(F.col("id").alias("candidate_id"), "job_id").distinct().join(jobs, "job_id").select("candidate_id", F.lit("country_code").alias("field_name"), "value").distinct()
 
 
 def _effective(spark, d):
     c = table(spark, d, "candidate_records")
-    return layers.effective_values(layers.json_layer(c, "normalized_data", layers.EXTRACTION), layers.json_layer(c, "reviewer_overrides", layers.OVERRIDE))
+    free = layers.context_contradictions(_contexts(spark, d), table(spark, d, "evidence_records")).filter("effective and value is not null")
+    context = free.groupBy("candidate_id", "field_name").agg(F.min("value").alias("value")).withColumn("layer", F.lit(layers.CONTEXT))
+    return layers.effective_values(layers.json_layer(c, "normalized_data", layers.EXTRACTION), layers.json_layer(c, "reviewer_overrides", layers.OVERRIDE), context)
 
 
-@query(f"with {EFFECTIVE_SQL} select * from picked")
+@query(f"with {EFFECTIVE_SQL} select candidate_id, field_name, nullif(told, '') as value, layer from picked")
 def effective_values(spark, d):
-    return _effective(spark, d)
+    return _effective(spark, d).withColumn("value", F.nullif("value", F.lit("")))
 
 
-@query(f"with {EFFECTIVE_SQL} select layer, count(*) as fields from picked where value is not null and trim(value) <> '' group by layer")
+@query(f"with {EFFECTIVE_SQL} select layer, count(*) as fields from picked where trim(told) <> '' group by layer")
 def provenance_counts(spark, d):
     return layers.provenance_counts(_effective(spark, d))
 
@@ -118,8 +132,7 @@ ev as (select distinct candidate_id, field_name, normalized_value as f from evid
 select ctx.candidate_id, ctx.field_name, ctx.value, coalesce(string_agg(f, ',' order by f) filter (where f <> ctx.value), '') as contradicting, count(f) filter (where f <> ctx.value) = 0 as effective
 from ctx left join ev using (candidate_id, field_name) group by 1, 2, 3""")
 def context_contradictions(spark, d):
-    jobs = table(spark, d, "collection_jobs").select(F.col("id").alias("job_id"), F.col("country_code").alias("value"))
-    context = table(spark, d, "candidate_records").select(F.col("id").alias("candidate_id"), "job_id").distinct().join(jobs, "job_id").select("candidate_id", F.lit("country_code").alias("field_name"), "value").distinct()
+    context = _contexts(spark, d)
     out = layers.context_contradictions(context, table(spark, d, "evidence_records"))
     return out.withColumn("contradicting", F.array_join("contradicting", ","))
 
@@ -210,8 +223,10 @@ def url_without_query(spark, d):
 
 @query()
 def url_problems(spark, d):
-    raw = table(spark, d, "batch_input_rows").select("batch_row_id", F.coalesce(urls.address_problem("source_url"), F.lit("ok")).alias("problem"))
-    return raw.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    """Of the addresses of batches, pages and uploaded files."""
+    uploaded = table(spark, d, "raw_input_records").filter("input_kind = 'batch' and line_no > 1").select(F.explode(F.split("raw_record", "[,;\t]")).alias("u")).filter(F.col("u").contains("//"))
+    every = table(spark, d, "batch_input_rows").select(F.col("source_url").alias("u")).unionByName(table(spark, d, "source_pages").select(F.col("original_url").alias("u"))).unionByName(uploaded)
+    return every.groupBy(F.coalesce(urls.address_problem("u"), F.lit("ok")).alias("problem")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""with u as (select distinct id, normalized_url, source_type, lower(regexp_extract(normalized_url, '^\s*[A-Za-z]+://[^/?#]*([^?#]*)', 1)) as p from source_pages),
@@ -260,7 +275,24 @@ def degree_words(spark, d):
     return e.select("id", values.degree("extracted_value").alias("level")).distinct()
 
 
-@query()
+NORMAL_SQL = r"""
+folded as (select distinct id, field_name, extracted_value as raw, trim(regexp_replace(extracted_value, '[\s\x{00A0}]+', ' ', 'g')) as v, lower(extracted_value) as low from evidence_records),
+named as (select *, nullif(trim(regexp_replace(regexp_replace(v, '^(b\.?\s*sc\.?|m\.?\s*sc\.?|ph\.?d\.?|bachelor( of science)?|master( of science)?)\s*[-–—,:]?\s*', '', 'i'), '\s*[-–—,:]?\s*(b\.?\s*sc\.?|m\.?\s*sc\.?|ph\.?d\.?|bachelor( of science)?|master( of science)?)$', '', 'i')), '') as bare,
+ regexp_extract(low, '\b(\d{1,9}|one|two|three|four|five|six)[\s\x{00A0}]+(semester|year|month)s?\b', 1) as num, regexp_extract(low, '\b(\d{1,9}|one|two|three|four|five|six)[\s\x{00A0}]+(semester|year|month)s?\b', 2) as word,
+ try_cast(regexp_extract(low, '^\s*p(\d{1,9})([ym])\s*$', 1) as int) as iso, regexp_extract(low, '^\s*p(\d{1,9})([ym])\s*$', 2) as iso_unit from folded),
+counted as (select *, coalesce(try_cast(num as int), case num when 'one' then 1 when 'two' then 2 when 'three' then 3 when 'four' then 4 when 'five' then 5 when 'six' then 6 end) as n from named),
+normals as (select id, field_name, raw, case field_name
+  when 'degree_level' then case when regexp_matches(low, '(^|\W)(b\.?\s*sc\.?|bachelor( of science)?)($|\W)') then 'bachelor' when regexp_matches(low, '(^|\W)(m\.?\s*sc\.?|master( of science)?)($|\W)') then 'master' when regexp_matches(low, '(^|\W)(ph\.?d\.?|doctorate|dr\.?-?ing\.?)($|\W)') then 'phd' end
+  when 'program_name' then coalesce(bare, v)
+  when 'teaching_language' then case when regexp_matches(low, 'english|englisch') and regexp_matches(low, 'german|deutsch') then 'English and German' when low like '%bilingual%' then 'bilingual' when regexp_matches(low, 'english|englisch') then 'English' when regexp_matches(low, 'german|deutsch') then 'German' end
+  when 'study_mode' then case when raw is null then null when regexp_matches(low, 'hybrid|blended') then 'hybrid' when regexp_matches(low, 'online|distance') then 'online' when regexp_matches(lower(v), 'part[- ]time') then 'part_time' when regexp_matches(lower(v), 'full[- ]time') then 'full_time' else 'unknown' end
+  when 'country_code' then case when regexp_matches(trim(raw), '^[A-Za-z]{2}$') then upper(trim(raw)) else case lower(trim(raw)) when 'germany' then 'DE' when 'deutschland' then 'DE' when 'netherlands' then 'NL' when 'france' then 'FR' when 'italy' then 'IT' when 'spain' then 'ES' when 'united kingdom' then 'GB' when 'austria' then 'AT' when 'switzerland' then 'CH' end end end as normal,
+  case when not starts_with(field_name, 'duration') then null when iso_unit = 'y' then iso when iso_unit = 'm' then case when iso % 6 = 0 then iso // 6 else iso end when word <> '' then n end as amount,
+  case when not starts_with(field_name, 'duration') then null when iso_unit = 'y' then 'years' when iso_unit = 'm' then case when iso % 6 = 0 then 'semesters' else 'months' end when word <> '' then word || 's' end as unit,
+  case when not starts_with(field_name, 'duration') then null when iso_unit = 'y' then iso * 2 when iso_unit = 'm' then case when iso % 6 = 0 then iso // 6 end when word = 'semester' then n when word = 'year' then n * 2 end as semesters from counted)"""
+
+
+@query(f"with {NORMAL_SQL} select id, normal, amount::int as amount, unit, semesters::int as semesters from normals")
 def normal_forms(spark, d):
     e = table(spark, d, "evidence_records").select("id", "field_name", "extracted_value").distinct()
     v, f = F.col("extracted_value"), F.col("field_name")
@@ -283,13 +315,49 @@ def study_mode_forms(spark, d):
     return e.select("id", values.study_mode("extracted_value").alias("mode")).distinct()
 
 
-@query()
+@query(r"""with o as (select id as candidate_id, unnest(json_keys(reviewer_overrides)) as field_name, reviewer_overrides as j from candidate_records where json_valid(reviewer_overrides)),
+r as (select distinct candidate_id, field_name, trim(json_extract_string(j, '$."' || field_name || '"')) as v from o),
+n as (select *, lower(v) as low, case when regexp_matches(lower(v), '(^|\W)(b\.?\s*sc\.?|bachelor( of science)?)($|\W)') then 'bachelor' when regexp_matches(lower(v), '(^|\W)(m\.?\s*sc\.?|master( of science)?)($|\W)') then 'master' when regexp_matches(lower(v), '(^|\W)(ph\.?d\.?|doctorate|dr\.?-?ing\.?)($|\W)') then 'phd' end as degree,
+ case when regexp_matches(lower(v), 'english|englisch') and regexp_matches(lower(v), 'german|deutsch') then 'English and German' when lower(v) like '%bilingual%' then 'bilingual' when regexp_matches(lower(v), 'english|englisch') then 'English' when regexp_matches(lower(v), 'german|deutsch') then 'German' end as language,
+ case when regexp_matches(v, '^[A-Za-z]{2}$') then upper(v) else case lower(v) when 'germany' then 'DE' when 'deutschland' then 'DE' when 'netherlands' then 'NL' when 'france' then 'FR' when 'italy' then 'IT' when 'spain' then 'ES' when 'united kingdom' then 'GB' when 'austria' then 'AT' when 'switzerland' then 'CH' end end as country,
+ case when regexp_matches(lower(v), 'hybrid|blended') then 'hybrid' when regexp_matches(lower(v), 'online|distance') then 'online' when regexp_matches(lower(v), 'part[- ]time') then 'part_time' when regexp_matches(lower(v), 'full[- ]time') then 'full_time' end as mode from r),
+c as (select candidate_id, field_name, v, case field_name when 'degree_level' then degree when 'teaching_language' then language when 'country_code' then country when 'study_mode' then mode
+  when 'duration_value' then case when regexp_matches(v, '^0*[1-9][0-9]{0,8}$') then v end when 'duration_semesters' then case when regexp_matches(v, '^0*[1-9][0-9]{0,8}$') then v end
+  when 'application_url' then case when regexp_matches(v, '^https?://[^/?#\s@]+', 'i') then v end when 'source_url' then case when regexp_matches(v, '^https?://[^/?#\s@]+', 'i') then v end else v end as good,
+  case when field_name in ('degree_level', 'teaching_language', 'country_code', 'study_mode') then 'value' when field_name in ('duration_value', 'duration_semesters') then 'number' else 'url' end as complaint from n)
+select candidate_id, field_name, case when v is null or length(v) > 2000 then false when v = '' then true else good is not null end as ok, case when v is null or length(v) > 2000 then null when v = '' then '' else good end as value,
+ case when v is null or length(v) > 2000 then 'length' when v = '' then null when good is null then complaint end as error from c""")
 def override_checks(spark, d):
     rows = layers.json_layer(table(spark, d, "candidate_records"), "reviewer_overrides", layers.OVERRIDE)
     got = values.checked_override("field_name", "value")
     return rows.select("candidate_id", "field_name", got["ok"].alias("ok"), got["value"].alias("value"), got["error"].alias("error"))
 
 
+@query(r"""select distinct id, case when regexp_matches(trim(extracted_value), '^[A-Za-z]{2}$') then upper(trim(extracted_value)) end as code from evidence_records where field_name = 'country_code'""")
+def country_codes(spark, d):
+    return table(spark, d, "evidence_records").filter("field_name = 'country_code'").select("id", text.country_code("extracted_value").alias("code")).distinct()
+
+
+@query(r"""select batch_row_id, coalesce(regexp_full_match(operator_notes, '[\p{L}0-9][\p{L}0-9 ._-]{0,79}'), false) as is_label, coalesce(regexp_full_match(batch_run_id, '[A-Za-z0-9][A-Za-z0-9._-]{0,99}') and not contains(batch_run_id, '..'), false) as is_output_name from batch_input_rows""")
+def label_checks(spark, d):
+    return table(spark, d, "batch_input_rows").select("batch_row_id", text.is_label("operator_notes").alias("is_label"), text.is_output_name("batch_run_id").alias("is_output_name"))
+
+
+@query(r"""select seed_id, coalesce(length(official_domain) <= 253 and regexp_full_match(lower(official_domain), '([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}'), false) as is_host from discovery_seeds""")
+def host_checks(spark, d):
+    return table(spark, d, "discovery_seeds").select("seed_id", urls.is_host_name("official_domain").alias("is_host"))
+
+
+@query(r"""select distinct id, case when error_code in ('timeout', 'network_error') then error_code when http_status in (401, 403) then 'access_blocked' when http_status = 429 then 'rate_limited' when http_status is null or http_status < 200 or http_status > 299 then 'http_error'
+ when lower(trim(split_part(coalesce(content_type, ''), ';', 1))) not in ('text/html', 'application/xhtml+xml', 'text/plain', 'application/xml', 'text/xml') then 'unsupported_content_type' when response_bytes > 5242880 then 'response_too_large' else 'fetched' end as outcome,
+ coalesce(http_status in (408, 429, 500, 502, 503, 504), false) or coalesce(error_code = 'timeout', false) as transient from source_pages""")
+def fetch_outcomes(spark, d):
+    p = table(spark, d, "source_pages")
+    error = F.when(F.col("error_code").isin("timeout", "network_error"), F.col("error_code"))
+    kind = fetchlog.outcome(F.col("http_status"), F.col("content_type"), F.col("response_bytes"), error)
+    return p.select("id", kind.alias("outcome"), fetchlog.is_transient(F.col("http_status"), error).alias("transient")).distinct()
+
+
 # ---------------------------------------------------------------- groups, rates, contracts
 
 
@@ -342,7 +410,13 @@ def value_mapping(spark, d):
     return contract.map_values(table(spark, d, "source_pages").select("source_type"), "source_type", SOURCE_TARGETS).groupBy(F.col("source_type").alias("target"), "unmapped").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _csv_cell(c: str) -> str:
+    safe = rf"(case when regexp_matches({c}, '^[=+\-@\t\r]') then chr(39) || {c} else coalesce({c}, '') end)"
+    return rf"""(case when regexp_matches({safe}, '[",\r\n]') then '"' || replace({safe}, '"', '""') || '"' else {safe} end)"""
+
+
+@query(f"""with l as (select {" || ',' || ".join(map(_csv_cell, ("source_url", "expected_university_name", "expected_program_name", "operator_notes")))} as line from batch_input_rows)
+select count(*) as record_count, sha256('source_url,expected_university_name,expected_program_name,operator_notes|' || count(*) || '|' || coalesce(sum(('0x' || substr(sha256(line), 1, 15))::hugeint), 0)) as digest from l""")
 def export_digests(spark, d):
     c = table(spark, d, "batch_input_rows")
     columns = ["source_url", "expected_university_name", "expected_program_name", "operator_notes"]
