@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tessera.operators.skew import heavy_keys, salted_join
 
 EVIDENCE_KEY = ["candidate_id", "source_page_id", "field_name", "extracted_value", "evidence_locator"]
+#: What one extraction replaces: the evidence of its version for a candidate from a page.
+EVIDENCE_SCOPE = ["candidate_id", "source_page_id", "extraction_version"]
 
 
 def merge_by_key(existing: DataFrame, incoming: DataFrame, key: list[str], scope: list[str]) -> DataFrame:
@@ -37,6 +39,15 @@ def removed_by_merge(existing: DataFrame, incoming: DataFrame, key: list[str], s
     return in_scope.join(incoming, [in_scope[c].eqNullSafe(incoming[c]) for c in key], "left_anti")
 
 
+def without_evidence(conflicts: DataFrame, removed: DataFrame) -> DataFrame:
+    """Conflicts neither of whose sides is among the removed evidence (``removed``: id)."""
+    gone = removed.select("id").filter("id is not null").distinct()
+    out = conflicts
+    for side in ("first_evidence_id", "second_evidence_id"):
+        out = salted_join(out, gone.withColumnRenamed("id", side), side, F.col("candidate_id"), "left_anti")
+    return out.select(conflicts.columns)
+
+
 def merge_conflicts(existing: DataFrame, derived: DataFrame) -> DataFrame:
     """Conflicts after a new derivation: the same field and unordered pair keeps its resolution, others reopen or go.
 

@@ -20,6 +20,8 @@ def register(spark: SparkSession, sf_dir: str, names: list[str] = TABLES) -> Non
 
 # Sitemaps read of a domain, steps from a sitemap index to its sitemaps.
 MOST_SITEMAPS, SITEMAP_DEPTH = 25, 2
+# Pages crawled of a domain, links considered of a page or sitemap.
+MOST_PAGES, MOST_LINKS = 20, 1000
 
 
 def sitemap_links(files: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def sitemap_links(files: DataFrame, seeds: DataFrame) -> DataFrame:
     starts = seeds.filter("official_domain is not null").select(root.alias("root"), F.explode(F.array(*places)).alias("at"))
     roots = starts.select("root", canonical_url("at").alias("node"), F.lit(False).alias("catalogue")).filter(F.col("node").isNotNull() & within_domain(host("node"), F.col("root")))
     found = sitemaps.sitemap_locations(files).select(canonical_url("sitemap_url").alias("src"), "ord", canonical_url("loc").alias("dst"), "is_index")
-    found = shortened(found.filter("src is not null and dst is not null"))
+    found = shortened(found.filter((F.col("ord") < MOST_LINKS) & F.col("src").isNotNull() & F.col("dst").isNotNull()))
     reached = crawl.walk(roots, found.filter("is_index"), SITEMAP_DEPTH).filter(within_domain(host("node"), F.col("root")))
     first = reached.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("depth", "node"))).filter(F.col("n") <= MOST_SITEMAPS)
     return first.select("root", "depth", F.col("node").alias("src")).join(found.filter("not is_index"), "src").select("root", "depth", "src", "ord", "dst")
@@ -45,12 +47,18 @@ def discover(links: DataFrame, seeds: DataFrame, known: DataFrame, depth: int, t
     """Links found in the seeds' sitemaps, then from their catalogues, scored, with status, up to ``target`` new candidates.
 
     ``links``: page_url, ord, target, text; ``seeds``: official_domain, catalogue_url, sitemap_url (may be absent);
-    ``known``: normalized_url; ``files``: the sitemaps, as ``sitemap_links`` takes them.
+    ``known``: normalized_url; ``files``: the sitemaps, as ``sitemap_links`` takes them.  A domain without
+    catalogue is walked from its root.  The first ``MOST_PAGES`` pages of a domain by depth and address are
+    crawled, and the first ``MOST_LINKS`` links of a page considered.
     """
-    roots = seeds.filter("catalogue_url is not null and official_domain is not null").select(F.lower("official_domain").alias("root"), canonical_url("catalogue_url").alias("node"), F.lit(True).alias("catalogue")).filter("node is not null")
+    domain = F.regexp_replace(F.lower(F.trim("official_domain")), r"\.+$", "")
+    start = F.coalesce(canonical_url("catalogue_url"), canonical_url(F.concat(F.lit("https://"), domain, F.lit("/"))))
+    roots = seeds.filter("official_domain is not null").select(domain.alias("root"), start.alias("node"), canonical_url("catalogue_url").isNotNull().alias("catalogue")).filter("root <> '' and node is not null")
+    links = links.filter(F.col("ord") < MOST_LINKS)
     edges = links.select(canonical_url("page_url").alias("src"), canonical_url("target").alias("dst"), "text", "ord").filter("src is not null and dst is not null")
     inside = edges.filter(~is_trap("dst"))
-    pages = crawl.walk(roots, inside, depth)
+    crawled = Window.partitionBy("root").orderBy("depth", "node")
+    pages = crawl.walk(roots, inside, depth).filter(within_domain(host("node"), F.col("root"))).withColumn("_n", F.row_number().over(crawled)).filter(F.col("_n") <= MOST_PAGES).drop("_n")
     reached = pages.withColumnRenamed("node", "src").join(inside, "src").withColumn("source", F.lit(1))
     if files is not None:
         listed = sitemap_links(files, seeds).withColumns({"text": F.lit(""), "catalogue": F.lit(False), "source": F.lit(0)})

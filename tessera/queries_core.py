@@ -29,6 +29,30 @@ def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
     return parsed.groupBy("input_kind", F.coalesce("reason", F.lit("loaded")).alias("outcome")).agg(F.count(F.lit(1)).alias("records"))
 
 
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    return records.checked_rows(records.parse_records(table(spark, d, "raw_input_records")))
+
+
+def upload_files(spark: SparkSession, d: str) -> DataFrame:
+    """Uploaded files, accepted or rejected whole."""
+    return records.file_status(_checked(spark, d))
+
+
+def upload_errors(spark: SparkSession, d: str) -> DataFrame:
+    """All errors of the rejected files, in place."""
+    return _checked(spark, d).filter("error is not null").select("file_name", "line_no", "record_id", "error").distinct()
+
+
+def upload_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds of the accepted files, one a domain and file."""
+    return records.accepted_rows(_checked(spark, d), "seed")
+
+
+def upload_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Batch rows of the accepted files, one a canonical address and file."""
+    return records.accepted_rows(_checked(spark, d), "batch")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return units.durations(table(spark, d, "candidate_records"), table(spark, d, "evidence_records"))
 
@@ -62,7 +86,7 @@ def p6_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_batch_rows, p3_seed_rows, p3_reasons, p4_found, p4_aliases, p6_found, p6_report, p6_cascade)}
+    return {f.__name__: f for f in (p3_found, p3_batch_rows, p3_seed_rows, p3_reasons, upload_files, upload_errors, upload_seeds, upload_batch, p4_found, p4_aliases, p6_found, p6_report, p6_cascade)}
 
 
 def _reference(table_name: str, column: str, parent: str) -> str:
@@ -105,6 +129,11 @@ def _loaded_sql(kind: str, columns: list[str]) -> str:
     return f"with {_records_sql()} select record_id, file_name, line_no, {', '.join(shown)} from reasoned where reason is null and input_kind = '{kind}'"
 
 
+def _checked_sql() -> str:
+    off = lambda c: rf"(trim(coalesce(v_{c}, '')) <> '' and not (regexp_replace(regexp_replace(lower(regexp_extract(trim(v_{c}), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#@]*)', 1)), ':[0-9]*$', ''), '\.+$', '') = dom or ends_with(regexp_replace(regexp_replace(lower(regexp_extract(trim(v_{c}), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#@]*)', 1)), ':[0-9]*$', ''), '\.+$', ''), '.' || dom)))"
+    return f"{_records_sql()}, domains as (select *, regexp_replace(lower(trim(coalesce(v_official_domain, ''))), '\\.$', '') as dom from reasoned), checked as (select *, coalesce(reason, case when input_kind = 'seed' and ({off('catalogue_url')} or {off('sitemap_url')}) then 'outside_domain' end) as error from domains)"
+
+
 def _edges(table_name: str, column: str, parent: str) -> str:
     clean = lambda c: rf"nullif(regexp_replace(lower({c}), '^[\s\x{{00A0}}]+|[\s\x{{00A0}}]+$', '', 'g'), '')"
     return f"""
@@ -129,6 +158,10 @@ select record_table, report_month, case depth when 0 then 'direct' else 'inherit
         "p3_reasons": f"with {_records_sql()} select input_kind, coalesce(reason, 'loaded') as outcome, count(*) as records from reasoned group by all",
         "p3_batch_rows": _loaded_sql("batch", records.BATCH_COLUMNS),
         "p3_seed_rows": _loaded_sql("seed", records.SEED_COLUMNS),
+        "upload_files": f"with {_checked_sql()} select file_name, input_kind, count(*) as records, count(error) as errors, count(error) = 0 as accepted from checked group by all",
+        "upload_errors": f"with {_checked_sql()} select distinct file_name, line_no, record_id, error from checked where error is not null",
+        "upload_seeds": f"""with {_checked_sql()}, good as (select file_name from checked group by 1 having count(error) = 0), l as ({_loaded_sql("seed", records.SEED_COLUMNS)})
+select * exclude (n) from (select *, row_number() over (partition by file_name, official_domain order by line_no, record_id) as n from l where file_name in (select file_name from good)) where n = 1""",
         "p6_cascade": cascade,
         "p6_found": found,
         "p6_report": f"select record_table, record_column, kind, report_month, count(*) as broken from ({found}) group by all",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import text, urls, values
 from tessera.operators import contract, crawl, groups, history, layers, merge, resolve
+from tessera.plans import stages
 from tessera.session import table
 from tessera.sources import facts, fetchlog, sinks
 
@@ -143,16 +144,28 @@ SPLIT = "timestamp '2025-12-01 00:00:00'"
 
 
 @query(f"""with old as (select distinct * from evidence_records where created_at < {SPLIT}), new as (select distinct * from evidence_records where created_at >= {SPLIT}),
-key_new as (select distinct candidate_id, source_page_id, field_name, extracted_value, evidence_locator from new),
-kept as (select o.* from old o where not exists (select 1 from new n where n.candidate_id is not distinct from o.candidate_id and n.source_page_id is not distinct from o.source_page_id)
-   or exists (select 1 from key_new k where k.candidate_id is not distinct from o.candidate_id and k.source_page_id is not distinct from o.source_page_id and k.field_name is not distinct from o.field_name and k.extracted_value is not distinct from o.extracted_value and k.evidence_locator is not distinct from o.evidence_locator)),
-added as (select * from (select n.*, row_number() over (partition by candidate_id, source_page_id, field_name, extracted_value, evidence_locator order by created_at, id) as rn from new n) n where rn = 1 and not exists (select 1 from old o
-   where o.candidate_id is not distinct from n.candidate_id and o.source_page_id is not distinct from n.source_page_id and o.field_name is not distinct from n.field_name and o.extracted_value is not distinct from n.extracted_value and o.evidence_locator is not distinct from n.evidence_locator))
+same_scope as (select distinct candidate_id, source_page_id, extraction_version from new), key_new as (select distinct candidate_id, source_page_id, extraction_version, field_name, extracted_value, evidence_locator from new),
+kept as (select o.* from old o where not exists (select 1 from same_scope n where n.candidate_id is not distinct from o.candidate_id and n.source_page_id is not distinct from o.source_page_id and n.extraction_version is not distinct from o.extraction_version)
+   or exists (select 1 from key_new k where k.candidate_id is not distinct from o.candidate_id and k.source_page_id is not distinct from o.source_page_id and k.extraction_version is not distinct from o.extraction_version and k.field_name is not distinct from o.field_name and k.extracted_value is not distinct from o.extracted_value and k.evidence_locator is not distinct from o.evidence_locator)),
+added as (select * from (select n.*, row_number() over (partition by candidate_id, source_page_id, extraction_version, field_name, extracted_value, evidence_locator order by created_at, id) as rn from new n) n where rn = 1 and not exists (select 1 from old o
+   where o.candidate_id is not distinct from n.candidate_id and o.source_page_id is not distinct from n.source_page_id and o.extraction_version is not distinct from n.extraction_version and o.field_name is not distinct from n.field_name and o.extracted_value is not distinct from n.extracted_value and o.evidence_locator is not distinct from n.evidence_locator))
 select id, 'kept' as change from kept union all select id, 'inserted' from added""")
 def evidence_merge(spark, d):
     e = table(spark, d, "evidence_records").distinct()
     early = F.col("created_at") < F.lit("2025-12-01 00:00:00").cast("timestamp_ntz")
-    return merge.merge_by_key(e.filter(early), e.filter(~early), merge.EVIDENCE_KEY, ["candidate_id", "source_page_id"]).select("id", "change")
+    return merge.merge_by_key(e.filter(early), e.filter(~early), [*merge.EVIDENCE_KEY, "extraction_version"], merge.EVIDENCE_SCOPE).select("id", "change")
+
+
+@query(f"""with old as (select distinct * from evidence_records where created_at < {SPLIT}), new as (select distinct * from evidence_records where created_at >= {SPLIT}),
+gone as (select o.id from old o where exists (select 1 from new n where n.candidate_id is not distinct from o.candidate_id and n.source_page_id is not distinct from o.source_page_id and n.extraction_version is not distinct from o.extraction_version)
+   and not exists (select 1 from new k where k.candidate_id is not distinct from o.candidate_id and k.source_page_id is not distinct from o.source_page_id and k.extraction_version is not distinct from o.extraction_version and k.field_name is not distinct from o.field_name and k.extracted_value is not distinct from o.extracted_value and k.evidence_locator is not distinct from o.evidence_locator))
+select distinct id from conflict_records k where not exists (select 1 from gone g where g.id = k.first_evidence_id or g.id = k.second_evidence_id)""")
+def conflicts_after_merge(spark, d):
+    """Conflicts left when the evidence that a merge removes takes its own with it."""
+    e = table(spark, d, "evidence_records").distinct()
+    early = F.col("created_at") < F.lit("2025-12-01 00:00:00").cast("timestamp_ntz")
+    removed = merge.removed_by_merge(e.filter(early), e.filter(~early), [*merge.EVIDENCE_KEY, "extraction_version"], merge.EVIDENCE_SCOPE)
+    return merge.without_evidence(table(spark, d, "conflict_records"), removed.select("id")).select("id").distinct()
 
 
 @query(f"""with {RANKED_SQL}, derived as (select distinct candidate_id, field_name, least(first_id, second_id) as a, greatest(first_id, second_id) as b from resolved where outcome = 'conflict'),
@@ -462,6 +475,20 @@ def link_walk(spark, d):
     return crawl.walk(seeds, edges, 3).select("root", "node", "depth")
 
 
+@query()
+def discovered_links(spark, d):
+    """What discovery emits where each seed's catalogue links the pages of its domain, those of before a day being known."""
+    from pyspark.sql import Window
+
+    seeds = table(spark, d, "discovery_seeds").withColumn("dom", F.regexp_replace(F.lower(F.trim("official_domain")), r"\.+$", "")).filter("dom <> ''")
+    starts = seeds.groupBy("dom").agg(F.min(F.coalesce("catalogue_url", F.concat(F.lit("https://"), "dom", F.lit("/")))).alias("page_url"))
+    pages = table(spark, d, "source_pages").filter("original_url is not null").groupBy("original_url").agg(F.min("created_at").alias("at")).withColumn("host", urls.host("original_url"))
+    shown = crawl.match_domains(pages, "host", starts.select("dom"), "dom").join(starts, "dom")
+    links = shown.select("page_url", F.col("original_url").alias("target"), F.lit("").alias("text"), (F.row_number().over(Window.partitionBy("page_url").orderBy("at", "original_url")) - 1).alias("ord"))
+    known = pages.filter(F.col("at") < F.lit("2025-06-01 00:00:00").cast("timestamp_ntz")).select(F.col("original_url").alias("normalized_url"))
+    return stages.discover(links, seeds.drop("dom"), known, 2, 1000)
+
+
 @query()
 def html_facts(spark, d):
     """Facts of the kept pages, wrapped as labelled lines of an HTML page."""

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tessera.functions.urls import canonical_url, host, within_domain
+from tessera.operators.history import first_occurrences
 from tessera.operators.skew import salted_join
 
 BATCH_COLUMNS = ["source_url", "expected_university_name", "expected_program_name", "operator_notes"]
@@ -285,3 +287,26 @@ def loaded(parsed: DataFrame, kind: str) -> DataFrame:
     if kind == "seed":
         out = out.withColumn("official_domain", F.regexp_replace(F.lower("official_domain"), r"\.$", ""))
     return out
+
+
+def checked_rows(parsed: DataFrame) -> DataFrame:
+    """``parsed`` with ``error``: the reason of the parse, or ``outside_domain`` for a seed whose catalogue or sitemap lies off its domain."""
+    domain = F.regexp_replace(F.lower(F.trim("official_domain")), r"\.$", "")
+    off = lambda c: (F.trim(F.coalesce(F.col(c), F.lit(""))) != "") & ~F.coalesce(within_domain(host(F.trim(c)), domain), F.lit(False))
+    return parsed.withColumn("error", F.coalesce("reason", F.when((F.col("input_kind") == "seed") & (off("catalogue_url") | off("sitemap_url")), "outside_domain")))
+
+
+def file_status(checked: DataFrame) -> DataFrame:
+    """file_name, input_kind, records, errors, accepted: a file with any error is rejected whole, with all its errors counted.
+
+    The errors themselves are the rows of ``checked`` with an error.  Files of nothing but blank records have no row.
+    """
+    return checked.groupBy("file_name", "input_kind").agg(F.count(F.lit(1)).alias("records"), F.count("error").alias("errors")).withColumn("accepted", F.col("errors") == 0)
+
+
+def accepted_rows(checked: DataFrame, kind: str) -> DataFrame:
+    """Typed rows of the accepted files, each canonical address (batch) or domain (seed) once a file: its first line."""
+    good = file_status(checked).filter("accepted").select("file_name")
+    rows = loaded(salted_join(checked, good, "file_name", F.col("record_id"), "left_semi"), kind)
+    key = F.col("official_domain") if kind == "seed" else F.coalesce(canonical_url("source_url"), F.col("source_url"))
+    return first_occurrences(rows.withColumn("_key", key), ["file_name", "_key"], ["line_no", "record_id"]).drop("_key")

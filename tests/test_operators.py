@@ -130,3 +130,11 @@ def test_conflict_resolution_does_not_hang_on_the_order_of_rows(spark):
     schema = "candidate_id string, field_name string, first_evidence_id string, second_evidence_id string, resolution_status string, resolved_value string"
     for rows in (kept, kept[::-1]):
         assert [tuple(r) for r in merge.merge_conflicts(spark.createDataFrame(rows, schema), derived).collect()] == [("c", "f", "a", "b", "accepted", "y")]
+
+
+def test_agreement_and_conflicts_of_removed_evidence(spark):
+    e = spark.createDataFrame([("c", "f", "p", "A", None), ("c", "f", "q", "x", "a"), ("c", "g", "p", "a", ""), ("c", "g", "p", "b", None), ("c", "h", None, None, None), (None, "h", "p", "a", None)], "candidate_id string, field_name string, source_page_id string, extracted_value string, normalized_value string")
+    k = spark.createDataFrame([("1", "c", "g", "e1", "e2"), ("2", "c", "z", "e3", None), ("3", None, "z", None, "e1")], "id string, candidate_id string, field_name string, first_evidence_id string, second_evidence_id string")
+    assert {(r.field_name, r.agreement) for r in resolve.agreement(e, k).collect()} == {("f", "agreement across sources"), ("g", "conflict"), ("h", "single source or complementary")}
+    assert resolve.agreement(e.limit(0), k.limit(0)).count() == 0
+    assert [r.id for r in merge.without_evidence(k, spark.createDataFrame([("e1",), (None,)], "id string")).collect()] == ["2"]

@@ -70,3 +70,26 @@ def test_addresses():
     bad = ["", "a.example", "//a.example/x", "https:/a.example", "https:///x", "ftp://a.b", "https://a.b:port/", "https://a.b:99999/", "https://u@a.b/", "javascript:void(0)", "https://:80/", "https://a b.example/"]
     assert not any(map(records.bad_source_url, good)) and all(map(records.bad_source_url, bad))
     assert not any(map(records.bad_domain, ["a.example", " A.B.example. "])) and all(map(records.bad_domain, ["", "localhost", "a..b", ".a.b", "*.a.b", "a.b:80", "a.1", "a_b.c", "x.c/d", "a.b.."]))
+
+
+def test_files_are_taken_or_rejected_whole(spark):
+    head = "source_url,expected_university_name,expected_program_name,operator_notes"
+    seeds = "institution_name,official_domain,catalogue_url,sitemap_url,operator_notes"
+    rows = [
+        (1, "a", "batch", 1, head), (2, "a", "batch", 2, "https://x.example/a/,U,P,"), (3, "a", "batch", 3, "HTTPS://X.example/a?utm_source=q,V,P,"), (4, "a", "batch", 4, "https://x.example/b,U,P,"), (5, "a", "batch", 5, " , ,,"),
+        (6, "b", "batch", 1, head), (7, "b", "batch", 2, "https://x.example/a,U,P,"), (8, "b", "batch", 3, "ftp://x.example,U,P,"), (9, "b", "batch", 4, "https://x.example/c,U,P"),
+        (10, "c", "seed", 1, seeds), (11, "c", "seed", 2, "U,x.example.,https://www.x.example/cat,,"), (12, "c", "seed", 3, "V,X.example,,,"), (13, "d", "seed", 1, seeds), (14, "d", "seed", 2, "U,x.example,https://y.example/cat,,"),
+    ]
+    checked = records.checked_rows(records.parse_records(spark.createDataFrame([(*r, None) for r in rows], SCHEMA)))
+    assert {(r.file_name, r.records, r.errors, r.accepted) for r in records.file_status(checked).collect()} == {("a", 3, 0, True), ("b", 3, 2, False), ("c", 2, 0, True), ("d", 1, 1, False)}
+    assert {(r.record_id, r.error) for r in checked.filter("error is not null").collect()} == {(8, "source_url"), (9, "column_count"), (14, "outside_domain")}
+    assert sorted(r.record_id for r in records.accepted_rows(checked, "batch").collect()) == [2, 4]
+    assert [(r.record_id, r.official_domain) for r in records.accepted_rows(checked, "seed").collect()] == [(11, "x.example")]
+    assert records.file_status(checked.limit(0)).count() == 0
+
+
+def test_one_file_with_most_rows(spark):
+    rows = [(i, "hot" if i % 3 else f"f{i}", "batch", 2, f"https://x.example/{i},U,P,n", None) for i in range(6000)] + [(-1, "hot", "batch", 1, "expected_program_name,source_url,expected_university_name,operator_notes", None)]
+    parsed = records.parse_records(spark.createDataFrame(rows, SCHEMA))
+    assert parsed.count() == 6000
+    assert parsed.filter("file_name = 'hot' and reason = 'source_url'").count() == 4000 and parsed.filter("file_name <> 'hot' and reason is null").count() == 2000

@@ -39,3 +39,14 @@ def test_discover_expands_sitemap_indexes(spark):
     got = sorted((r.discovered_url, r.status) for r in stages.discover(links, seeds, known, 2, 10, spark.createDataFrame(files, "sitemap_url string, content binary")).collect())
     assert got == [(f"{u}/programmes/a", "candidate"), (f"{u}/programmes/a", "duplicate"), (f"{u}/programmes/b", "candidate"), (f"{u}/programmes/deep", "candidate"), (f"{u}/programmes/known", "already_existing")]
     assert len(stages.discover(links, seeds, known, 2, 10).collect()) == 2
+
+
+def test_discovery_is_bounded_by_pages_and_links(spark, monkeypatch):
+    monkeypatch.setattr(stages, "MOST_PAGES", 3)
+    monkeypatch.setattr(stages, "MOST_LINKS", 5)
+    u = "https://u.example"
+    links = [(f"{u}/", i, f"{u}/study/{i}", "") for i in range(9)] + [(f"{u}/study/{i}", 0, f"{u}/study/{i}/master", "") for i in range(9)]
+    seeds = spark.createDataFrame([("U.example.", None)], "official_domain string, catalogue_url string")
+    known = spark.createDataFrame([], "normalized_url string")
+    got = {r.discovered_url for r in stages.discover(spark.createDataFrame(links, "page_url string, ord int, target string, text string"), seeds, known, 2, 100).collect()}
+    assert got == {f"{u}/study/{i}" for i in range(5)} | {f"{u}/study/{i}/master" for i in range(2)}
