@@ -138,6 +138,18 @@ def context_contradictions(spark, d):
     return out.withColumn("contradicting", F.array_join("contradicting", ","))
 
 
+def _canonical_sql(source: str) -> str:
+    """id, u, good, bare_c (without query) and c of the addresses u of ``source`` (id, u)."""
+    return r"""with
+parts as (select id, u, lower(regexp_extract(u, '^\s*([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as s, regexp_extract(u, '^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) as a, regexp_extract(u, '^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as p,
+  regexp_extract(u, '^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*\?([^#]*)', 1) as q from (SOURCE)),
+hosts as (select *, regexp_replace(lower(regexp_replace(regexp_extract(a, '([^@]*)$', 1), ':\d*$', '')), '\.+$', '') as h, regexp_extract(a, ':(\d+)$', 1) as port, regexp_replace(p, '/+$', '') as bare,
+  list_sort(list_filter(list_transform(list_filter(string_split(q, '&'), lambda x: x <> ''), lambda x: {'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(case when contains(x, '=') then substr(x, position('=' in x) + 1) else '' end, '+', ' '))}), lambda y: not starts_with(lower(y.k), 'utm_') and lower(y.k) not in ('fbclid', 'gclid'))) as kept from parts),
+made as (select id, u, s || '://' || h || case when port = '' or (s = 'http' and port = '80') or (s = 'https' and port = '443') then '' else ':' || port end || case when bare = '' then '/' else bare end as c,
+  array_to_string(list_transform(kept, lambda y: replace(replace(replace(url_encode(y.k), '%20', '+'), '%2A', '*'), '~', '%7E') || '=' || replace(replace(replace(url_encode(y.v), '%20', '+'), '%2A', '*'), '~', '%7E')), '&') as query, s in ('http', 'https') and h <> '' and not contains(a, '@') and not regexp_matches(a, ':[^\]]*[^\d\]]') as good from hosts)
+select id, u, good, c as bare_c, case when good then c || case when query = '' then '' else '?' || query end end as c from made""".replace("SOURCE", source)
+
+
 # ---------------------------------------------------------------- merges and logs
 
 SPLIT = "timestamp '2025-12-01 00:00:00'"
@@ -194,11 +206,13 @@ def first_occurrences(spark, d):
     return history.first_occurrences(b, ["job_id", "canonical_url"], ["submitted_at", "batch_row_id"]).select("batch_row_id", "job_id", "canonical_url")
 
 
-@query("""with k as (select distinct u from (select original_url as u from source_pages union all select normalized_url from source_pages) where u is not null),
-r as (select batch_row_id, canonical_url, submitted_at, k.u is not null as known from batch_input_rows b left join k on k.u = b.canonical_url)
-select batch_row_id, case when known then 'already_existing' when canonical_url is not null and row_number() over (partition by canonical_url, known order by submitted_at, batch_row_id) = 1 then 'candidate' else 'duplicate' end as status from r""")
+@query(f"""with k as (select distinct c as u from ({_canonical_sql("select id, original_url as u from source_pages union all select id, normalized_url from source_pages")}) where c is not null),
+r as (select b.batch_row_id, b.submitted_at, n.c as key, k.u is not null as known from batch_input_rows b left join ({_canonical_sql("select batch_row_id as id, canonical_url as u from batch_input_rows")}) n on n.id = b.batch_row_id left join k on k.u = n.c)
+select batch_row_id, case when known then 'already_existing' when key is not null and row_number() over (partition by key, known order by submitted_at, batch_row_id) = 1 then 'candidate' else 'duplicate' end as status from r""")
 def emission_status(spark, d):
-    flagged = crawl.known_addresses(table(spark, d, "batch_input_rows").withColumn("key", F.col("canonical_url")), "key", table(spark, d, "source_pages"), ["original_url", "normalized_url"])
+    p = table(spark, d, "source_pages").select(urls.canonical_url("original_url").alias("a"), urls.canonical_url("normalized_url").alias("b"))
+    rows = table(spark, d, "batch_input_rows").withColumn("key", urls.canonical_url("canonical_url"))
+    flagged = crawl.known_addresses(rows, "key", p, ["a", "b"])
     return history.emission_status(flagged, "key", F.col("known"), ["submitted_at", "batch_row_id"]).select("batch_row_id", "status")
 
 
@@ -224,7 +238,7 @@ def latest_review(spark, d):
 # ---------------------------------------------------------------- addresses and text
 
 
-@query()
+@query(f"select distinct id, c as canonical, case when good then bare_c else substr(split_part(u, '?', 1), 1, 4096) end as safe from ({_canonical_sql('select distinct id, original_url as u from source_pages')})")
 def url_canonical(spark, d):
     return table(spark, d, "source_pages").select("id", urls.canonical_url("original_url").alias("canonical"), urls.safe_canonical("original_url").alias("safe")).distinct()
 
