@@ -54,7 +54,7 @@ def violations(rows: DataFrame, entity: Entity, id_column: str) -> DataFrame:
     Rules: required, conditional, allowed, date, url; and duplicate for rows equal in all
     columns of the contract.  One pass over the rows, and one aggregation for duplicates.
     """
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    blank = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "") == ""
     made = lambda test, rule, c: F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column")))
     tests = [made(blank(c), "required", c) for c in entity.required]
     tests += [made((F.col(entity.status_column) == status) & blank(c), "conditional", c) for status, cs in entity.conditional.items() for c in cs]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions.urls import EMIT_SCORE, canonical_url, host, is_trap, link_score, safe_canonical, within_domain
 from tessera.operators import crawl, history, layers, merge, resolve
+from tessera.operators.skew import salted_join
 from tessera.session import cut as shortened, table
 from tessera.sources import facts, sitemaps
 
@@ -59,7 +60,7 @@ def discover(links: DataFrame, seeds: DataFrame, known: DataFrame, depth: int, t
     inside = edges.filter(~is_trap("dst"))
     crawled = Window.partitionBy("root").orderBy("depth", "node")
     pages = crawl.walk(roots, inside, depth).filter(within_domain(host("node"), F.col("root"))).withColumn("_n", F.row_number().over(crawled)).filter(F.col("_n") <= MOST_PAGES).drop("_n")
-    reached = pages.withColumnRenamed("node", "src").join(inside, "src").withColumn("source", F.lit(1))
+    reached = salted_join(inside, pages.withColumnRenamed("node", "src"), "src", F.xxhash64("dst")).withColumn("source", F.lit(1))
     if files is not None:
         listed = sitemap_links(files, seeds).withColumns({"text": F.lit(""), "catalogue": F.lit(False), "source": F.lit(0)})
         reached = reached.unionByName(listed)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import text, urls, values
 from tessera.operators import contract, crawl, groups, history, layers, merge, resolve
+from tessera.operators.skew import salted_join
 from tessera.plans import stages
 from tessera.session import table
 from tessera.sources import facts, fetchlog, sinks
@@ -274,7 +275,7 @@ def domain_matches(spark, d):
     pages = table(spark, d, "source_pages").select(F.col("id").alias("page_id"), urls.host("normalized_url").alias("host")).distinct()
     seeds = table(spark, d, "discovery_seeds").select("seed_id", F.regexp_replace(F.lower(F.trim("official_domain")), r"\.+$", "").alias("dom")).filter("dom is not null and dom <> ''")
     hit = crawl.match_domains(pages, "host", seeds.select("dom").distinct(), "dom")
-    return hit.join(seeds, "dom").select("seed_id", "page_id")
+    return salted_join(hit, seeds, "dom", F.col("page_id")).select("seed_id", "page_id")
 
 
 @query(r"""select batch_row_id, case when regexp_matches(operator_notes, '^[=+\-@\t\r]') then '''' || operator_notes else coalesce(operator_notes, '') end as safe, sha256(coalesce(source_url, '')) as url_hash from batch_input_rows""")
@@ -412,20 +413,21 @@ def failure_categories(spark, d):
     return groups.failures_by_category(table(spark, d, "source_pages"), "error_code")
 
 
-# What a nation's row must look like, as a contract.
-CUSTOMERS = contract.Entity("customers", ["customer", "country", "segment", "balance", "status"], required=["customer", "country"], conditional={"checked": ["balance"]}, allowed={"segment": ["BUILDING", "MACHINERY", "AUTOMOBILE"]}, status_column="status")
+# What a programme's row must hold, as a contract.
+PROGRAMMES = contract.Entity("programmes", ["program_name", "university_name", "country_code", "degree_level", "application_url", "status"], required=["program_name", "university_name"], conditional={"approved": ["application_url", "degree_level"]}, allowed={"degree_level": ["bachelor", "master", "phd"]}, urls=["application_url"], status_column="status")
 
 
-@query("""with r as (select c_custkey as id, c_name as customer, n_name as country, c_mktsegment as segment, case when c_acctbal >= 0 then c_acctbal::varchar end as balance, case when c_custkey % 2 = 0 then 'checked' else 'open' end as status from customer left join nation on n_nationkey = c_nationkey)
-select distinct * from (select id, 'required' as rule, 'customer' as "column" from r where coalesce(trim(customer), '') = '' union all select id, 'required', 'country' from r where coalesce(trim(country), '') = ''
-union all select id, 'conditional', 'balance' from r where status = 'checked' and balance is null union all select id, 'allowed', 'segment' from r where segment not in ('BUILDING', 'MACHINERY', 'AUTOMOBILE') and coalesce(trim(segment), '') <> '')""")
+@query("""with c as (select id, normalized_data as j, review_status as status, row_number() over (partition by id order by updated_at desc, normalized_data desc) as n from candidate_records where id is not null and json_valid(normalized_data)),
+r as (select id, status, json_extract_string(j, '$.program_name') as program_name, json_extract_string(j, '$.university_name') as university_name, json_extract_string(j, '$.country_code') as country_code, json_extract_string(j, '$.degree_level') as degree_level, json_extract_string(j, '$.application_url') as application_url from c where n = 1)
+select distinct * from (select id, 'required' as rule, 'program_name' as "column" from r where trim(coalesce(program_name, '')) = '' union all select id, 'required', 'university_name' from r where trim(coalesce(university_name, '')) = ''
+ union all select id, 'conditional', 'application_url' from r where status = 'approved' and trim(coalesce(application_url, '')) = '' union all select id, 'conditional', 'degree_level' from r where status = 'approved' and trim(coalesce(degree_level, '')) = ''
+ union all select id, 'allowed', 'degree_level' from r where trim(coalesce(degree_level, '')) <> '' and degree_level not in ('bachelor', 'master', 'phd') union all select id, 'url', 'application_url' from r where trim(coalesce(application_url, '')) <> '' and not regexp_matches(application_url, '^(?i:https?)://[^/?#\\s]+')
+ union all select min(id), 'duplicate', '*' from r group by program_name, university_name, country_code, degree_level, application_url, status having count(*) > 1)""")
 def contract_violations(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("country"))
-    r = table(spark, d, "customer").join(n, "c_nationkey", "left").select(
-        F.col("c_custkey").alias("id"), F.col("c_name").alias("customer"), "country", F.col("c_mktsegment").alias("segment"),
-        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal").cast("string")).alias("balance"), F.when(F.col("c_custkey") % 2 == 0, "checked").otherwise("open").alias("status"),
-    )
-    return contract.violations(r, CUSTOMERS, "id")
+    c = table(spark, d, "candidate_records").filter("id is not null").filter(F.expr("try_parse_json(normalized_data) is not null"))
+    last = c.groupBy("id").agg(F.max_by(F.struct(F.col("normalized_data").alias("j"), F.col("review_status").alias("status")), F.struct("updated_at", "normalized_data")).alias("r"))
+    rows = last.select("id", *[F.get_json_object("r.j", f"$.{f}").alias(f) for f in PROGRAMMES.columns[:-1]], F.col("r.status").alias("status"))
+    return contract.violations(rows, PROGRAMMES, "id")
 
 
 SOURCE_TARGETS = {"official_program": "program", "official_admissions": "program", "official_fees": "cost", "official_deadlines": "program", "official_scholarship": "scholarship", "official_government": "country", "other_official": "other"}
