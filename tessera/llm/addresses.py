@@ -74,7 +74,7 @@ def page_address(url: str | None) -> str | None:
 
 
 #: Addresses whose form needs nothing but its ends trimmed: lower-case host without www, plain path, no query.
-PLAIN = r"^https?://(?!www\d?\.)(?!.*xn--)[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)+(?:/[A-Za-z0-9_~-][A-Za-z0-9._~-]*)*/?$"
+PLAIN = r"^https?://(?!www\d?\.)(?!.*xn--)[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)+(?:/[A-Za-z0-9_~-][A-Za-z0-9._~-]*)*/?\z"
 
 
 def address(column: str | Column) -> Column:
@@ -87,6 +87,6 @@ def address(column: str | Column) -> Column:
 
         return pd.Series([None if v is None else page_address(v) for v in values], dtype="object")
 
-    plain = F.coalesce(c.rlike(PLAIN) & ~c.rlike("(?i)" + INDEX.pattern), F.lit(False))
     bare = F.regexp_replace(F.regexp_replace(c, "^https?://", ""), "/+$", "")
+    plain = F.coalesce(c.rlike(PLAIN) & ~bare.rlike("(?i)" + INDEX.pattern), F.lit(False))
     return F.when(plain, F.when(bare.contains("/"), bare).otherwise(F.concat(bare, F.lit("/")))).otherwise(of(F.when(~plain, c)))

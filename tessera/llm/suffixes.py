@@ -2,25 +2,32 @@
 
 History is kept in immutable segments: the distinct texts of some batches, concatenated,
 with their suffix array.  Batches are merged like the digits of a binary counter, so n
-batches stand in at most log2(n)+1 segments a bucket.  A text stands in the buckets of a few
-of its anchors, grams picked by content alone (the least of every window), so texts that
-share long passages share buckets.  A new batch asks only the buckets of its own anchors;
-there each text is looked up by binary search for its longest matches, and the matched
-lengths are added up per record of the history.  A text holds no line break.
+batches stand in at most log2(n)+1 segments a bucket.  A text stands in the buckets of all
+its anchors, grams picked by content alone (the least of every window), with the suffixes at
+these anchors in order; texts that share a passage meet at the anchor in it.  A new batch asks
+only a few of its own anchors, so chosen that any text which covers a key to the share has one
+of them (``probes``); there binary search finds the candidates, and the lengths of the long
+matches are added up for each.  Whole texts stand once more by their hashes, with all their
+suffixes: keys too short to have such anchors are looked up there.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tessera.llm.addresses import address
 from tessera.operators.skew import heavy_keys, salted_join
 from tessera.session import scratch, stored
 
-#: Characters of a piece of a bucket, queries of one task, anchors of a text, folders of an index.
-BUCKET_CHARS, ASKED_AT_ONCE, ANCHORS, SHELVES = 1 << 20, 20_000, 2, 256
-#: Length of an anchor in bytes (the grams are read as 64-bit numbers), and grams of a window.
+#: Characters of a piece of a bucket, queries of one task, buckets of a text as a rule, folders of an index.
+BUCKET_CHARS, ASKED_AT_ONCE, COPIES, SHELVES = 1 << 20, 20_000, 16, 256
+#: Length of an anchor in bytes (the grams are read as 64-bit numbers), grams of a window, bytes of a passage that has an anchor for certain.
 GRAM, WINDOW = 8, 8
+PASSAGE = GRAM + WINDOW - 1
+#: Bytes by which suffixes at anchors are ordered, cases told apart for a key, common passages that are known.
+DEPTH, CASES, MOST_COMMON = 64, 32, 1 << 16
 SEGMENTS = "bucket int, piece int, pieces int, start int, batches int, text binary, suffixes binary"
 
 
@@ -37,14 +44,11 @@ def _grams(text, at=None):
     return out
 
 
-def anchors_of(texts: list[bytes], most: int = ANCHORS) -> list[list[int]]:
-    """For each text the ``most`` smallest hashes among the least ones of its windows of grams, in order.
-
-    Two texts with a common passage of ``GRAM + WINDOW - 1`` bytes have a least one in common.
-    """
+def leasts(texts: list[bytes]) -> list[tuple]:
+    """For each text the hashes of the least grams of its windows and where they stand, two arrays with a place for each window."""
     import numpy as np
 
-    out: list[list[int]] = [[] for _ in texts]
+    out: list[tuple] = []
     begin = 0
     while begin < len(texts):  # about 4 MB together
         end, size = begin, 0
@@ -65,25 +69,52 @@ def anchors_of(texts: list[bytes], most: int = ANCHORS) -> list[list[int]]:
         place = np.arange(len(owner)) - np.repeat(np.cumsum(grams) - grams, grams) + starts[owner]
         valid = np.full(len(hashed) + WINDOW, np.uint64(0xFFFFFFFFFFFFFFFF))
         valid[place] = hashed[place]
-        least = np.lib.stride_tricks.sliding_window_view(valid, WINDOW).min(axis=1)
+        least, at = valid[: len(hashed)].copy(), np.zeros(len(hashed), dtype=np.int64)
+        for j in range(1, WINDOW):  # of equal grams the first
+            less = valid[j : j + len(hashed)] < least
+            least[less], at[less] = valid[j : j + len(hashed)][less], j
         whole = place - starts[owner] <= np.maximum(grams[owner] - WINDOW, 0)  # windows within the text
-        owner, value = owner[whole], least[place[whole]]
-        order = np.lexsort((value, owner))
-        owner, value = owner[order], value[order]
-        fresh = np.ones(len(owner), dtype=bool)
-        fresh[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
-        for o, v in zip(owner[fresh].tolist(), value[fresh].view(np.int64).tolist()):
-            if len(out[begin + o]) < most:
-                out[begin + o].append(v)
+        owner, place = owner[whole], place[whole]
+        ends = np.cumsum(np.bincount(owner, minlength=len(part)))[:-1]
+        out += zip(np.split(least[place].view(np.int64), ends), np.split(place + at[place] - starts[owner], ends))
         begin = end
     return out
 
 
+def anchors_of(texts: list[bytes], most: int | None = None) -> list[list[int]]:
+    """For each text the hashes of the least grams of its windows, in order; the ``most`` smallest if given.
+
+    Two texts with a common passage of ``PASSAGE`` bytes have a least one in common, at the same place of the passage.
+    """
+    return [sorted(set(values.tolist()), key=lambda v: v & (2**64 - 1))[:most] for values, _ in leasts(texts)]
+
+
+def _windows(text: bytes):
+    """Hashes of the windows of ``PASSAGE`` bytes."""
+    import numpy as np
+
+    grams = _grams(text)
+    more = len(text) - PASSAGE + 1
+    if more <= 0:
+        return np.zeros(0, dtype=np.int64)
+    with np.errstate(over="ignore"):
+        return (grams[:more] * np.uint64(0x9E3779B97F4A7C15) ^ grams[WINDOW - 1 : WINDOW - 1 + more] * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def _anchors(texts):
+def _passages(texts):
     import pandas as pd
 
-    return pd.Series(anchors_of([t.encode("utf-8", "surrogatepass") for t in texts]))
+    return pd.Series([_windows(_bytes(t)) for t in texts])
+
+
+def _bytes(text: str) -> bytes:
+    """A text as it stands in a segment: line breaks, which part the texts there, as a byte that no text has."""
+    return text.encode("utf-8", "surrogatepass").replace(b"\n", b"\xfe")
+
+
+def _text(raw: bytes) -> str:
+    return raw.replace(b"\xfe", b"\n").decode("utf-8", "surrogatepass")
 
 
 def suffix_array(text: bytes):
@@ -164,63 +195,88 @@ def longest_match(text: bytes, suffixes, pattern: bytes) -> tuple[int, int, int]
     return best, first, lo
 
 
+def bounds(whole: int, least: float) -> tuple[int, int]:
+    """Length of a long match in a text of ``whole`` bytes, half of the share or all of a whole one, and the bytes that make the share."""
+    need = math.ceil(least * whole - 1e-9)
+    return (whole if least >= 1 else max(1, math.ceil(least * whole / 2 - 1e-9))), need
+
+
 def covered(text: bytes, suffixes, starts, key: bytes, least: float) -> dict[int, float]:
     """Record number to the share of ``key`` that its long matches cover, where it is ``least`` or more.
 
-    A match is long if it is at least half of that share.
+    A match is long if it is at least half of that share.  Each record counts by itself, whatever others match.
     """
     import numpy as np
 
     pattern = b"\n" + key + b"\n"
+    long, need = bounds(len(pattern), least)
+    found: dict[int, tuple[int, int]] = {}
+    if long > len(text):
+        return {}
+    for i in range(len(pattern) - long + 1):  # the union of long matches is that of their windows of the least length
+        n, first, last = longest_match(text, suffixes, pattern[i : i + long])
+        if n < long:
+            continue
+        for record in np.unique(np.searchsorted(starts, suffixes[first:last], side="right") - 1).tolist():
+            got, end = found.get(record, (0, 0))
+            found[record] = got + i + long - max(i, end), i + long
+    return {r: got / len(pattern) for r, (got, _) in found.items() if got >= need}
+
+
+def coverage(pattern: bytes, record: bytes, least: float) -> float:
+    """What ``covered`` gives of one record, both with their line breaks; 0 where the share is not reached."""
     whole = len(pattern)
-    found: dict[int, int] = {}
-    i = 0
-    while i < whole:
-        n, first, last = longest_match(text, suffixes, pattern[i:])
-        # records not hit by the rest cannot reach the share without what they have already
-        if n >= least * whole / 2 and n > 0:
-            for record in np.unique(np.searchsorted(starts, suffixes[first:last], side="right") - 1):
-                found[int(record)] = found.get(int(record), 0) + n
-        if i + n >= whole or (i == 0 and n < (1 - least) * whole + 1 and least >= 1):
-            break
-        if least >= 1 and n < whole:
-            break
-        i += max(1, n)
-    return {r: c / whole for r, c in found.items() if c >= least * whole}
-
-
-class Questions:
-    """Keys looked up together, with what can be told of them by their grams alone."""
-
-    def __init__(self, keys: list[bytes], least: float):
-        import numpy as np
+    long, need = bounds(whole, least)
+    # whatever is missing, these bytes lie in the first and in the last long match
+    if pattern[whole - need : long] not in record or pattern[whole - long : need] not in record:
+        return 0.0
+    got = end = i = 0
+    while i + long <= whole and got + whole - max(i, end) >= need:
+        if pattern[i : i + long] not in record:
+            i += 1
+            continue
+        if not got and pattern[whole - long : need + i] not in record:
+            return 0.0  # what is missing before leaves less to miss behind
+        a, b = i + long, whole
+        while a < b:  # the end of the match, by halves
+            c = (a + b + 1) // 2
+            if pattern[i:c] in record:
+                a = c
+            else:
+                b = c - 1
+        got, end, i = got + a - max(i, end), a, a - long + 1
+    return got / whole if got >= need else 0.0
 
-        self.keys, self.least = keys, least
-        sizes = np.array([len(k) + 2 for k in keys], dtype=np.int64)
-        joined = b"".join(b"\n" + k + b"\n" for k in keys)
-        self.first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        # the grams at the end of a key run into the next one and are not counted
-        inner = np.ones(len(joined), dtype=bool)
-        for j in range(GRAM - 1):
-            inner[np.maximum(self.first + sizes - 1 - j, self.first)] = False
-        self.short = sizes * least / 2 < GRAM  # too short to tell by grams
-        self.needed = least * sizes - 2 * (GRAM - 1)
-        self.inner = inner
-        self.grams, self.which = np.unique(_grams(joined), return_inverse=True)
-
-    def promising(self, text: bytes, suffixes) -> list[int]:
-        """Which keys a text may cover to the share.
-
-        At most two matches of half the share can add up to it, and a match of n bytes shows n - GRAM + 1
-        grams that the text has; keys with fewer known grams need no search.
-        """
-        import numpy as np
 
-        sorted_grams = _grams(text, suffixes)
-        at = np.searchsorted(sorted_grams, self.grams)
-        known = (at < len(sorted_grams)) & (sorted_grams[np.minimum(at, len(sorted_grams) - 1)] == self.grams)
-        counts = np.add.reduceat((known[self.which] & self.inner).astype(np.int64), self.first)
-        return np.flatnonzero(self.short | (counts >= self.needed)).tolist()
+def probes(key: bytes, values: list[int], places: list[int], windows: list[int], least: float, often: dict[int, int]) -> list[tuple[int, int, int, int]] | None:
+    """(anchor, its place, first, end): any text that covers ``key`` to the share has key[first:end] of one of them, with this anchor.
+
+    Let the covered part begin at byte x.  Then at most what the share leaves less x is missing at the end, the text has
+    the long match that begins at x, and of the one that covers the end all that is certain whatever its place.  For each x
+    an anchor in the rarer of the two is taken, by what ``often`` tells of ``windows``.  None if the key is too short to have one for every x.
+    """
+    if least >= 1:  # equal texts share all anchors
+        at = min(range(len(values)), key=lambda w: values[w] & (2**64 - 1))
+        return [(values[at], places[at], 0, len(key))]
+    n, whole = len(key), len(key) + 2
+    long, need = bounds(whole, least)
+    left = whole - need
+    step = left // CASES + 1  # neighbouring x of long keys together
+    rare = [often.get(v, 0) for v in windows]
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    for x in range(0, left + 1, step):
+        first, end = max(min(x + step - 1, left) - 1, 0), min(x + long - 1, n)
+        other, last = max(whole - long - 1, 0), min(need + x - 1, n)
+        one, two = min(rare[first : max(first, end - PASSAGE + 1)], default=None), min(rare[other : max(other, last - PASSAGE + 1)], default=None)
+        if one is None and two is None:
+            return None
+        if one is None or two is not None and two < one:
+            first, end = other, last
+        w = min(range(first, end - PASSAGE + 1), key=lambda w: ((values[w], places[w]) not in out, places[w]))
+        group = values[w], places[w]
+        a, b = out.get(group, (0, n))
+        out[group] = max(a, first), min(b, end)
+    return [(v, at, a, b) for (v, at), (a, b) in out.items()]
 
 
 def segment_of(i: int, n: int) -> tuple[int, int]:
@@ -235,29 +291,86 @@ def segment_of(i: int, n: int) -> tuple[int, int]:
     raise ValueError("batch out of range")
 
 
-def bucket_of(anchor, buckets: int):
-    return F.pmod(anchor, F.lit(buckets)).cast("int")
-
-
 def buckets_for(keys: DataFrame) -> int:
     """A power of two, so that a bucket holds about ``BUCKET_CHARS`` characters."""
     total = keys.agg(F.sum(F.octet_length("key"))).collect()[0][0] or 0
-    return 1 << max(0, (int(total) * ANCHORS // BUCKET_CHARS)).bit_length()
+    return 1 << max(0, (int(total) * COPIES // BUCKET_CHARS)).bit_length()
+
+
+def _plain(buckets: int) -> int:
+    """Number of buckets for whole texts by their hashes, numbered down from -1: too short keys ask all of these."""
+    return max(1, buckets // COPIES)
+
+
+def _placed(keys: DataFrame, buckets: int) -> DataFrame:
+    """``keys`` (key and other columns) in the buckets of all their anchors, with the anchors' places, and in one of the whole texts."""
+    plain = _plain(buckets)
+
+    def one(frames):
+        import zlib
+
+        for frame in frames:
+            texts = [_bytes(k) for k in frame["key"]]
+            row, bucket, at = [], [], []
+            for i, (values, places) in enumerate(leasts(texts)):
+                own: dict[int, set[int]] = {-1 - zlib.crc32(texts[i]) % plain: set()}
+                for v, p in set(zip(values.tolist(), places.tolist())):
+                    own.setdefault(v % buckets, set()).add(p)
+                row += [i] * len(own)
+                bucket += own
+                at += [sorted(p) for p in own.values()]
+            yield frame.iloc[row].assign(bucket=bucket, at=at)
+
+    schema = T.StructType([*keys.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType()))])
+    return keys.filter("key <> ''").mapInPandas(one, schema)
+
+
+def _asked(keys: DataFrame, buckets: int, least: float) -> DataFrame:
+    """key, bucket, at, lo, hi: the ``probes`` of each key; too short keys ask the whole texts, with nulls."""
+    keys = keys.select("key").filter("key <> ''").distinct()
+    often: dict[int, int] = {}
+    if least < 1:
+        keys = stored(keys)
+        counts = keys.select(F.explode(_passages("key")).alias("passage")).groupBy("passage").count()
+        # a bounded list that only saves work: what is found does not hang on what is asked
+        often = dict(map(tuple, counts.filter("count > 8").orderBy(F.desc("count"), "passage").limit(MOST_COMMON).collect()))
+    plain = _plain(buckets)
+
+    def one(frames):
+        import pandas as pd
 
+        for frame in frames:
+            out: list[tuple] = []
+            for key, (values, places) in zip(frame["key"], leasts([_bytes(k) for k in frame["key"]])):
+                chosen = probes(_bytes(key), values.tolist(), places.tolist(), _windows(_bytes(key)).tolist(), least, often)
+                if chosen is None:
+                    out += [(key, -1 - j, -1, -1, -1) for j in range(plain)]
+                else:
+                    out += [(key, v % buckets, at, lo, hi) for v, at, lo, hi in chosen]
+            yield pd.DataFrame(out, columns=["key", "bucket", "at", "lo", "hi"])
 
-def _placed(keys: DataFrame, buckets: int, most: int = ANCHORS) -> DataFrame:
-    """``keys`` with the buckets of each key, one row a key and bucket; empty keys have none."""
-    return keys.filter("key <> ''").withColumn("bucket", F.explode(F.array_distinct(F.transform(F.slice(_anchors("key"), 1, most), lambda a: bucket_of(a, buckets)))))
+    return stored(keys.mapInPandas(one, "key string, bucket int, at int, lo int, hi int"))
 
 
 def _arrays(placed: DataFrame) -> DataFrame:
-    """Rows of ``SEGMENTS`` of ``placed``: key, bucket, start, batches.  A large bucket is cut into pieces by the keys' hashes."""
+    """Rows of ``SEGMENTS`` of ``placed``: key, bucket, at, start, batches.  A large bucket is cut into pieces by the keys' hashes.
+
+    Buckets of anchors have the suffixes at these anchors in their arrays, by their first ``DEPTH`` bytes, those of whole texts all.
+    """
 
     def one(of, part):
+        import numpy as np
         import pandas as pd
 
-        text = b"\n" + b"\n".join(sorted({k.encode("utf-8", "surrogatepass") for k in part["key"]})) + b"\n"
-        return pd.DataFrame([{"bucket": of[0], "piece": of[3], "pieces": int(part["pieces"].iloc[0]), "start": of[1], "batches": of[2], "text": text, "suffixes": suffix_array(text).astype("<i4").tobytes()}])
+        ats = {_bytes(k): at for k, at in zip(part["key"], part["at"])}
+        keys = sorted(ats)
+        text = b"\n" + b"\n".join(keys) + b"\n"
+        if of[0] < 0:
+            suffixes = suffix_array(text)
+        else:
+            begins = np.cumsum([1] + [len(k) + 1 for k in keys[:-1]]).tolist()
+            suffixes = np.array(sorted((b + int(a) for b, k in zip(begins, keys) for a in ats[k]), key=lambda p: text[p : p + DEPTH]))
+        return pd.DataFrame([{"bucket": of[0], "piece": of[3], "pieces": int(part["pieces"].iloc[0]), "start": of[1], "batches": of[2], "text": text, "suffixes": suffixes.astype("<i4").tobytes()}])
 
     sizes = placed.groupBy("bucket").agg(F.sum(F.octet_length("key") + 1).alias("chars"))
     heavy = heavy_keys(sizes, "bucket", floor=BUCKET_CHARS, count="chars")
@@ -267,7 +380,14 @@ def _arrays(placed: DataFrame) -> DataFrame:
         placed = placed.join(F.broadcast(large), "bucket", "left")  # a bounded list
         pieces = F.coalesce("pieces", F.lit(1))
     placed = placed.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int"))
-    return placed.select("bucket", "piece", "pieces", "start", "batches", "key").groupBy("bucket", "start", "batches", "piece").applyInPandas(one, SEGMENTS)
+    return placed.select("bucket", "piece", "pieces", "start", "batches", "key", "at").groupBy("bucket", "start", "batches", "piece").applyInPandas(one, SEGMENTS)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _texts(segments):
+    import pandas as pd
+
+    return pd.Series([[_text(t) for t in text[1:-1].split(b"\n")] for text in segments])
 
 
 def build(keys: DataFrame, buckets: int) -> DataFrame:
@@ -276,7 +396,7 @@ def build(keys: DataFrame, buckets: int) -> DataFrame:
     n = (last if last is not None else -1) + 1
     spans = [segment_of(i, n) for i in range(n)]
     pick = lambda at: F.element_at(F.array(*[F.lit(s[at]) for s in spans]), F.col("batch") + 1).cast("int") if spans else F.lit(0)
-    return _arrays(_placed(keys.select("key", pick(0).alias("start"), pick(1).alias("batches")).distinct(), buckets))
+    return _arrays(stored(_placed(keys.select("key", pick(0).alias("start"), pick(1).alias("batches")).distinct(), buckets)))
 
 
 class Index:
@@ -317,48 +437,65 @@ class Index:
         others are neither read nor written.
         """
         start, size = segment_of(self.batches, self.batches + 1)
-        fresh = _placed(keys.select("key").distinct(), self.buckets)
+        fresh = keys.select("key")
         if size > 1:
-            old = self.segments().filter(F.col("start") >= start)
-            fresh = fresh.unionByName(old.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("key"), "bucket").filter("key <> ''"))
+            old = self.segments().filter((F.col("start") >= start) & (F.col("bucket") < 0))
+            fresh = fresh.unionByName(old.select(F.explode(_texts("text")).alias("key")))
         grown = Index(self.spark, self.path, self.buckets, self.batches + 1)
-        grown._write(_arrays(fresh.distinct().select("key", "bucket", F.lit(start).alias("start"), F.lit(size).alias("batches"))))
+        grown._write(_arrays(stored(_placed(fresh.distinct().select("key", F.lit(start).alias("start"), F.lit(size).alias("batches")), self.buckets))))
         return grown
 
     def search(self, keys: DataFrame, least: float = 1.0) -> DataFrame:
         """``search`` over the live segments of the asked shelves."""
-        asked = stored(_placed(keys.select("key").distinct(), self.buckets, 1 if least >= 1 else ANCHORS))
+        asked = _asked(keys, self.buckets, least)
         shelves = [r[0] for r in asked.select(F.pmod("bucket", F.lit(SHELVES))).distinct().collect()]  # at most SHELVES numbers
         return _searched(self.segments(sorted(shelves)), asked, least)
 
 
 def search(segments: DataFrame, keys: DataFrame, buckets: int, least: float = 1.0) -> DataFrame:
-    """key, match, coverage of every key and text of the history that covers it to the share, in the buckets of the key's anchors.
-
-    Equal texts (``least`` 1) share their first anchor, so one bucket is asked.  Texts that share a passage of
-    half the share meet if one of ``ANCHORS`` anchors lies in it: recall is measured in the tests.
-    """
-    return _searched(segments, stored(_placed(keys.select("key").distinct(), buckets, 1 if least >= 1 else ANCHORS)), least)
+    """key, match, coverage of every key and text of the history that covers it to the share: all of them (see ``probes``)."""
+    return _searched(segments, _asked(keys, buckets, least), least)
 
 
 def _searched(segments: DataFrame, asked: DataFrame, least: float) -> DataFrame:
     def one(left, right):
+        from bisect import bisect_left, bisect_right
+
         import numpy as np
         import pandas as pd
 
         out: dict[str, list] = {"key": [], "match": [], "coverage": []}
-        texts = [k.encode("utf-8", "surrogatepass") for k in right["key"]]
-        asked = Questions(texts, least) if texts and len(left) else None
-        for text, raw in zip(left["text"], left["suffixes"]) if asked else ():
+        questions: dict[bytes, list] = {}
+        for key, *probe in zip(right["key"], right["at"].tolist(), right["lo"].tolist(), right["hi"].tolist()):
+            questions.setdefault(_bytes(key), []).append(probe)
+        for text, raw in zip(left["text"], left["suffixes"]) if questions else ():
             suffixes = np.frombuffer(raw, dtype="<i4")
             starts = np.nonzero(np.frombuffer(text, dtype=np.uint8) == 10)[0]
-            for key in (texts[i] for i in asked.promising(text, suffixes)):
-                for record, share in covered(text, suffixes, starts, key, least).items():
-                    begin = int(starts[record]) + 1
-                    end = text.find(b"\n", begin)
-                    if end > begin:
-                        out["key"].append(key.decode("utf-8", "surrogatepass"))
-                        out["match"].append(text[begin:end].decode("utf-8", "surrogatepass"))
+            begins, order, grams = starts.tolist(), suffixes.tolist(), None
+            records = (np.searchsorted(starts, suffixes, side="right") - 1).tolist()
+            for key, asks in questions.items():
+                pattern = b"\n" + key + b"\n"
+                if asks[0][0] < 0:
+                    found = covered(text, suffixes, starts, key, least)
+                else:
+                    seen = set()
+                    for at, lo, hi in asks:
+                        near, passage, before = key[at : min(hi, at + DEPTH)], key[lo:hi], at - lo
+                        cut = lambda p, n=len(near): text[p : p + n]
+                        first = bisect_left(order, near, key=cut)
+                        last = bisect_right(order, near, lo=first, key=cut)
+                        hits = range(first, last)
+                        if last - first > 16:  # many: by the first grams of the passage at once
+                            grams = _grams(text) if grams is None else grams
+                            head = _grams(passage[:GRAM])[0]
+                            begin = suffixes[first:last] - before
+                            hits = np.flatnonzero((begin > 0) & (grams[begin] == head)) + first
+                        seen.update(records[j] for j in hits if records[j] not in seen and text.startswith(passage, order[j] - before))
+                    found = {r: share for r in seen if (share := coverage(pattern, text[begins[r] : begins[r + 1] + 1], least))}
+                for record, share in found.items():
+                    if begins[record] + 1 < begins[record + 1]:
+                        out["key"].append(_text(key))
+                        out["match"].append(_text(text[begins[record] + 1 : begins[record + 1]]))
                         out["coverage"].append(share)
         return pd.DataFrame(out) if out["key"] else pd.DataFrame()  # empty lists have no Arrow type
 
@@ -376,7 +513,7 @@ def _searched(segments: DataFrame, asked: DataFrame, least: float) -> DataFrame:
     place = ["bucket", "piece", "part"]
     # a fixed number of tasks: by bytes they would be laid together, but it is the searches that cost
     tasks = 4 * spark.sparkContext.defaultParallelism
-    segments, asked = segments.select(*place, "text", "suffixes").repartition(tasks, *place), asked.select(*place, "key").repartition(tasks, *place)
+    segments, asked = segments.select(*place, "text", "suffixes").repartition(tasks, *place), asked.select(*place, "key", "at", "lo", "hi").repartition(tasks, *place)
     found = segments.groupBy(*place).cogroup(asked.groupBy(*place)).applyInPandas(one, "key string, match string, coverage double")
     return found.groupBy("key", "match").agg(F.max("coverage").alias("coverage"))
 
@@ -412,7 +549,7 @@ def known_pages(batch: DataFrame, pages: DataFrame) -> DataFrame:
     """batch_row_id, source_page_id of each batch row that names a page accepted before it.
 
     ``batch``: batch_row_id, canonical_url, submitted_at; ``pages``: id, normalized_url, created_at.
-    The index proposes known addresses that cover an asked one to ``NEAR``; the exact check keeps the equal ones.
+    Equal addresses cover each other whole, so the index is asked for a share of 1; the near ones are ``near_pages``.
     Null and non-http addresses match nothing; null times are not before anything; repeated
     rows count once; an empty side gives no rows; further columns are ignored.
     """
@@ -420,6 +557,6 @@ def known_pages(batch: DataFrame, pages: DataFrame) -> DataFrame:
     index = _index_of(kept)
     if index is None:
         return asked.select("batch_row_id", F.lit(None).cast("string").alias("source_page_id")).limit(0)
-    found = index.search(asked, NEAR).filter("key = match").select("key").distinct()
+    found = index.search(asked, 1.0).filter("key = match").select("key").distinct()
     hit = salted_join(kept, found, "key", F.xxhash64("source_page_id"), "left_semi")
     return salted_join(asked, hit, "key", F.xxhash64("batch_row_id")).filter("at < by").select("batch_row_id", "source_page_id").distinct()

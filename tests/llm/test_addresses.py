@@ -26,3 +26,9 @@ def test_no_page(spark):
     assert [page_address(u) for u in (None, "", "ftp://a.example", "a.example/x", "https://", "mailto:x@y.example")] == [None] * 6
     df = spark.createDataFrame([("http://a.example",), (None,)], "u string")
     assert [r[0] for r in df.select(address("u")).collect()] == ["a.example/", None]
+
+
+def test_column_gives_the_same_form(spark):
+    urls = [*SAME, "https://a.example/x/y/index.htm/", "https://a.example/index.php/", "https://a.example/x/y\n", "https://a.example/x/y/default.aspx//"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string")
+    assert [r[0] for r in df.orderBy("i").select(address("u")).collect()] == [page_address(u) for u in urls]

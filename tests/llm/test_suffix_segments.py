@@ -87,3 +87,32 @@ def test_anchors_of_a_common_passage():
         one, two = suffixes.anchors_of([a.encode(), b.encode()], 10**6)
         assert set(one) & set(two) and one == sorted(one, key=lambda v: v & (2**64 - 1))
     assert suffixes.anchors_of([b"", b"ab", b"ab", b"abc"], 3)[1] == suffixes.anchors_of([b"ab"], 3)[0]
+
+
+def test_every_near_duplicate_is_found(spark):
+    draw = random.Random(9)
+    history, asked = set(), set()
+    for _ in range(150):
+        text = words(draw, draw.randrange(1, 9)) + draw.choice(["", "/a\nb", "/\u00e4"])
+        history |= {text, text + "/x", text[: len(text) * 9 // 10]}  # the longest match of one is not that of the others
+        cut = draw.randrange(len(text))
+        asked |= {text[:cut] + "-" + text[cut + 1 :], text[cut:] + text[:cut], text[2:] + "zz", text[: len(text) // 2] + "--" + text[len(text) // 2 :]}
+    asked |= {"", "a", "ab", *draw.sample(sorted(history), 20)}
+    segments = suffixes.build(spark.createDataFrame([(t, i % 3) for i, t in enumerate(sorted(history))], "key string, batch int"), 64)
+    want = {(k, t): share for k in asked if k for t in history if (share := suffixes.coverage(*(b"\n" + suffixes._bytes(x) + b"\n" for x in (k, t)), 0.8))}
+    got = {(r.key, r.match): r.coverage for r in suffixes.search(segments, frame(spark, asked), 64, 0.8).collect()}
+    assert got == want and len(want) > 800
+    assert sum(len(k) < 34 for k, _ in want) > 100 and any("\n" in k for k, _ in want)
+
+
+def test_coverage_of_one_record():
+    draw = random.Random(10)
+    for _ in range(2000):
+        pattern, record = ("\n" + "".join(draw.choice("abc") for _ in range(draw.randrange(1, 14))) + "\n" for _ in range(2))
+        least = draw.choice([0.3, 0.5, 0.8, 1.0])
+        long, need = suffixes.bounds(len(pattern), least)
+        inside = {j for i in range(len(pattern) - long + 1) if pattern[i : i + long] in record for j in range(i, i + long)}
+        want = len(inside) / len(pattern) if len(inside) >= need else 0.0
+        assert suffixes.coverage(pattern.encode(), record.encode(), least) == want
+        text = record.encode()
+        assert suffixes.covered(text, suffixes.suffix_array(text), [0, len(text) - 1], pattern[1:-1].encode(), least).get(0, 0.0) == want
